@@ -346,13 +346,13 @@ def full_vocab_remap(
         ).alias("ids")
     ).scalar()
     mapped = F.transform(
-        dense,
+        "_dense",
         lambda d: F.coalesce(
             arrays.gather(F.col("stu_logits"), d, id_base).cast("double"), F.lit(masked_logit)
         ),
     )
-    width = F.least(F.size("tea_logits"), F.size(dense))
-    return merged.select(
+    width = F.least(F.size("tea_logits"), F.size("_dense"))
+    return merged.withColumn("_dense", dense).select(
         "sample_id",
         "step",
         F.slice("tea_logits", F.lit(1), width).alias("tea_logits"),

@@ -77,7 +77,7 @@ def mlm_mask(
     A chosen token becomes the mask in 8 of 10 cases and a random one in 1 of 10. The
     draws are hashes of (key, position, seed), so a recomputed task draws the same.
     """
-    size = F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size
+    df = df.withColumn("_size", F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size)
 
     def draw(i: Column, name: str) -> Column:
         return unit_hash(F.col(key), i, F.lit(seed), F.lit(name))
@@ -87,7 +87,7 @@ def mlm_mask(
         if special_ids:
             chosen = chosen & ~x.isin(special_ids)
         how = draw(i, "how")
-        other = F.floor(draw(i, "id") * size).cast("int")
+        other = F.floor(draw(i, "id") * F.col("_size")).cast("int")
         swapped = F.when(how < 0.8, F.lit(mask_id)).when(how < 0.9, other).otherwise(x)
         return F.struct(
             F.when(chosen, swapped).otherwise(x).alias("id"),
@@ -100,4 +100,4 @@ def mlm_mask(
             "ids": F.transform("_drawn", lambda e: e["id"]),
             "labels": F.transform("_drawn", lambda e: e["label"]),
         }
-    ).drop("_drawn")
+    ).drop("_drawn", "_size")

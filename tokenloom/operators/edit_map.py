@@ -54,8 +54,8 @@ def _target_segments(student: DataFrame, radii: Column) -> DataFrame:
 def _source_pieces(words: DataFrame, lengths: Column) -> DataFrame:
     """Substrings of each source word that may equal a segment of a target of some length."""
     size = F.length("token")
-    within = F.filter(lengths, lambda n: F.abs(n - size) <= F.col("radius"))
-    cut = words.withColumn("dst_len", F.explode(within)).select(
+    within = F.filter("_lengths", lambda n: F.abs(n - size) <= F.col("radius"))
+    cut = words.withColumn("_lengths", lengths).withColumn("dst_len", F.explode(within)).select(
         "*", F.inline(_segment_bounds(F.col("dst_len"), F.col("radius")))
     )
     # With seg segments before it and radius - seg after it, a segment is shifted by at
