@@ -41,10 +41,13 @@ def table_rows(names, rows):
     return [names[i] for i in order], sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-def difference(spark, con, run, sql, sf_dir) -> str | None:
+def difference(spark, con, run, sql, sf_dir, timing: list | None = None) -> str | None:
     """None when equal, else what differs first."""
+    start = time.time()
     df = run(spark, sf_dir)
     left_names, left = table_rows(df.columns, [tuple(r) for r in df.collect()])
+    if timing is not None:
+        timing.append(time.time() - start)
     cursor = con.execute(sql)
     right_names, right = table_rows([d[0] for d in cursor.description], cursor.fetchall())
     if left_names != right_names:
@@ -79,15 +82,17 @@ def main() -> None:
     bad = 0
     for name in args or list(QUERIES):
         start = time.time()
+        spark_time: list[float] = []
         try:
             if name in ORACLES:
-                found = difference(spark, con, QUERIES[name], ORACLES[name], sf_dir)
+                found = difference(spark, con, QUERIES[name], ORACLES[name], sf_dir, spark_time)
             else:
                 found = f"rows only: {QUERIES[name](spark, sf_dir).count()}"
         except Exception as error:  # noqa: BLE001
             found = f"ERROR {type(error).__name__}: {str(error)[:700]}"
         bad += found is not None and not found.startswith("rows only")
-        print(f"{time.time() - start:6.2f}s  {name:32s} {found or 'ok'}", flush=True)
+        total = time.time() - start
+        print(f"{total:6.2f}s  spark {sum(spark_time) or total:6.2f}s  {name:32s} {found or 'ok'}", flush=True)
     print("differences:", bad)
 
 

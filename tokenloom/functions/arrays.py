@@ -14,7 +14,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it in ``body``.
 
     A lambda body is evaluated per element, so ``transform(a, x -> x - array_max(a))``
-    costs a whole pass per element. Bound through a one-element array it costs one.
+    costs a whole pass per element. Bound through a one-element array it costs one. The
+    same goes for a column a lambda refers to: the optimizer may put its defining
+    expression in its place.
     """
     return F.transform(F.array(value), body)[0]
 

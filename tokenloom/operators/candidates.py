@@ -345,10 +345,11 @@ def full_vocab_remap(
             F.array_sort(F.collect_list(F.struct("src_id", "dst_id"))), lambda e: e["dst_id"]
         ).alias("ids")
     ).scalar()
-    mapped = F.transform(
-        "_dense",
-        lambda d: F.coalesce(
-            arrays.gather(F.col("stu_logits"), d, id_base).cast("double"), F.lit(masked_logit)
+    mapped = arrays.let(
+        F.col("stu_logits"),
+        lambda v: F.transform(
+            "_dense",
+            lambda d: F.coalesce(arrays.gather(v, d, id_base).cast("double"), F.lit(masked_logit)),
         ),
     )
     width = F.least(F.size("tea_logits"), F.size("_dense"))

@@ -4,9 +4,10 @@ If two words are within distance r, and one of them is cut into r + 1 segments,
 least one segment occurs unchanged in the other, shifted by at most r places (pigeonhole).
 So all pairs within r are found by an equi join on (length, segment number, segment text).
 
-Round one looks for neighbours within ``PROBE_RADIUS``. A word that has one is done: every
-pair at that distance or less was seen. Each other word takes the best distance known for
-it as its own radius, and a second join finds all its neighbours within that radius.
+The radius grows from round to round. A word with a neighbour within the round's radius is
+done, for every pair at that distance or less was seen; nearly all words end this way while
+segments are long and selective. Each word left takes the best distance seen for it as its
+own radius, and a last join finds all its neighbours within that radius.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.operators.lookup import lookup
-from tokenloom.session import BROADCAST_ROWS, materialize
+from tokenloom.session import materialize
 
-PROBE_RADIUS = 1
+ROUNDS = (1, 2, 3)
 
 
 def _segment_bounds(size: Column, radius: Column) -> Column:
@@ -37,14 +38,15 @@ def _segment_bounds(size: Column, radius: Column) -> Column:
     )
 
 
-def _target_segments(student: DataFrame, radii: Column) -> DataFrame:
-    """Segments of all student words for every radius in use."""
-    cut = student.select(
-        F.col("token").alias("dst_token"),
-        F.col("id").alias("dst_id"),
-        F.length("token").alias("dst_len"),
-        F.explode(radii).alias("radius"),
-    ).select("*", F.inline(_segment_bounds(F.col("dst_len"), F.col("radius"))))
+def _target_segments(student: DataFrame, reach: DataFrame) -> DataFrame:
+    """Segments of the student words that some source word can reach, per radius."""
+    cut = (
+        student.select(
+            F.col("token").alias("dst_token"), F.col("id").alias("dst_id"), F.length("token").alias("dst_len")
+        )
+        .join(F.broadcast(reach), "dst_len")
+        .select("*", F.inline(_segment_bounds(F.col("dst_len"), F.col("radius"))))
+    )
     return cut.select(
         "dst_token", "dst_id", "dst_len", "radius", "seg",
         F.expr("substring(dst_token, start, len)").alias("piece"),
@@ -75,23 +77,27 @@ def _source_pieces(words: DataFrame, lengths: Column) -> DataFrame:
     )
 
 
-def _neighbours(words: DataFrame, student: DataFrame, student_rows: int) -> DataFrame:
+def _neighbours(words: DataFrame, student: DataFrame) -> DataFrame:
     """Least ``(distance, dst_id)`` per source word among targets that share a segment.
 
     ``words`` is ``(src_id, token, radius)``. Distances beyond the radius are kept: they
-    are true distances and serve as bounds. The sets of radii and lengths in use are as
-    small as the longest word is long.
+    are true distances and serve as bounds.
     """
-    radii = words.agg(F.collect_set("radius").alias("all")).scalar()
+    # A few words grow into many pieces, so small inputs are spread over all cores first.
+    words = words.repartition(words.sparkSession.sparkContext.defaultParallelism, "src_id")
     lengths = student.agg(F.collect_set(F.length("token")).alias("all")).scalar()
-    segments = _target_segments(student, radii)
-    pieces = _source_pieces(words, lengths)
-    keys = ["radius", "dst_len", "seg", "piece"]
-    if student_rows * 4 <= BROADCAST_ROWS:
-        pairs = pieces.join(F.broadcast(segments), keys)
-    else:
-        # A common segment ("e", "an") is a hot key on both sides; AQE splits its pieces.
-        pairs = pieces.join(segments, keys)
+    # Radii times lengths in use: at most the square of the longest word.
+    around = F.sequence(F.greatest(F.lit(1), F.col("size") - F.col("radius")), F.col("size") + F.col("radius"))
+    reach = (
+        words.select("radius", F.length("token").alias("size"))
+        .distinct()
+        .select("radius", F.explode(around).alias("dst_len"))
+        .distinct()
+    )
+    # A common segment ("e", "an") is a hot key on both sides; AQE splits such partitions.
+    pairs = _source_pieces(words, lengths).join(
+        _target_segments(student, reach), ["radius", "dst_len", "seg", "piece"]
+    )
     distance = F.levenshtein("token", "dst_token")
     return pairs.groupBy("src_id").agg(
         F.min(F.struct(distance.alias("distance"), F.col("dst_id"))).alias("best")
@@ -104,29 +110,28 @@ def min_edit_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
     target_rows = targets.count()
     source = teacher.select(F.col("id").alias("src_id"), "token")
 
-    exact = lookup(source, targets, "token", dim_rows=target_rows, salt_by=["src_id"])
-    exact = materialize(exact)
-    same = exact.filter(F.col("id").isNotNull()).select(
+    exact = materialize(lookup(source, targets, "token", dim_rows=target_rows, salt_by=["src_id"]))
+    done = exact.filter(F.col("id").isNotNull()).select(
         "src_id", F.col("id").alias("dst_id"), F.lit(0).alias("distance")
     )
-    rest = exact.filter(F.col("id").isNull()).select("src_id", "token")
-
-    probe = _neighbours(rest.withColumn("radius", F.lit(PROBE_RADIUS)), targets, target_rows)
-    probed = materialize(rest.join(probe, "src_id", "left"))
-    near = probed.filter(F.col("best.distance") <= PROBE_RADIUS).select(
-        "src_id", "best.dst_id", "best.distance"
+    left = exact.filter(F.col("id").isNull()).select(
+        "src_id", "token", F.lit(None).cast("struct<distance:int,dst_id:int>").alias("best")
     )
+    for radius in ROUNDS:
+        if left.isEmpty():
+            return done
+        seen = _neighbours(left.withColumn("radius", F.lit(radius)), targets)
+        tried = materialize(
+            left.join(seen.withColumnRenamed("best", "_seen"), "src_id", "left").select(
+                "src_id", "token", F.least("best", "_seen").alias("best")
+            )
+        )
+        within = F.coalesce(F.col("best.distance") <= radius, F.lit(False))
+        done = done.unionByName(tried.filter(within).select("src_id", "best.dst_id", "best.distance"))
+        left = tried.filter(~within)
 
     # No two words are further apart than the longer one is long.
     shortest = targets.agg(F.min(F.length("token")).alias("n")).scalar()
-    bound = F.least(
-        F.coalesce("best.distance", F.greatest(F.length("token"), shortest)),
-        F.greatest(F.length("token"), shortest),
-    )
-    open_words = probed.filter(F.coalesce(F.col("best.distance") > PROBE_RADIUS, F.lit(True))).select(
-        "src_id", "token", bound.cast("int").alias("radius")
-    )
-    far = _neighbours(open_words, targets, target_rows).select(
-        "src_id", "best.dst_id", "best.distance"
-    )
-    return same.unionByName(near).unionByName(far)
+    bound = F.least("best.distance", F.greatest(F.length("token"), shortest))
+    far = _neighbours(left.withColumn("radius", bound), targets)
+    return done.unionByName(far.select("src_id", "best.dst_id", "best.distance"))

@@ -19,7 +19,10 @@ def attention_mask(ids: Column) -> Column:
 
 def mask_prompt_labels(ids: Column, prompt_length: Column) -> Column:
     """A copy of ids whose first ``prompt_length`` entries are ignored."""
-    return F.transform(ids, lambda x, i: F.when(i < prompt_length, F.lit(IGNORE_INDEX)).otherwise(x))
+    return arrays.let(
+        prompt_length,
+        lambda n: F.transform(ids, lambda x, i: F.when(i < n, F.lit(IGNORE_INDEX)).otherwise(x)),
+    )
 
 
 def overlength(raw_ids: Column, block_size: int) -> Column:
