@@ -1 +1,9 @@
 """Cross-tokenizer corpus preparation, alignment and scoring on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with their code, so executors need no installed
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -25,6 +25,7 @@ from tokenloom.constants import (
 from tokenloom.functions import arrays
 from tokenloom.functions.text import normalize_token
 from tokenloom.operators.lookup import lookup
+from tokenloom.session import materialize
 
 HOF_WIDTH = 1024
 
@@ -260,6 +261,8 @@ def match_both(
         teacher, student, tea_to_stu, tea_size, threshold, pool, first_id,
         marker_a=marker_t, marker_b=marker_s,
     )
+    if pool == "published":
+        forward = materialize(forward)  # read again by the second pass
     back_targets = teacher
     if pool == "published":
         matched = forward.filter(F.col("dst_id").isNotNull()).select("sample_id", "step", "rank")

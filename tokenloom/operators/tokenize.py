@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenloom.constants import UNK_ID
 from tokenloom.functions.text import words
 from tokenloom.operators.lookup import lookup
+from tokenloom.session import spread
 
 
 def spaced_specials(text: Column, specials: Iterable[str]) -> Column:
@@ -28,7 +29,8 @@ def _word_rows(df: DataFrame, key: str, texts: dict[str, Column], specials: Iter
         ]
     )
     return (
-        df.select(key, F.explode(parts).alias("_p"))
+        spread(df, key)
+        .select(key, F.explode(parts).alias("_p"))
         .select(key, F.col("_p.part").alias("part"), F.posexplode_outer("_p.words").alias("pos", "token"))
     )
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tokenloom.functions.text import words
 from tokenloom.operators.lookup import lookup
 from tokenloom.operators.ordering import global_index
+from tokenloom.session import spread
 
 
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``(token, n)`` of lower-cased whitespace tokens; counted before the shuffle."""
     return (
-        df.select(F.explode(words(F.col(text))).alias("token"))
+        spread(df.select(text)).select(F.explode(words(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.constants import DEFAULT_TEMPERATURE, DEFAULT_THRESHOLD, DEFAULT_TOPK
+from tokenloom.functions import arrays
 from tokenloom.operators import align as A
 from tokenloom.operators import candidates as C
 from tokenloom.operators import losses as L
+from tokenloom.operators.align import weight_of_entropy
 from tokenloom.operators.lookup import lookup
 from tokenloom.operators.vocab import exact_map, invert_last
+from tokenloom.session import materialize
 
 # Fixed value: spare ids behind the student's vocabulary in the inverse map.
 SPARE_IDS = 256
@@ -32,21 +35,29 @@ class Sides:
 
     @staticmethod
     def of(teacher: DataFrame, student: DataFrame, tea_size: int, stu_size: int, first_id: int = 1) -> Sides:
-        mapping = exact_map(teacher, student)
-        return Sides(teacher, student, mapping, invert_last(mapping), tea_size, stu_size, first_id)
+        """Built on the exact map. The maps are as small as a vocabulary and used many
+        times, so they are materialised."""
+        mapping = materialize(exact_map(teacher, student))
+        return Sides(teacher, student, mapping, materialize(invert_last(mapping)), tea_size, stu_size, first_id)
+
+
+def side_tokens(sides: Sides) -> DataFrame:
+    """Both vocabularies as ``(side, token_id, token)``."""
+    return sides.teacher.select(
+        F.lit("teacher").alias("side"), F.col("id").alias("token_id"), "token"
+    ).unionByName(sides.student.select(F.lit("student").alias("side"), F.col("id").alias("token_id"), "token"))
 
 
 def weighted_steps(steps: DataFrame, sides: Sides) -> DataFrame:
-    """Add ``weight`` and ``token`` to the content steps ``(sample_id, side, pos, token_id, logits)``.
+    """``weight`` and ``token`` of the content steps ``(sample_id, side, pos, token_id, logits)``.
 
-    The wide rows move once, to their sample; weights and look-ups leave them there.
+    A vector is reduced to its entropy where it lies; only numbers and tokens move.
     """
-    names = sides.teacher.select(F.lit("teacher").alias("side"), F.col("id").alias("token_id"), "token").unionByName(
-        sides.student.select(F.lit("student").alias("side"), F.col("id").alias("token_id"), "token")
+    scored = steps.select(
+        "sample_id", "side", "pos", "token_id", arrays.entropy(F.col("logits")).alias("entropy")
     )
-    scored = steps.select("sample_id", "side", "pos", "token_id", A.arrays.entropy(F.col("logits")).alias("entropy"))
-    weights = A.weight_of_entropy(scored, ["sample_id", "side"])
-    return lookup(weights, names, ["side", "token_id"], salt_by=["sample_id", "pos"])
+    weights = weight_of_entropy(scored.repartition("sample_id"), ["sample_id", "side"])
+    return lookup(weights, side_tokens(sides), ["side", "token_id"], salt_by=["sample_id", "pos"])
 
 
 def aligned_samples(steps: DataFrame, sides: Sides, cost: str = "weighted") -> tuple[DataFrame, DataFrame]:
@@ -56,13 +67,23 @@ def aligned_samples(steps: DataFrame, sides: Sides, cost: str = "weighted") -> t
 
 
 def step_candidates(merged: DataFrame, sides: Sides, k: int = DEFAULT_TOPK, engine: str = "sql") -> tuple[DataFrame, DataFrame]:
-    """Decoded top-K of both sides of every aligned step."""
+    """Decoded top-K of both sides of every aligned step.
 
-    def side(column: str, vocab: DataFrame) -> DataFrame:
-        rows = merged.select("sample_id", "step", F.col(column).alias("logits"))
-        return C.decode(C.topk(rows, k, id_base=sides.first_id, engine=engine), vocab)
+    The wide vectors are read once for both sides. The candidates, K small rows per step
+    and side, are materialised: both directions and both roles start from them.
+    """
+    both = F.array(
+        F.struct(F.lit("teacher").alias("side"), F.col("tea_logits").alias("logits")),
+        F.struct(F.lit("student").alias("side"), F.col("stu_logits").alias("logits")),
+    )
+    long = merged.select("sample_id", "step", F.inline(both))
+    top = C.topk(long, k, id_base=sides.first_id, engine=engine)
+    found = materialize(lookup(top, side_tokens(sides), ["side", "token_id"], salt_by=["sample_id", "step"]))
 
-    return side("tea_logits", sides.teacher), side("stu_logits", sides.student)
+    def of(side: str) -> DataFrame:
+        return found.filter(F.col("side") == side).drop("side")
+
+    return of("teacher"), of("student")
 
 
 def matched_pairs(
@@ -88,10 +109,14 @@ def contextual_loss(
     temperature: float = DEFAULT_TEMPERATURE,
     mode: str = "published",
 ) -> DataFrame:
-    """``(sample_id, distill_loss, unmasked_rate)`` of the main method."""
+    """``(sample_id, distill_loss, unmasked_rate)`` of the main method.
+
+    The merged vectors are needed twice, for the candidates and for the logits of the pairs
+    found. They are written once instead of merging twice.
+    """
     _, aligned = aligned_samples(steps, sides)
-    merged = A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits"))
-    pairs = matched_pairs(merged, sides, k, threshold, mode, mode)
+    merged = materialize(A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits")))
+    pairs = materialize(matched_pairs(merged, sides, k, threshold, mode, mode))
     gathered = C.gather_logits(pairs, merged, id_base=sides.first_id)
     loss = L.kl_topk(gathered, temperature, mode)
     return loss.join(C.unmasked_rate(pairs), "sample_id")

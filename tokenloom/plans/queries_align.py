@@ -12,6 +12,7 @@ from tokenloom.plans import distill
 from tokenloom.plans import standins as S
 from tokenloom.plans.queries_vocab import alphabet_sql, bytes_sql, entropy_sql
 from tokenloom.plans.registry import STEP_LOGITS, listed, log_softmax_sql, query, vocab_sql
+from tokenloom.session import materialize
 
 K = 10
 THRESHOLD = 0.45
@@ -22,14 +23,14 @@ def _sides(spark, sf_dir):
     return distill.Sides.of(*S.head_vocabs(spark, sf_dir), S.TEA_WIDTH, S.STU_WIDTH)
 
 
-def _aligned(spark, sf_dir, cost="weighted"):
+def _aligned(spark, sf_dir, cost="weighted", sides=None):
     steps = S.step_logits(spark, sf_dir)
-    samples, aligned = distill.aligned_samples(steps, _sides(spark, sf_dir), cost)
+    samples, aligned = distill.aligned_samples(steps, sides or _sides(spark, sf_dir), cost)
     return steps, samples, aligned
 
 
-def _merged(spark, sf_dir):
-    steps, _, aligned = _aligned(spark, sf_dir)
+def _merged(spark, sf_dir, sides=None):
+    steps, _, aligned = _aligned(spark, sf_dir, sides=sides)
     return A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits"))
 
 
@@ -250,11 +251,12 @@ _CLEAN = f"""{_CAND}, {_direction_sql('fwd', 'tea_cand', 'stu_cand', 't2s')},
 
 def _step_candidates(spark, sf_dir):
     sides = _sides(spark, sf_dir)
-    return sides, *distill.step_candidates(_merged(spark, sf_dir), sides, K)
+    return sides, *distill.step_candidates(_merged(spark, sf_dir, sides), sides, K)
 
 
 def _pairs(spark, sf_dir, mode="published"):
-    sides, merged = _sides(spark, sf_dir), _merged(spark, sf_dir)
+    sides = _sides(spark, sf_dir)
+    merged = materialize(_merged(spark, sf_dir, sides))
     return sides, merged, distill.matched_pairs(merged, sides, K, THRESHOLD, mode, mode)
 
 
@@ -402,7 +404,8 @@ terms AS (SELECT sample_id, unnest(lp) AS a, unnest(lq) AS b FROM logs)
 SELECT sample_id, round(sum(exp(a) * (a * {TEMPERATURE ** 2} - b)) / count(*), 6) AS distill_loss FROM terms GROUP BY sample_id""")
 def full_vocab_loss(spark, sf_dir):
     """Student logits brought to all teacher ids, then the divergence."""
-    sides, merged = _sides(spark, sf_dir), _merged(spark, sf_dir)
+    sides = _sides(spark, sf_dir)
+    merged = _merged(spark, sf_dir, sides)
     remapped = C.full_vocab_remap(merged, sides.mapping, id_base=sides.first_id)
     return L.kl_dense(remapped, TEMPERATURE).withColumn("distill_loss", rounded(F.col("distill_loss")))
 

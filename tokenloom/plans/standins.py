@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.vocab import added_tokens, ranked_vocab, token_counts, vocab_head
+from tokenloom.session import materialize
 
 TEA_WIDTH, STU_WIDTH = 64, 48
 STUDENT_EOS = "</s>"
@@ -71,7 +72,7 @@ def head_vocabs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Vocabularies exactly as wide as the logit vectors: ids 1..64 and 1..48."""
     tea = vocab_head(token_counts(table(spark, sf_dir, "documents")), TEA_WIDTH)
     stu = vocab_head(token_counts(table(spark, sf_dir, "conversations")), STU_WIDTH)
-    return tea, stu
+    return materialize(tea), materialize(stu)
 
 
 def paired_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

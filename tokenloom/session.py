@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 # million (id, token) rows are about 100 MB in an executor's hash relation.
 BROADCAST_ROWS = 2_000_000
 
+# Bytes a scan partition holds at most by default.
+SCAN_BYTES = 128 * 1024 * 1024
+
 
 def get_spark(app: str = "tokenloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -54,3 +57,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint; partitions keep their numbers."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over all cores before heavy work per row.
+
+    Only where the whole input is smaller than one scan partition per core, so that a scan
+    cannot keep the cores busy. A large input is left where it is: it has splits enough.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * SCAN_BYTES else df
