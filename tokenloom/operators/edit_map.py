@@ -6,8 +6,9 @@ So all pairs within r are found by an equi join on (length, segment number, segm
 
 The radius grows from round to round. A word with a neighbour within the round's radius is
 done, for every pair at that distance or less was seen; nearly all words end this way while
-segments are long and selective. Each word left takes the best distance seen for it as its
-own radius, and a last join finds all its neighbours within that radius.
+segments are long and selective. The few words left, far from everything, meet blocks of
+target words of every length in reach; the best distance seen for a word bounds both the
+lengths and the comparison.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tokenloom.operators.lookup import lookup
 from tokenloom.session import materialize
 
 ROUNDS = (1, 2, 3)
+BLOCK_WORDS = 512
 
 
 def _segment_bounds(size: Column, radius: Column) -> Column:
@@ -94,9 +96,14 @@ def _neighbours(words: DataFrame, student: DataFrame) -> DataFrame:
         .select("radius", F.explode(around).alias("dst_len"))
         .distinct()
     )
-    # A common segment ("e", "an") is a hot key on both sides; AQE splits such partitions.
-    pairs = _source_pieces(words, lengths).join(
-        _target_segments(student, reach), ["radius", "dst_len", "seg", "piece"]
+    # A common segment ("e", "an") is a hot key. Up to a counted size the segments are
+    # broadcast and pieces stay with their word; beyond it the keys are salted by word.
+    pairs = lookup(
+        _source_pieces(words, lengths),
+        _target_segments(student, reach),
+        ["radius", "dst_len", "seg", "piece"],
+        how="inner",
+        salt_by=["src_id"],
     )
     distance = F.levenshtein("token", "dst_token")
     return pairs.groupBy("src_id").agg(
@@ -104,6 +111,38 @@ def _neighbours(words: DataFrame, student: DataFrame) -> DataFrame:
     )
 
 
+def _far_neighbours(words: DataFrame, student: DataFrame, student_rows: int) -> DataFrame:
+    """``best`` of words ``(src_id, token, bound)`` that have no near target.
+
+    Targets are blocks of about ``BLOCK_WORDS`` tokens of one length, compared inside the
+    row that holds the block: one row per word and block, none per pair.
+    """
+    parallel = words.sparkSession.sparkContext.defaultParallelism
+    blocks = (
+        student.withColumn("dst_len", F.length("token"))
+        .groupBy("dst_len", F.pmod(F.xxhash64("token"), F.lit(student_rows // BLOCK_WORDS + 1)).alias("_block"))
+        .agg(F.collect_list(F.struct("id", "token")).alias("targets"))
+        .select("dst_len", "targets")
+    )
+    lengths = student.agg(F.collect_set(F.length("token")).alias("all")).scalar()
+    within = F.filter("_lengths", lambda n: F.abs(n - F.length("token")) <= F.col("bound"))
+    reached = (
+        words.repartition(parallel, "src_id")
+        .withColumn("_lengths", lengths)
+        .select("src_id", "token", "bound", F.explode(within).alias("dst_len"))
+    )
+    met = lookup(reached, blocks, "dst_len", how="inner", dim_rows=student_rows, salt_by=["src_id"])
+    scored = F.transform(
+        "targets",
+        lambda t: F.struct(
+            F.call_function("levenshtein", F.col("token"), t["token"], F.col("bound")).alias("distance"),
+            t["id"].alias("dst_id"),
+        ),
+    )
+    nearest = F.array_min(F.filter(scored, lambda e: e["distance"] >= 0))
+    return met.groupBy("src_id").agg(F.min(nearest).alias("best"))
+
+
 def min_edit_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
     """``(src_id, dst_id, distance)``: the nearest student token, ties by the least id."""
     targets = materialize(student.groupBy("token").agg(F.min("id").alias("id")))
@@ -133,5 +172,5 @@ def min_edit_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
     # No two words are further apart than the longer one is long.
     shortest = targets.agg(F.min(F.length("token")).alias("n")).scalar()
     bound = F.least("best.distance", F.greatest(F.length("token"), shortest))
-    far = _neighbours(left.withColumn("radius", bound), targets)
+    far = _far_neighbours(left.withColumn("bound", bound), targets, target_rows)
     return done.unionByName(far.select("src_id", "best.dst_id", "best.distance"))
