@@ -25,7 +25,7 @@ from tokenloom.constants import (
 from tokenloom.functions import arrays
 from tokenloom.functions.text import normalize_token
 from tokenloom.operators.lookup import lookup
-from tokenloom.session import materialize
+from tokenloom.session import BROADCAST_ROWS, materialize
 
 HOF_WIDTH = 1024
 
@@ -343,6 +343,9 @@ def full_vocab_remap(
     The map is one array, as long as the teacher's vocabulary; unmapped ids get
     ``masked_logit``.
     """
+    rows = mapping.count()
+    if rows > BROADCAST_ROWS:
+        raise ValueError(f"a map of {rows} ids is no vocabulary; match top-K candidates instead")
     dense = mapping.agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("src_id", "dst_id"))), lambda e: e["dst_id"]

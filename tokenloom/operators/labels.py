@@ -77,11 +77,12 @@ def rotate_to_response(values: Column, start: Column) -> Column:
 def rotated_position(df: DataFrame, keys: list[str], label: str = "label", pad_id: int | None = None) -> DataFrame:
     """Step-table form of the rotation: adds ``rpos`` to rows ``(keys, pos, label)``.
 
-    The window is one side of one sample, at most a block of steps.
+    The window is one side of one sample, at most a block of steps. Rows are placed by
+    the first key alone, the sample, so a later join of its two sides finds them in place.
     """
     group = Window.partitionBy(*keys)
     labelled = F.min(F.when(is_content(F.col(label)), F.col("pos"))).over(group)
-    marked = df.withColumn("_start", labelled)
+    marked = df.repartition(keys[0]).withColumn("_start", labelled)
     if pad_id is not None:
         real = F.when((F.col("pos") >= F.col("_start")) & (F.col(label) != pad_id), F.col("pos"))
         marked = marked.withColumn("_start", F.min(real).over(group))

@@ -15,7 +15,7 @@ from tokenloom.operators import losses as L
 from tokenloom.operators.align import weight_of_entropy
 from tokenloom.operators.lookup import lookup
 from tokenloom.operators.vocab import exact_map, invert_last
-from tokenloom.session import materialize
+from tokenloom.session import materialize, materialize_by
 
 # Fixed value: spare ids behind the student's vocabulary in the inverse map.
 SPARE_IDS = 256
@@ -112,10 +112,12 @@ def contextual_loss(
     """``(sample_id, distill_loss, unmasked_rate)`` of the main method.
 
     The merged vectors are needed twice, for the candidates and for the logits of the pairs
-    found. They are written once instead of merging twice.
+    found. They are written once, in buckets by sample, instead of merging twice.
     """
     _, aligned = aligned_samples(steps, sides)
-    merged = materialize(A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits")))
+    merged = materialize_by(
+        A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits")), "sample_id"
+    )
     pairs = materialize(matched_pairs(merged, sides, k, threshold, mode, mode))
     gathered = C.gather_logits(pairs, merged, id_base=sides.first_id)
     loss = L.kl_topk(gathered, temperature, mode)

@@ -12,7 +12,7 @@ from tokenloom.plans import distill
 from tokenloom.plans import standins as S
 from tokenloom.plans.queries_vocab import alphabet_sql, bytes_sql, entropy_sql
 from tokenloom.plans.registry import STEP_LOGITS, listed, log_softmax_sql, query, vocab_sql
-from tokenloom.session import materialize
+from tokenloom.session import materialize_by
 
 K = 10
 THRESHOLD = 0.45
@@ -256,7 +256,7 @@ def _step_candidates(spark, sf_dir):
 
 def _pairs(spark, sf_dir, mode="published"):
     sides = _sides(spark, sf_dir)
-    merged = materialize(_merged(spark, sf_dir, sides))
+    merged = materialize_by(_merged(spark, sf_dir, sides), "sample_id")
     return sides, merged, distill.matched_pairs(merged, sides, K, THRESHOLD, mode, mode)
 
 

@@ -59,6 +59,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_by(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key`` and read it back.
+
+    A checkpoint forgets how its rows are placed. A bucketed table does not, so later joins
+    and groupings by ``key`` read wide rows where they lie. Rows already partitioned by
+    ``key`` are written without a shuffle. The catalogue entry is needed only until the
+    files are resolved; dropping it leaves an external table's files in place.
+    """
+    spark = df.sparkSession
+    name = f"tokenloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").bucketBy(buckets, key)
+    writer.option("path", scratch_path(spark, "buckets")).saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over all cores before heavy work per row.
 
