@@ -265,3 +265,23 @@ def test_answers_and_subsequence(spark):
     df = scoring.rouge_l(spark.createDataFrame(rows, "prediction string, reference string"))
     first, empty = df.collect()
     assert first.precision == 0.5 and first.recall == pytest.approx(2 / 3) and empty.rouge_l == 0
+
+
+def test_wide_engine_agrees(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 4, i, 1, [float(x) for x in rng.normal(size=9)], [float(x) for x in rng.normal(size=7)], i % 7) for i in range(24)]
+    schema = "sample_id int, pos int, mask int, tea_logits array<double>, stu_logits array<double>, label int"
+    df = spark.createDataFrame(rows, schema)
+    both = [{e: fn(e).orderBy("sample_id").collect() for e in losses.ENGINES} for fn in (
+        lambda e: losses.cross_entropy(df, "stu_logits", engine=e),
+        lambda e: A.entropy_weight(df.select("sample_id", "pos", "tea_logits"), ["sample_id"], "tea_logits", e).orderBy("sample_id", "pos"),
+        lambda e: losses.kl_forward(df, 2.0, engine=e).withColumn("sample_id", F.lit(0)),
+        lambda e: losses.kl_reverse(df, 2.0, engine=e).withColumn("sample_id", F.lit(0)),
+        lambda e: losses.uld(
+            df.withColumn("rpos", F.col("pos")).withColumnRenamed("tea_logits", "logits"),
+            df.withColumn("rpos", F.col("pos")).withColumnRenamed("stu_logits", "logits"), e),
+    )]
+    for found in both:
+        assert len(found["sql"]) == len(found["arrow"]) > 0
+        numbers = {e: sorted(v for r in rows for v in r if isinstance(v, float)) for e, rows in found.items()}
+        assert numbers["sql"] == pytest.approx(numbers["arrow"])

@@ -23,7 +23,7 @@ from tokenloom.constants import (
     SPECIAL_PAIRS,
     SPECIAL_PAIRS_ULD,
 )
-from tokenloom.functions import arrays
+from tokenloom.functions import arrays, wide
 from tokenloom.functions.text import normalize_token
 
 DIAGONAL, UP, LEFT = 0, 1, 2
@@ -38,10 +38,15 @@ def align_status(student: Column, teacher: Column) -> Column:
     )
 
 
-def entropy_weight(steps: DataFrame, keys: list[str], logits: str = "logits") -> DataFrame:
-    """Add ``entropy`` and ``weight`` in 3 .. 5; a sample with equal entropies gets 3."""
-    with_entropy = steps.withColumn("entropy", arrays.entropy(F.col(logits)))
-    return weight_of_entropy(with_entropy, keys)
+def entropy_weight(steps: DataFrame, keys: list[str], logits: str = "logits", engine: str = "sql") -> DataFrame:
+    """Replace the vector by ``entropy`` and ``weight`` in 3 .. 5.
+
+    Vectors are reduced where they lie, so only numbers move to their sample. A sample with
+    equal entropies gets weight 3.
+    """
+    entropy = (wide if engine == "arrow" else arrays).entropy(F.col(logits))
+    rest = [c for c in steps.columns if c != logits]
+    return weight_of_entropy(steps.select(*rest, entropy.alias("entropy")).repartition(keys[0]), keys)
 
 
 def weight_of_entropy(steps: DataFrame, keys: list[str]) -> DataFrame:

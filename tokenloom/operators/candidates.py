@@ -27,14 +27,12 @@ from tokenloom.functions.text import normalize_token
 from tokenloom.operators.lookup import lookup
 from tokenloom.session import BROADCAST_ROWS, materialize
 
-HOF_WIDTH = 1024
-
 
 def topk(steps: DataFrame, k: int, logits: str = "logits", id_base: int = 0, engine: str = "sql") -> DataFrame:
     """One row per candidate: adds ``rank, token_id, logit`` and drops the vector.
 
-    ``sql`` sorts the array inside the row; ``arrow`` selects with numpy, for vectors much
-    wider than ``HOF_WIDTH``. Neither shuffles.
+    ``sql`` sorts the array inside the row; ``arrow`` selects with numpy, for vectors of
+    many thousands of entries. Neither shuffles.
     """
     rest = [c for c in steps.columns if c != logits]
     if engine == "sql":
@@ -336,28 +334,42 @@ def unmasked_rate(pairs: DataFrame) -> DataFrame:
 
 
 def full_vocab_remap(
-    merged: DataFrame, mapping: DataFrame, masked_logit: float = MASKED_LOGIT, id_base: int = 0
+    merged: DataFrame,
+    mapping: DataFrame,
+    masked_logit: float = MASKED_LOGIT,
+    id_base: int = 0,
+    learnt: DataFrame | None = None,
 ) -> DataFrame:
     """Student logits brought to teacher ids over the whole map; both cut to one width.
 
     The map is one array, as long as the teacher's vocabulary; unmapped ids get
-    ``masked_logit``.
+    ``masked_logit``. Entries of ``learnt`` (``src_id, dst_id, since``) hold for rows whose
+    ``batch`` is not before ``since``.
     """
     rows = mapping.count()
     if rows > BROADCAST_ROWS:
         raise ValueError(f"a map of {rows} ids is no vocabulary; match top-K candidates instead")
-    dense = mapping.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("src_id", "dst_id"))), lambda e: e["dst_id"]
-        ).alias("ids")
+    if learnt is None:
+        named = mapping.withColumns({"_late": F.lit(None).cast("int"), "_since": F.lit(None).cast("long")})
+        batch = F.lit(0)
+    else:
+        late = learnt.select(
+            "src_id", F.col("dst_id").alias("_late"), F.col("since").cast("long").alias("_since")
+        )
+        named = mapping.join(late, "src_id", "left")
+        batch = F.col("batch")
+    dense = named.agg(
+        F.array_sort(F.collect_list(F.struct("src_id", "dst_id", "_late", "_since"))).alias("ids")
     ).scalar()
-    mapped = arrays.let(
-        F.col("stu_logits"),
-        lambda v: F.transform(
-            "_dense",
-            lambda d: F.coalesce(arrays.gather(v, d, id_base).cast("double"), F.lit(masked_logit)),
-        ),
-    )
+
+    def brought(v: Column, now: Column) -> Column:
+        def one(d: Column) -> Column:
+            dst = F.coalesce(d["dst_id"], F.when(d["_since"] <= now, d["_late"]))
+            return F.coalesce(arrays.gather(v, dst, id_base).cast("double"), F.lit(masked_logit))
+
+        return F.transform("_dense", one)
+
+    mapped = arrays.let(F.col("stu_logits"), lambda v: arrays.let(batch, lambda now: brought(v, now)))
     width = F.least(F.size("tea_logits"), F.size("_dense"))
     return merged.withColumn("_dense", dense).select(
         "sample_id",

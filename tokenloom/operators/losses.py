@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.constants import DEFAULT_ALPHA, DEFAULT_TEMPERATURE
-from tokenloom.functions import arrays
+from tokenloom.constants import DEFAULT_ALPHA, DEFAULT_TEMPERATURE, IGNORE_INDEX
+from tokenloom.functions import arrays, wide
+
+ENGINES = ("sql", "arrow")
+
+
+def _engine(engine: str):
+    """Expressions in the JVM, or the numpy forms for wide vectors."""
+    if engine not in ENGINES:
+        raise ValueError(f"unknown engine {engine!r}")
+    return wide if engine == "arrow" else None
+
 
 
 def truncate_teacher_vocab(teacher: Column, student: Column) -> Column:
@@ -65,9 +75,8 @@ def kl_topk(steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE, halves:
 
 def kl_dense(steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE) -> DataFrame:
     """The same loss over whole vectors ``tea_logits, stu_logits``."""
-    scored = steps.select(
-        "sample_id", kl_topk_step(F.col("tea_logits"), F.col("stu_logits"), temperature).alias("_kl")
-    )
+    step = kl_topk_step(F.col("tea_logits"), F.col("stu_logits"), temperature)
+    scored = steps.select("sample_id", step.alias("_kl"))
     return scored.groupBy("sample_id").agg(
         F.try_divide(F.sum("_kl.total"), F.sum("_kl.finite")).alias("distill_loss")
     )
@@ -93,15 +102,21 @@ def reduce_steps(steps: DataFrame, loss: Column, token_mean: bool = True) -> Dat
     return per_sample.agg(F.try_divide(F.sum("_kept"), F.count("*")).alias("distill_loss"))
 
 
-def kl_forward(steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE, token_mean: bool = True) -> DataFrame:
+def kl_forward(
+    steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE, token_mean: bool = True, engine: str = "sql"
+) -> DataFrame:
     """``steps`` is ``(sample_id, mask, tea_logits, stu_logits)``; the wider teacher is cut."""
     teacher = truncate_teacher_vocab(F.col("tea_logits"), F.col("stu_logits"))
-    return reduce_steps(steps, forward_kl_step(teacher, F.col("stu_logits"), temperature), token_mean)
+    step = wide.forward_kl_step if _engine(engine) else forward_kl_step
+    return reduce_steps(steps, step(teacher, F.col("stu_logits"), temperature), token_mean)
 
 
-def kl_reverse(steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE, token_mean: bool = True) -> DataFrame:
+def kl_reverse(
+    steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE, token_mean: bool = True, engine: str = "sql"
+) -> DataFrame:
     teacher = truncate_teacher_vocab(F.col("tea_logits"), F.col("stu_logits"))
-    return reduce_steps(steps, reverse_kl_step(teacher, F.col("stu_logits"), temperature), token_mean)
+    step = wide.forward_kl_step if _engine(engine) else forward_kl_step
+    return reduce_steps(steps, step(F.col("stu_logits"), teacher, temperature), token_mean)
 
 
 def kl_generic(steps: DataFrame, reduction: str = "mean") -> DataFrame:
@@ -136,20 +151,21 @@ def sorted_distance(teacher: Column, student: Column) -> Column:
     return arrays.total(gaps)
 
 
-def uld(teacher: DataFrame, student: DataFrame) -> DataFrame:
+def uld(teacher: DataFrame, student: DataFrame, engine: str = "sql") -> DataFrame:
     """Per sample: mean sorted distance over positions that carry a label on both sides.
 
     Both inputs are ``(sample_id, rpos, label, logits)`` with ``rpos`` rotated so that the
     response starts at 0; positions are paired by an equi join.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.filter(F.col("label") != -100).select(
+        return df.filter(F.col("label") != IGNORE_INDEX).select(
             "sample_id", "rpos", F.col("logits").alias(name)
         )
 
+    distance = wide.sorted_distance if _engine(engine) else sorted_distance
     paired = side(teacher, "tea_logits").join(side(student, "stu_logits"), ["sample_id", "rpos"])
     return paired.groupBy("sample_id").agg(
-        F.avg(sorted_distance(F.col("tea_logits"), F.col("stu_logits"))).alias("distill_loss")
+        F.avg(distance(F.col("tea_logits"), F.col("stu_logits"))).alias("distill_loss")
     )
 
 
@@ -166,9 +182,12 @@ def token_nll(logits: Column, target: Column, id_base: int = 0) -> Column:
     )
 
 
-def cross_entropy(steps: DataFrame, logits: str = "logits", target: str = "label", id_base: int = 0) -> DataFrame:
-    scored = steps.filter(F.col(target) != -100)
-    return scored.groupBy("sample_id").agg(F.avg(token_nll(F.col(logits), F.col(target), id_base)).alias("sft_loss"))
+def cross_entropy(
+    steps: DataFrame, logits: str = "logits", target: str = "label", id_base: int = 0, engine: str = "sql"
+) -> DataFrame:
+    scored = steps.filter(F.col(target) != IGNORE_INDEX)
+    nll = (wide.token_nll if _engine(engine) else token_nll)(F.col(logits), F.col(target), id_base)
+    return scored.groupBy("sample_id").agg(F.avg(nll).alias("sft_loss"))
 
 
 def blend(sft_loss: Column, distill_loss: Column, alpha: float = DEFAULT_ALPHA) -> Column:

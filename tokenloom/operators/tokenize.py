@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenloom.constants import UNK_ID
 from tokenloom.functions.text import words
 from tokenloom.operators.lookup import lookup
-from tokenloom.session import spread
+from tokenloom.session import materialize, spread
 
 
 def spaced_specials(text: Column, specials: Iterable[str]) -> Column:
@@ -113,8 +113,8 @@ def tokenize_longest_match(
 ) -> DataFrame:
     """Sub-word ids: distinct words are segmented once, then looked up per occurrence."""
     rows = _word_rows(df, key, texts, specials)
-    distinct = rows.filter(F.col("token").isNotNull()).select("token").distinct()
-    segmented = longest_match_words(distinct, pieces, unk_id)
+    distinct = materialize(rows.filter(F.col("token").isNotNull()).select("token").distinct())
+    segmented = materialize(longest_match_words(distinct, pieces, unk_id))
     coded = lookup(rows, segmented, "token", salt_by=[key, "pos"])
     nested = _collected(coded, key, list(texts), F.col("pieces"))
     return nested.select(key, *[F.flatten(name).alias(name) for name in texts])

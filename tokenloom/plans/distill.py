@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.constants import DEFAULT_TEMPERATURE, DEFAULT_THRESHOLD, DEFAULT_TOPK
-from tokenloom.functions import arrays
 from tokenloom.operators import align as A
 from tokenloom.operators import candidates as C
 from tokenloom.operators import losses as L
-from tokenloom.operators.align import weight_of_entropy
 from tokenloom.operators.lookup import lookup
 from tokenloom.operators.vocab import exact_map, invert_last
 from tokenloom.session import materialize, materialize_by
@@ -48,22 +46,19 @@ def side_tokens(sides: Sides) -> DataFrame:
     ).unionByName(sides.student.select(F.lit("student").alias("side"), F.col("id").alias("token_id"), "token"))
 
 
-def weighted_steps(steps: DataFrame, sides: Sides) -> DataFrame:
-    """``weight`` and ``token`` of the content steps ``(sample_id, side, pos, token_id, logits)``.
-
-    A vector is reduced to its entropy where it lies; only numbers and tokens move.
-    """
-    scored = steps.select(
-        "sample_id", "side", "pos", "token_id", arrays.entropy(F.col("logits")).alias("entropy")
-    )
-    weights = weight_of_entropy(scored.repartition("sample_id"), ["sample_id", "side"])
+def weighted_steps(steps: DataFrame, sides: Sides, engine: str = "sql") -> DataFrame:
+    """``weight`` and ``token`` of the content steps ``(sample_id, side, pos, token_id, logits)``."""
+    slim = steps.select("sample_id", "side", "pos", "token_id", "logits")
+    weights = A.entropy_weight(slim, ["sample_id", "side"], engine=engine)
     return lookup(weights, side_tokens(sides), ["side", "token_id"], salt_by=["sample_id", "pos"])
 
 
-def aligned_samples(steps: DataFrame, sides: Sides, cost: str = "weighted") -> tuple[DataFrame, DataFrame]:
+def aligned_samples(
+    steps: DataFrame, sides: Sides, cost: str = "weighted", engine: str = "sql", strip: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The samples' token rows and their alignment."""
-    samples = A.sample_tokens(weighted_steps(steps, sides))
-    return samples, A.align(samples, cost)
+    samples = A.sample_tokens(weighted_steps(steps, sides, engine))
+    return samples, A.align(samples, cost, strip=strip)
 
 
 def step_candidates(merged: DataFrame, sides: Sides, k: int = DEFAULT_TOPK, engine: str = "sql") -> tuple[DataFrame, DataFrame]:
@@ -93,8 +88,10 @@ def matched_pairs(
     threshold: float = DEFAULT_THRESHOLD,
     pool: str = "published",
     markers: str = "published",
+    engine: str = "sql",
 ) -> DataFrame:
-    teacher, student = step_candidates(merged, sides, k)
+    """Pairs of both directions, read from the top-K of both sides."""
+    teacher, student = step_candidates(merged, sides, k, engine)
     return C.match_both(
         teacher, student, sides.mapping, sides.inverse, sides.tea_size, sides.stu_size + SPARE_IDS,
         threshold, pool, markers, first_id=sides.first_id,
@@ -108,17 +105,48 @@ def contextual_loss(
     threshold: float = DEFAULT_THRESHOLD,
     temperature: float = DEFAULT_TEMPERATURE,
     mode: str = "published",
+    engine: str = "sql",
 ) -> DataFrame:
     """``(sample_id, distill_loss, unmasked_rate)`` of the main method.
 
     The merged vectors are needed twice, for the candidates and for the logits of the pairs
     found. They are written once, in buckets by sample, instead of merging twice.
     """
-    _, aligned = aligned_samples(steps, sides)
+    _, aligned = aligned_samples(steps, sides, engine=engine)
     merged = materialize_by(
         A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits")), "sample_id"
     )
-    pairs = materialize(matched_pairs(merged, sides, k, threshold, mode, mode))
+    pairs = materialize(matched_pairs(merged, sides, k, threshold, mode, mode, engine))
     gathered = C.gather_logits(pairs, merged, id_base=sides.first_id)
     loss = L.kl_topk(gathered, temperature, mode)
     return loss.join(C.unmasked_rate(pairs), "sample_id")
+
+
+def first_wins_loss(
+    steps: DataFrame,
+    batches: DataFrame,
+    sides: Sides,
+    k: int = DEFAULT_TOPK,
+    threshold: float = DEFAULT_THRESHOLD,
+    temperature: float = DEFAULT_TEMPERATURE,
+    engine: str = "sql",
+) -> DataFrame:
+    """``(sample_id, distill_loss)`` of the one-direction method over the whole vocabulary.
+
+    ``batches`` is ``(sample_id, batch)``, the order of the run. The first proposal for a
+    teacher id stays for the rest of the run, so a sample sees the entries made up to it.
+    """
+    _, aligned = aligned_samples(steps, sides, engine=engine, strip="spaces")
+    merged = materialize_by(
+        A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits")), "sample_id"
+    )
+    teacher, student = step_candidates(merged, sides, k, engine)
+    pool = C.candidate_pool(student, sides.mapping, sides.tea_size, "published", sides.first_id)
+    proposals = C.nearest_candidate(
+        C.unmapped_candidates(teacher, sides.mapping), pool, threshold, strip="spaces"
+    )
+    learnt = C.dynamic_map_first(proposals.join(batches, "sample_id"))
+    remapped = C.full_vocab_remap(
+        merged.join(batches, "sample_id"), sides.mapping, id_base=sides.first_id, learnt=learnt
+    )
+    return L.kl_dense(remapped, temperature)

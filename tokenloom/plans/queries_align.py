@@ -448,3 +448,26 @@ def contextual_loss(spark, sf_dir):
 def contextual_loss_clean(spark, sf_dir):
     """The same in clean mode."""
     return _loss_result(spark, sf_dir, "clean")
+
+
+_FIRST_WINS = f"""{_FORWARD},
+  learnt AS (SELECT src_id, arg_min(dst_id, (sample_id, step, rank)) AS dst, min(sample_id) AS since FROM fwd_near GROUP BY src_id),
+  remapped AS (
+    SELECT t.sample_id, t.step, t.idx, t.v AS tea, coalesce(s.v, -10000.0::DOUBLE) AS stu
+    FROM tea_steps t LEFT JOIN t2s m ON m.src = t.idx
+    LEFT JOIN learnt l ON l.src_id = t.idx AND l.since <= t.sample_id
+    LEFT JOIN stu_steps s ON s.sample_id = t.sample_id AND s.step = t.step AND s.idx = coalesce(m.dst, l.dst))"""
+
+
+@query(f"""WITH RECURSIVE {_FIRST_WINS}, vectors AS (
+  SELECT sample_id, step, list(tea ORDER BY idx) AS p, list(stu / {TEMPERATURE} ORDER BY idx) AS q
+  FROM remapped GROUP BY sample_id, step),
+logs AS (SELECT sample_id, step, {log_softmax_sql('p')} AS lp, {log_softmax_sql('q')} AS lq FROM vectors),
+terms AS (SELECT sample_id, unnest(lp) AS a, unnest(lq) AS b FROM logs)
+SELECT sample_id, round(sum(exp(a) * (a * {TEMPERATURE ** 2} - b)) / count(*), 6) AS distill_loss FROM terms GROUP BY sample_id""")
+def first_wins_loss(spark, sf_dir):
+    """M6b, M11, L1 end to end: one direction, a map that grows over the run."""
+    steps = S.step_logits(spark, sf_dir)
+    batches = steps.select("sample_id", F.col("sample_id").alias("batch")).distinct()
+    loss = distill.first_wins_loss(steps, batches, _sides(spark, sf_dir), K, THRESHOLD, TEMPERATURE)
+    return loss.withColumn("distill_loss", rounded(F.col("distill_loss")))
