@@ -277,7 +277,7 @@ def test_wide_engine_agrees(spark):
         lambda e: A.entropy_weight(df.select("sample_id", "pos", "tea_logits"), ["sample_id"], "tea_logits", e).orderBy("sample_id", "pos"),
         lambda e: losses.kl_forward(df, 2.0, engine=e).withColumn("sample_id", F.lit(0)),
         lambda e: losses.kl_reverse(df, 2.0, engine=e).withColumn("sample_id", F.lit(0)),
-        lambda e: losses.uld(
+        lambda e: losses.sorted_probability_loss(
             df.withColumn("rpos", F.col("pos")).withColumnRenamed("tea_logits", "logits"),
             df.withColumn("rpos", F.col("pos")).withColumnRenamed("stu_logits", "logits"), e),
     )]

@@ -18,14 +18,14 @@ DEFAULT_STUDENT_MARKER = "Ġ"
 DEFAULT_TEACHER_MARKER = "_"
 
 SPECIAL_PAIRS = {"</s>": "<|im_end|>", "<|endoftext|>": "<|endoftext|>"}
-SPECIAL_PAIRS_ULD = {"</s>": "<|im_end|>", "<unk>": "<|endoftext|>"}
+SPECIAL_PAIRS_SORTED = {"</s>": "<|im_end|>", "<unk>": "<|endoftext|>"}
 
 INPUT_HEADER = "\n### Input:\n"
 OUTPUT_HEADER = "\n### Output:\n"
 
 ENTROPY_EPSILON = 1e-10
 MASKED_LOGIT = -10000.0
-MASKED_LOGIT_ULD = -100.0
+MASKED_LOGIT_SORTED = -100.0
 DEFAULT_BLOCK_SIZE = 1024
 DEFAULT_TOPK = 100
 DEFAULT_THRESHOLD = 0.3

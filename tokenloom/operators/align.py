@@ -7,7 +7,7 @@ which is sequential within a sample, runs in Python on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from tokenloom.constants import (
     DEFAULT_STUDENT_MARKER,
     DEFAULT_TEACHER_MARKER,
     SPECIAL_PAIRS,
-    SPECIAL_PAIRS_ULD,
+    SPECIAL_PAIRS_SORTED,
 )
 from tokenloom.functions import arrays, wide
 from tokenloom.functions.text import normalize_token
@@ -29,11 +29,11 @@ from tokenloom.functions.text import normalize_token
 DIAGONAL, UP, LEFT = 0, 1, 2
 
 
-def align_status(student: Column, teacher: Column) -> Column:
-    """Samples without content on a side are marked, not dropped."""
+def align_status(student_steps: Column, teacher_steps: Column) -> Column:
+    """From the numbers of content steps: samples without any are marked, not dropped."""
     return (
-        F.when(F.coalesce(F.size(student), F.lit(0)) < 1, "empty_student")
-        .when(F.coalesce(F.size(teacher), F.lit(0)) < 1, "empty_teacher")
+        F.when(F.coalesce(student_steps, F.lit(0)) < 1, "empty_student")
+        .when(F.coalesce(teacher_steps, F.lit(0)) < 1, "empty_teacher")
         .otherwise("ok")
     )
 
@@ -109,28 +109,26 @@ def _costs(
     )
 
 
-def dtw_path(cost: np.ndarray) -> tuple[float, np.ndarray]:
-    """Least total cost and path of a cost matrix.
+def warp(n: int, m: int, diagonal: Callable[[slice, slice], np.ndarray]) -> tuple[float, np.ndarray]:
+    """Least total cost and path through n x m cells.
 
-    Cells are filled one anti-diagonal at a time. Only two diagonals of totals are kept,
-    plus one byte per cell for the move taken; of equal moves the first of diagonal, up
-    and left wins.
+    Cells are filled one anti-diagonal at a time; ``diagonal(rows, columns)`` gives its
+    costs, rows ascending and columns descending. Kept are two diagonals of totals and one
+    byte per cell for the move taken; of equal moves the first of diagonal, up and left wins.
     """
-    n, m = cost.shape
     moves = np.zeros(n * m, dtype=np.int8)
-    flat = np.ascontiguousarray(cost).ravel()
     # Totals of the last two diagonals, indexed by row + 1; cells outside stay infinite.
     older = np.full(n + 1, np.inf)
     newer = np.full(n + 1, np.inf)
-    newer[1] = flat[0]
+    newer[1] = diagonal(slice(0, 1), slice(0, 1))[0]
     for d in range(1, n + m - 1):
         lo, hi = max(0, d - m + 1), min(d, n - 1)
         cells = slice(lo * m + d - lo, hi * m + d - hi + 1, m - 1) if m > 1 else slice(d, d + 1)
         options = np.stack((older[lo : hi + 1], newer[lo : hi + 1], newer[lo + 1 : hi + 2]))
-        move = options.argmin(axis=0)
+        moves[cells] = options.argmin(axis=0)
         totals = np.full(n + 1, np.inf)
-        totals[lo + 1 : hi + 2] = flat[cells] + options.min(axis=0)
-        moves[cells] = move
+        costs = diagonal(slice(lo, hi + 1), slice(d - hi, d - lo + 1))
+        totals[lo + 1 : hi + 2] = costs + options.min(axis=0)
         older, newer = newer, totals
     i, j = n - 1, m - 1
     path = [(i, j)]
@@ -144,6 +142,25 @@ def dtw_path(cost: np.ndarray) -> tuple[float, np.ndarray]:
     return float(newer[n]), np.array(path[::-1], dtype=np.int32)
 
 
+def dtw_path(cost: np.ndarray) -> tuple[float, np.ndarray]:
+    """``warp`` over a cost matrix."""
+    n, m = cost.shape
+    rows, columns = np.arange(n), np.arange(m)
+    return warp(n, m, lambda r, c: cost[rows[r], columns[c][::-1]])
+
+
+def sample_path(
+    table: np.ndarray, rows: np.ndarray, columns: np.ndarray, weights: tuple[np.ndarray, np.ndarray] | None
+) -> tuple[float, np.ndarray]:
+    """``warp`` over the costs between distinct tokens, looked up and weighted per diagonal."""
+
+    def diagonal(r: slice, c: slice) -> np.ndarray:
+        cost = table[rows[r], columns[c][::-1]]
+        return cost if weights is None else cost * weights[0][r] * weights[1][c][::-1]
+
+    return warp(len(rows), len(columns), diagonal)
+
+
 def _places(tokens: pa.Array, distinct: pa.Array) -> np.ndarray:
     return pc.index_in(tokens, value_set=distinct).to_numpy(zero_copy_only=False)
 
@@ -177,12 +194,15 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             given = {name: column[row] for name, column in columns.items() if name != "sample_id"}
             tea_kinds, stu_kinds = given["tea_kinds"].values, given["stu_kinds"].values
             table = given["costs"].values.to_numpy().reshape(len(tea_kinds), len(stu_kinds))
-            rows = _places(given["tea_tokens"].values, tea_kinds)
-            cost = table[np.ix_(rows, _places(given["stu_tokens"].values, stu_kinds))]
+            weights = None
             if given["tea_weights"].is_valid and given["stu_weights"].is_valid:
-                cost = cost * given["tea_weights"].values.to_numpy()[:, None]
-                cost = cost * given["stu_weights"].values.to_numpy()[None, :]
-            total, path = dtw_path(cost)
+                weights = tuple(given[f"{side}_weights"].values.to_numpy() for side in ("tea", "stu"))
+            total, path = sample_path(
+                table,
+                _places(given["tea_tokens"].values, tea_kinds),
+                _places(given["stu_tokens"].values, stu_kinds),
+                weights,
+            )
             totals.append(total)
             paths.append(path)
         yield pa.RecordBatch.from_arrays(
@@ -218,8 +238,8 @@ def align(
         raise ValueError(f"unknown cost {cost!r}")
     norm = cost == "norm"
     strip = strip or ("marker" if norm else "both")
-    pairs = pairs or (SPECIAL_PAIRS_ULD if norm else SPECIAL_PAIRS)
-    marked = samples.withColumn("status", align_status(F.col("stu_tokens"), F.col("tea_tokens")))
+    pairs = pairs or (SPECIAL_PAIRS_SORTED if norm else SPECIAL_PAIRS)
+    marked = samples.withColumn("status", align_status(F.size("stu_tokens"), F.size("tea_tokens")))
 
     none = F.lit(None).cast("array<int>")
     ready = (

@@ -151,7 +151,7 @@ def sorted_distance(teacher: Column, student: Column) -> Column:
     return arrays.total(gaps)
 
 
-def uld(teacher: DataFrame, student: DataFrame, engine: str = "sql") -> DataFrame:
+def sorted_probability_loss(teacher: DataFrame, student: DataFrame, engine: str = "sql") -> DataFrame:
     """Per sample: mean sorted distance over positions that carry a label on both sides.
 
     Both inputs are ``(sample_id, rpos, label, logits)`` with ``rpos`` rotated so that the

@@ -192,7 +192,7 @@ def align_status(spark, sf_dir):
     """A10: samples without content on a side are marked."""
 
     def turns(role):
-        return F.collect_list(F.when(F.col("role") == role, F.col("turn")))
+        return F.count(F.when(F.col("role") == role, F.lit(1)))
 
     sides = S.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("sample_id")).agg(
         turns("system").alias("student"), turns("assistant").alias("teacher")
@@ -333,7 +333,7 @@ LEFT JOIN near n ON n.sample_id = a.sample_id AND n.step = a.step AND n.rank = a
 def match_per_step(spark, sf_dir):
     """Per occurrence, without carry-over."""
     sides, teacher, student = _step_candidates(spark, sf_dir)
-    return C.match_per_step(teacher, student, sides.mapping, threshold=THRESHOLD, strip="marker", pairs=A.SPECIAL_PAIRS_ULD)
+    return C.match_per_step(teacher, student, sides.mapping, threshold=THRESHOLD, strip="marker", pairs=A.SPECIAL_PAIRS_SORTED)
 
 
 @query(f"""WITH RECURSIVE {_BOTH}

@@ -136,7 +136,7 @@ SELECT sample_id, round(avg(gap), 6) AS distill_loss FROM gaps GROUP BY sample_i
 def sorted_probability_loss(spark, sf_dir):
     """Distance of sorted probabilities over the common response steps."""
     rows = _rotated(spark, sf_dir)
-    loss = L.uld(rows.filter("side = 'teacher'"), rows.filter("side = 'student'"))
+    loss = L.sorted_probability_loss(rows.filter("side = 'teacher'"), rows.filter("side = 'student'"))
     return loss.withColumn("distill_loss", rounded(F.col("distill_loss")))
 
 

@@ -147,7 +147,7 @@ def special_equivalence(spark, sf_dir):
     return rows.select(
         "doc_id",
         text.special_equivalent(F.col("a"), F.col("b")).alias("same"),
-        text.special_equivalent(F.col("a"), F.col("b"), align.SPECIAL_PAIRS_ULD).alias("same_sorted_variant"),
+        text.special_equivalent(F.col("a"), F.col("b"), align.SPECIAL_PAIRS_SORTED).alias("same_sorted_variant"),
     )
 
 
@@ -222,7 +222,7 @@ def edit_distance_norm(spark, sf_dir):
     return _token_pairs(spark, sf_dir).select(
         "src_id",
         rounded(text.edit_distance_norm(a, b)).alias("distance"),
-        rounded(text.edit_distance_norm(a, b, strip="marker", pairs=align.SPECIAL_PAIRS_ULD)).alias(
+        rounded(text.edit_distance_norm(a, b, strip="marker", pairs=align.SPECIAL_PAIRS_SORTED)).alias(
             "distance_marker_only"
         ),
     )
