@@ -83,6 +83,11 @@ def test_empty_and_special_tokens(spark):
     assert cell(spark, text.edit_cost(F.lit("über"), F.lit("uber"))) == 1
 
 
+def test_word_markers():
+    assert text.word_marker("bert", teacher=True) == "##" and text.word_marker("qwen2", teacher=False) == "Ġ"
+    assert text.word_marker(None, teacher=True) == "_" and text.word_marker("other", teacher=False) == "Ġ"
+
+
 def test_inverse_maps(spark):
     mapping = spark.createDataFrame([(1, 7), (2, 7), (3, None)], "src_id int, dst_id int")
     assert [tuple(r) for r in vocab.invert_last(mapping).collect()] == [(7, 2)]

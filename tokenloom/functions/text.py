@@ -11,6 +11,7 @@ from tokenloom.constants import (
     DEFAULT_STUDENT_MARKER,
     DEFAULT_TEACHER_MARKER,
     SPECIAL_PAIRS,
+    WORD_MARKERS,
 )
 
 WORD_BREAK = r"[ \t\n\r\f\x0B]+"
@@ -22,6 +23,11 @@ def words(text: Column, lower: bool = True) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
+def word_marker(family: str | None, teacher: bool) -> str:
+    """The word marker of a tokenizer family; unknown families have one default per side."""
+    return WORD_MARKERS.get(family or "", DEFAULT_TEACHER_MARKER if teacher else DEFAULT_STUDENT_MARKER)
+
+
 def normalize_token(token: Column, marker: str, strip: str = "both") -> Column:
     """Strip the word marker and/or spaces: ``both``, ``spaces`` or ``marker``."""
     if strip not in ("both", "spaces", "marker"):

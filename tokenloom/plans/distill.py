@@ -7,7 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.constants import DEFAULT_TEMPERATURE, DEFAULT_THRESHOLD, DEFAULT_TOPK
+from tokenloom.constants import (
+    DEFAULT_TEMPERATURE,
+    DEFAULT_THRESHOLD,
+    DEFAULT_TOPK,
+    MASKED_LOGIT_SORTED,
+    SPECIAL_PAIRS_SORTED,
+)
 from tokenloom.operators import align as A
 from tokenloom.operators import candidates as C
 from tokenloom.operators import losses as L
@@ -150,3 +156,27 @@ def first_wins_loss(
         merged.join(batches, "sample_id"), sides.mapping, id_base=sides.first_id, learnt=learnt
     )
     return L.kl_dense(remapped, temperature)
+
+
+def per_step_loss(
+    steps: DataFrame,
+    sides: Sides,
+    k: int = DEFAULT_TOPK,
+    threshold: float = DEFAULT_THRESHOLD,
+    enable_topk: bool = True,
+    engine: str = "sql",
+) -> DataFrame:
+    """``(sample_id, distill_loss)`` with plain alignment and matches that do not carry over."""
+    _, aligned = aligned_samples(steps, sides, cost="norm", engine=engine)
+    merged = materialize_by(
+        A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits")), "sample_id"
+    )
+    teacher, student = step_candidates(merged, sides, k, engine)
+    pairs = C.match_per_step(
+        teacher, student, sides.mapping, enable_topk, threshold, strip="marker", pairs=SPECIAL_PAIRS_SORTED
+    ).withColumn("direction", F.lit("t2s"))
+    gathered = C.gather_logits(pairs, merged, MASKED_LOGIT_SORTED, sides.first_id)
+    vectors = gathered.select(
+        "sample_id", F.col("pairs.tea_logit").alias("tea_logits"), F.col("pairs.stu_logit").alias("stu_logits")
+    )
+    return L.kl_dense(vectors, temperature=1.0)

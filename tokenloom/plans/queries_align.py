@@ -471,3 +471,31 @@ def first_wins_loss(spark, sf_dir):
     batches = steps.select("sample_id", F.col("sample_id").alias("batch")).distinct()
     loss = distill.first_wins_loss(steps, batches, _sides(spark, sf_dir), K, THRESHOLD, TEMPERATURE)
     return loss.withColumn("distill_loss", rounded(F.col("distill_loss")))
+
+
+_PER_STEP = f"""{_CAND.replace(_WEIGHTED, _NORM)}, near AS (
+  SELECT a.sample_id, a.step, a.rank, min(({_distance('a', 'p')}, p.id))[2] AS dst_id
+  FROM tea_cand a JOIN stu_cand p ON p.sample_id = a.sample_id AND p.step = a.step
+  WHERE {_distance('a', 'p')} < {THRESHOLD} GROUP BY a.sample_id, a.step, a.rank),
+  pairs AS (
+    SELECT a.sample_id, a.step, a.rank, a.id AS src_id, coalesce(m.dst, n.dst_id)::INTEGER AS dst_id
+    FROM tea_cand a LEFT JOIN t2s m ON m.src = a.id
+    LEFT JOIN near n ON n.sample_id = a.sample_id AND n.step = a.step AND n.rank = a.rank),
+  vectors AS (
+    SELECT p.sample_id, p.step,
+           list(CASE WHEN dst_id IS NULL THEN -100.0::DOUBLE ELSE t.v END ORDER BY rank) AS p,
+           list(CASE WHEN dst_id IS NULL THEN -100.0::DOUBLE ELSE s.v END ORDER BY rank) AS q
+    FROM pairs p
+    LEFT JOIN tea_steps t ON t.sample_id = p.sample_id AND t.step = p.step AND t.idx = p.src_id
+    LEFT JOIN stu_steps s ON s.sample_id = p.sample_id AND s.step = p.step AND s.idx = p.dst_id
+    GROUP BY p.sample_id, p.step)"""
+
+
+@query(f"""WITH RECURSIVE {_PER_STEP},
+logs AS (SELECT sample_id, {log_softmax_sql('p')} AS lp, {log_softmax_sql('q')} AS lq FROM vectors),
+terms AS (SELECT sample_id, unnest(lp) AS a, unnest(lq) AS b FROM logs)
+SELECT sample_id, round(sum(exp(a) * (a - b)) / count(*), 6) AS distill_loss FROM terms GROUP BY sample_id""")
+def per_step_loss(spark, sf_dir):
+    """A2, M6c, M8 end to end: plain alignment, per-step matches, masked at -100."""
+    loss = distill.per_step_loss(S.step_logits(spark, sf_dir), _sides(spark, sf_dir), K, THRESHOLD)
+    return loss.withColumn("distill_loss", rounded(F.col("distill_loss")))
