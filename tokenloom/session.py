@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,11 +39,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The cluster's checkpoint folder.
+
+    Only a ``local`` master, whose driver is its only executor, gets a temporary folder
+    where none is named. A cluster without one is an error: each executor would write to
+    its own disk.
+    """
     jsc = spark.sparkContext._jsc.sc()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = jsc.getCheckpointDir()
     if current.isEmpty():
+        if not configured and re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tokenloom-"))
         current = jsc.getCheckpointDir()
     return configured or current.get()
