@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.chat_format import digest_conversations, format_turns
 from tokenloom.llm.common import table
+from tokenloom.llm.pii import find_pii, span_list
 from tokenloom.llm.registry import ORACLES, query
 from tokenloom.llm.token_counts import count_tokens
 
@@ -52,3 +53,19 @@ SELECT conv_id, count(*) AS n_turns,
        sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, a digest of the base spans, all spans."""
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(span_list(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
