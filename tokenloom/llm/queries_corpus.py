@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import stored, table
 from tokenloom.llm.mixture import mix_plan, word_count
 from tokenloom.llm.registry import ORACLES, query
+from tokenloom.llm.shards import shuffle_into_shards
 
 
 @query
@@ -42,3 +43,20 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (floor(rate) + (draw < rate - floor(rate))::INTEGER))::BIGINT AS taken
 FROM rates
 """
+
+
+SHARDS = 16
+
+
+@query
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 16 shards whose row counts are at most one apart."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return shuffle_into_shards(docs, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
