@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stored, table
 from tokenloom.llm.mixture import mix_plan, word_count
+from tokenloom.llm.near_duplicates import near_duplicates
 from tokenloom.llm.registry import ORACLES, query
 from tokenloom.llm.shards import shuffle_into_shards
 
@@ -60,3 +61,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(docs, SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 85 % common five-word shingles."""
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return found.withColumnRenamed("doc", "doc_id")
