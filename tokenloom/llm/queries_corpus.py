@@ -10,6 +10,7 @@ from tokenloom.llm.mixture import mix_plan, word_count
 from tokenloom.llm.near_duplicates import near_duplicates
 from tokenloom.llm.registry import ORACLES, query
 from tokenloom.llm.shards import shuffle_into_shards
+from tokenloom.llm.spot_signatures import compare_with_next, fingerprint
 
 
 @query
@@ -68,3 +69,18 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of 85 % common five-word shingles."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
     return found.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they and the next one are."""
+    compared = compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("signatures")).alias("fingerprint"),
+        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
