@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stored, table
+from tokenloom.llm.decontaminate import find_items
 from tokenloom.llm.mixture import mix_plan, word_count
 from tokenloom.llm.near_duplicates import near_duplicates
 from tokenloom.llm.registry import ORACLES, query
@@ -84,3 +85,10 @@ def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds up to 10 % edits."""
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "distance", "budget", F.col("end").alias("found_end"))
