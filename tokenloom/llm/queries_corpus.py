@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import stored, table
 from tokenloom.llm.decontaminate import find_items
+from tokenloom.llm.language import declared_in, host_of, identify, learn_text_model, visible
 from tokenloom.llm.mixture import mix_plan, word_count
 from tokenloom.llm.near_duplicates import near_duplicates
 from tokenloom.llm.registry import ORACLES, query
@@ -92,3 +93,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds up to 10 % edits."""
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "distance", "budget", F.col("end").alias("found_end"))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page from its text, markup, address suffix and host."""
+    model = learn_text_model(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    html = F.col("html")
+    found = identify(table(spark, sf_dir, "pages"), model, "page_id", visible(html), declared_in(html), host_of(F.col("url")))
+    return found.select(
+        F.col("doc").alias("page_id"), "host", "declared", "suffix", "text_lang", "lang", F.round("confidence", 6).alias("confidence")
+    )
