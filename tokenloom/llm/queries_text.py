@@ -10,6 +10,7 @@ from tokenloom.llm.common import table
 from tokenloom.llm.pii import find_pii, span_list
 from tokenloom.llm.registry import ORACLES, query
 from tokenloom.llm.token_counts import count_tokens
+from tokenloom.llm.url_filter import host_and_path, judge_urls, oracle
 
 TOKEN_LIMIT = 1024
 
@@ -69,3 +70,32 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_list(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"),
         span_list(F.col("spans")).alias("spans"),
     )
+
+
+RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page by its url; labels are those of the documents that urls number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    _, path = host_and_path(F.col("url"))
+    named = pages.select("page_id", F.try_to_number(F.regexp_extract(path, r"([0-9]{1,18})(?!.*[0-9])", 1), F.lit("9" * 18)).cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    judged = judge_urls(pages, named.join(labels, "doc_id").select("page_id", "good"), RULES)
+    return judged.withColumn("purity", F.round("purity", 9))
+
+
+ORACLES["op8_urls"] = oracle(
+    r"""SELECT page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, good
+        FROM pages LEFT JOIN (SELECT doc_id, bool_and(quality = 1 AND toxic = 0) AS good FROM labels GROUP BY doc_id)
+        ON doc_id = try_cast(regexp_extract(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1), '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT)""",
+    RULES,
+)
