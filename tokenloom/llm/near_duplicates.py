@@ -6,11 +6,12 @@ for any number of coordinates, and the values of one shingle for all coordinates
 neighbours in memory.
 
 Documents with equal sets are one class from the start. Classes that share a band are
-candidates. Within a bucket every class is compared with the bucket's first one, which
-connects most of a group in as many comparisons as it has members. Only classes of one
-bucket that are still in different components after that are compared with one another, so
-no link that could join two components is left out, and a large group of copies never
-becomes all of its pairs.
+candidates. Within a bucket every class is compared with the bucket's first one, then with
+its most central one, which connects nearly all of a group in as many comparisons as it has
+members. Only classes of one bucket that are still in different components after that, and
+that have enough shingles in common with others at all, are compared with one another. So no
+link that could join two components is left out, and a group of copies does not become all
+of its pairs.
 """
 
 from __future__ import annotations
@@ -153,6 +154,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(common * 100 >= union * percent).select("a", "b")
 
 
+def _reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The bucket members that could still link, with ``reach``: their shingles that any other member has.
+
+    Two sets have no more in common than the smaller reach, so a set most of whose shingles
+    are its own is decided without a comparison.
+    """
+    own = sets.join(members.select("set_key").distinct(), "set_key").select("set_key", F.explode("shingles").alias("shingle"))
+    lone = own.groupBy("shingle").agg(F.count("*").alias("uses"), F.min("set_key").alias("set_key")).where("uses = 1")
+    lone = lone.groupBy("set_key").agg(F.count("*").alias("lone"))
+    reach = F.col("n") - F.coalesce("lone", F.lit(0))
+    return members.join(lone, "set_key", "left").select("bucket", "set_key", "n", "root", reach.alias("reach")).where(F.col("reach") * 100 >= F.col("n") * percent)
+
+
+def _to_middle(members: DataFrame) -> DataFrame:
+    """Each member with the member of its bucket that has the largest share in common with the others."""
+    share = F.col("reach") / F.col("n")
+    middle = members.groupBy("bucket").agg(F.max(F.struct(share.alias("share"), "set_key", "n", "root", "reach")).alias("m"))
+    return members.join(middle, "bucket").select("set_key", "n", "root", "reach", F.col("m.set_key").alias("b"), F.col("m.n").alias("b_n"), F.col("m.root").alias("b_root"), F.col("m.reach").alias("b_reach"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Members of one bucket that are in different components, every two of them."""
+    other = members.select("bucket", *(F.col(c).alias(f"b_{c}") for c in ("n", "root", "reach")), F.col("set_key").alias("b"))
+    return members.join(other, "bucket").where("set_key < b")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS, seed: int = 0
 ) -> DataFrame:
@@ -188,19 +215,19 @@ def near_duplicates(
     sets = stored(sets, "sets")
     links = stored(_confirmed(stars, sets, percent), "star-links")
     roots = components(links)
-    # Buckets whose members are still in different components.
-    member = entries.join(roots, entries["set_key"] == roots["node"], "left").select("bucket", "set_key", "n", "hub", F.coalesce("root", "set_key").alias("root"))
-    member = stored(member, "members")
-    mixed = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = member.join(mixed, "bucket")
-    right = left.select("bucket", F.col("set_key").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-    rest = (
-        left.join(right, "bucket").where("set_key < b and root <> b_root and set_key <> hub and " + sizes_fit.format("n", "b_n"))
-        .select(F.col("set_key").alias("a"), "b").distinct()
-    )
-    more = stored(_confirmed(rest, sets, percent), "rest-links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    for nearest_first in (True, False):
+        # Buckets whose members are still in different components.
+        placed = entries.join(roots, entries["set_key"] == roots["node"], "left")
+        member = stored(placed.select("bucket", "set_key", "n", F.coalesce("root", "set_key").alias("root")), "members")
+        mixed = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        open_ = stored(_reachable(member.join(mixed.select("bucket"), "bucket"), sets, percent), "open-members")
+        pairs = _to_middle(open_) if nearest_first else _across(open_)
+        bound = "root <> b_root and least(reach, b_reach) * 100 >= (n + b_n - least(reach, b_reach)) * " + str(percent)
+        pairs = pairs.where(bound).select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
+        more = stored(_confirmed(pairs, sets, percent), "more-links")
+        if not more.isEmpty():
+            links = stored(links.unionByName(more), "links")
+            roots = components(links)
     least = (
         classes.join(roots, classes["set_key"] == roots["node"], "left")
         .select("set_key", "first_doc", F.coalesce("root", "set_key").alias("root"))
