@@ -72,6 +72,19 @@ def attach(df: DataFrame, dim: DataFrame, keys: list[str], salt_by: list[str], h
     return joined.drop(salt, f"{salt}_right", *renamed.values())
 
 
+def without_keys(df: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are not in ``dropped``; null equals null.
+
+    ``dropped`` is measured: a small one is broadcast and ``df`` stays where it is, a large
+    one is joined by a shuffle.
+    """
+    dropped = stored(dropped.select(*keys).distinct(), "dropped")
+    names = fresh([*df.columns, *keys], *(f"{k}_dropped" for k in keys))
+    right = dropped.toDF(*names)
+    same = [df[k].eqNullSafe(right[n]) for k, n in zip(keys, names)]
+    return df.join(F.broadcast(right) if fits_broadcast(dropped) else right, same, "left_anti")
+
+
 def keyed_fraction(seed: int, *keys: str) -> Column:
     """A number in [0, 1) hashed from the seed and the keys, the same on every run."""
     parts = [F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import attach, column, stored
+from tokenloom.llm.common import attach, column, fresh, stored, without_keys
 
 # Labelled rows that the text model is learnt from, at most; those of the least key hashes.
 SAMPLE_ROWS = 4000
@@ -132,7 +132,7 @@ def _by_language(languages: list[str]) -> list[Column]:
 def identify(
     docs: DataFrame, model: TextModel, key: str, text: Column, declared: Column, host: Column, strength: float = STRENGTH
 ) -> DataFrame:
-    """``(doc, host, declared, suffix, text_lang, lang, confidence)`` for every row of ``docs``.
+    """``(doc, text_hash, host, declared, suffix, text_lang, lang, confidence)`` for every row of ``docs``.
 
     ``lang`` is the language of the greatest posterior and ``confidence`` that posterior;
     ``und`` with 0 for a text without any letter, and ``und`` where no language reaches one
@@ -160,13 +160,13 @@ def identify(
             yield pa.array(out, pa.list_(pa.float64()))
 
     score = F.arrow_udf(scored, "array<double>", F.ArrowUDFType.SCALAR_ITER)
-    base = docs.select(column(docs, key).alias("doc"), host.alias("host"), _primary(declared).alias("declared"), score(letters(text)).alias("text_logs"))
+    base = docs.select(column(docs, key).alias("doc"), F.xxhash64(text).alias("text_hash"), host.alias("host"), _primary(declared).alias("declared"), score(letters(text)).alias("text_logs"))
     names = F.array(*(F.lit(x) for x in languages)).cast("array<string>")
     best = F.array_position("text_logs", F.array_max("text_logs")).cast("int")
     base = base.withColumns({"suffix": suffix_of(F.col("host")), "domain": domain_of(F.col("host")), "text_lang": F.get(names, best - 1)})
     base = stored(base, "evidence")
     if not size:
-        return base.select("doc", "host", "declared", "suffix", "text_lang", F.lit(UNDECIDED).alias("lang"), F.lit(0.0).alias("confidence"))
+        return base.select("doc", "text_hash", "host", "declared", "suffix", "text_lang", F.lit(UNDECIDED).alias("lang"), F.lit(0.0).alias("confidence"))
     # Priors: what texts say per host, per domain, and over all rows.
     hosts = stored(base.where(F.col("host").isNotNull()).groupBy("host", "domain").agg(*_by_language(languages)), "hosts")
     domains = hosts.groupBy("domain").agg(*(F.sum(f"n{i}").alias(f"d{i}") for i in range(size)))
@@ -200,11 +200,12 @@ def identify(
     sure = F.col("confidence") >= LEAST_CONFIDENCE
     lang = F.when(sure, F.get(names, F.array_position("logs", F.col("top")).cast("int") - 1)).otherwise(UNDECIDED)
     return joined.select(
-        "doc", "host", "declared", "suffix", "text_lang", F.coalesce(lang, F.lit(UNDECIDED)).alias("lang"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
+        "doc", "text_hash", "host", "declared", "suffix", "text_lang", F.coalesce(lang, F.lit(UNDECIDED)).alias("lang"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
     )
 
 
-def with_known_language(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def with_known_language(docs: DataFrame, found: DataFrame, key: str, text: Column) -> DataFrame:
     """The rows of ``docs`` whose language was decided, with their own columns."""
-    rejected = found.where(F.col("lang") == UNDECIDED).select(F.col("doc").alias("rejected_doc")).distinct()
-    return docs.join(rejected, docs[key].eqNullSafe(rejected["rejected_doc"]), "left_anti")
+    (hashed,) = fresh(docs.columns, "text_hash")
+    undecided = found.where(F.col("lang") == UNDECIDED).select(F.col("doc").alias(key), F.col("text_hash").alias(hashed))
+    return without_keys(docs.withColumn(hashed, F.xxhash64(text)), undecided, [key, hashed]).drop(hashed)

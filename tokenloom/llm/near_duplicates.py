@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import WORD, column, fresh, stored
+from tokenloom.llm.common import WORD, column, fresh, stored, without_keys
 
 WORDS = 5
 CIRCLE = 1 << 20  # places of the two permutations
@@ -192,6 +192,11 @@ def near_duplicates(
     unless nothing else is reachable. Columns besides key and text are not read. An empty
     table gives an empty table.
     """
+    out = _with_components(docs, key, text, percent, words, seed).select("doc", F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.col("doc").eqNullSafe(F.col("component_id")))
+
+
+def _with_components(docs: DataFrame, key: str, text: str, percent: int, words: int, seed: int) -> DataFrame:
     sketches = stored(sketch(docs, key, text, seed, words), "sketches")
     filled = sketches.where("n > 0")
     classes = stored(filled.groupBy("set_key").agg(F.min("doc").alias("first_doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -233,11 +238,19 @@ def near_duplicates(
         .select("set_key", "first_doc", F.coalesce("root", "set_key").alias("root"))
     )
     ids = least.groupBy("root").agg(F.min("first_doc").alias("component_id")).join(least, "root").select("set_key", "component_id")
-    out = sketches.join(ids, "set_key", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
-    return out.withColumn("kept", F.col("doc").eqNullSafe(F.col("component_id")))
+    return sketches.join(ids, "set_key", "left").select("doc", "text_hash", "n", F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    kept = near_duplicates(docs, key, text, percent).where("kept").select(F.col("doc").alias(fresh(docs.columns, "kept_doc")[0])).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept[kept.columns[0]]), "left_semi")
+    """One row of each component of ``near_duplicates``, and every row without shingles.
+
+    Rows keep their own columns. Of rows that repeat both key and text one stays.
+    """
+    found = stored(_with_components(docs, key, text, percent, WORDS, 0), "components")
+    hashed, *_ = fresh(docs.columns, "text_hash")
+    tagged = docs.withColumn(hashed, F.xxhash64(column(docs, text)))
+    lost = found.where(~F.col("doc").eqNullSafe(F.col("component_id"))).select(F.col("doc").alias(key), F.col("text_hash").alias(hashed))
+    left = without_keys(tagged, lost, [key, hashed])
+    if not found.groupBy("doc", "text_hash").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates([key, hashed])
+    return left.drop(hashed)
