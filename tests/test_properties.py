@@ -121,3 +121,25 @@ def test_streams_over_several_batches_equal_the_batch_result(spark, tmp_path):
     batch = jobs.windowed_means(metric_rows(spark, 0, 300)).orderBy("run", "window_start").collect()
     assert [(r.run, r.window_start, r.rows) for r in latest] == [(r.run, r.window_start, r.rows) for r in batch]
     assert [r.sft_loss for r in latest] == pytest.approx([r.sft_loss for r in batch])
+
+
+def test_words_are_looked_up_in_place(spark):
+    """No row moves below the read, and the join for large vocabularies gives the same ids."""
+    from tokenloom.operators.tokenize import tokenize_words
+    from tokenloom.plans.prepare import prepare_student
+
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("</s>", 3)], "token string, id int")
+    rows = [(1, "a b", "b zz a"), (2, "", ""), (3, "a", None), (4, None, "a " * 50)]
+    df = spark.createDataFrame(rows, "sample_id long, prefix string, text string")
+    prepared = prepare_student(df, "sample_id", vocab, "</s>", 8)
+    plan = prepared._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    by_id = {r["sample_id"]: r for r in prepared.collect()}
+    assert by_id[1]["ids"] == [1, 2, 0, 1, 3] or by_id[1]["ids"] == [1, 0, 0, 1, 3]
+    assert len(by_id[1]["ids"]) == len(by_id[1]["labels"])
+    args = (df, "sample_id", {"ids": F.col("text")}, vocab)
+    size = {"n": F.length("prefix")}
+    quick = tokenize_words(*args, limit=5, carry=size)
+    joined = tokenize_words(*args, limit=5, carry=size, dictionary_bytes=0)
+    pairs = [sorted((r["sample_id"], r["ids"] or [], r["n"]) for r in x.collect() if r["sample_id"] != 3) for x in (quick, joined)]
+    assert pairs[0] == pairs[1]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.constants import UNK_ID
@@ -13,6 +15,9 @@ from tokenloom.functions.text import words
 from tokenloom.operators.lookup import lookup
 from tokenloom.session import materialize, spread
 
+# Bytes of a vocabulary (tokens, plus 12 an entry) that is broadcast to every task.
+DICTIONARY_BYTES = 64 * 1024 * 1024
+
 
 def spaced_specials(text: Column, specials: Iterable[str]) -> Column:
     """Put spaces around special tokens, so a glued end marker is a token of its own."""
@@ -21,10 +26,23 @@ def spaced_specials(text: Column, specials: Iterable[str]) -> Column:
     return text
 
 
-def _word_rows(df: DataFrame, key: str, texts: dict[str, Column], specials: Iterable[str]) -> DataFrame:
+def cut_words(text: Column, specials: Iterable[str] = (), limit: int | None = None) -> Column:
+    """The words of a text that are tokens of their own, at most the first ``limit``."""
+    found = words(spaced_specials(text, specials))
+    return found if limit is None else F.slice(found, 1, limit)
+
+
+def word_total(text: Column, specials: Iterable[str] = ()) -> Column:
+    """How many tokens ``tokenize_words`` makes of a text; no vocabulary is needed for that."""
+    return F.size(cut_words(text, specials))
+
+
+def _word_rows(
+    df: DataFrame, key: str, texts: dict[str, Column], specials: Iterable[str], limit: int | None = None
+) -> DataFrame:
     parts = F.array(
         *[
-            F.struct(F.lit(i).alias("part"), words(spaced_specials(text, specials)).alias("words"))
+            F.struct(F.lit(i).alias("part"), cut_words(text, specials, limit).alias("words"))
             for i, text in enumerate(texts.values())
         ]
     )
@@ -46,6 +64,29 @@ def _collected(rows: DataFrame, key: str, names: list[str], value: Column) -> Da
     return grouped.select(key, *[ids_of(i).alias(name) for i, name in enumerate(names)])
 
 
+def _dictionary(vocab: DataFrame, limit: int) -> pa.Table | None:
+    """The vocabulary as an Arrow table, if its measured bytes stay within ``limit``."""
+    size = vocab.agg(F.sum(F.octet_length("token") + F.lit(12)).alias("bytes")).first()["bytes"]
+    return vocab.select("token", F.col("id").cast("int").alias("id")).toArrow() if (size or 0) <= limit else None
+
+
+def _ids_in_place(spark: SparkSession, dictionary: pa.Table, unk_id: int) -> Callable[[Column], Column]:
+    """A column function from words to ids: one hash look-up per batch, with the vocabulary broadcast."""
+    shared = spark.sparkContext.broadcast(dictionary)
+
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = shared.value.combine_chunks()
+        tokens = known["token"].combine_chunks() if known.num_rows else pa.array([], pa.string())
+        ids = known["id"].combine_chunks() if known.num_rows else pa.array([], pa.int32())
+        for lists in batches:
+            found = ids.take(pc.index_in(lists.flatten(), value_set=tokens)).fill_null(unk_id)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, found, mask=lists.is_null())
+
+    return F.arrow_udf(look_up, "array<int>", F.ArrowUDFType.SCALAR_ITER)
+
+
 def tokenize_words(
     df: DataFrame,
     key: str,
@@ -53,13 +94,29 @@ def tokenize_words(
     vocab: DataFrame,
     specials: Iterable[str] = (),
     unk_id: int = UNK_ID,
+    limit: int | None = None,
+    carry: dict[str, Column] | None = None,
+    dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> DataFrame:
-    """Whitespace tokens looked up in ``vocab(token, id)``: ``(key, <name>: array<int>..)``.
+    """Whitespace tokens looked up in ``vocab(token, id)``: ``(key, <name>: array<int>.., <carry>..)``.
 
-    All texts of a row go through one explode, one lookup and one regrouping by ``key``.
+    Of each text the first ``limit`` tokens are looked up, others are cut off before. A
+    vocabulary within ``dictionary_bytes`` is broadcast and texts are read where they are:
+    no row moves, and ``df`` may be a stream. A larger one is joined to the exploded words
+    over a salted shuffle and the words of a row regrouped by ``key``, which then has to be
+    unique. Both ways give the same ids. ``carry`` names more columns to keep.
     """
-    rows = lookup(_word_rows(df, key, texts, specials), vocab.select("token", "id"), "token", salt_by=[key, "pos"])
-    return _collected(rows, key, list(texts), F.coalesce(F.col("id"), F.lit(unk_id)).cast("int"))
+    carry = carry or {}
+    dictionary = _dictionary(vocab, dictionary_bytes)
+    if dictionary is not None:
+        ids = _ids_in_place(df.sparkSession, dictionary, unk_id)
+        coded = [ids(cut_words(text, specials, limit)).alias(name) for name, text in texts.items()]
+        return df.select(key, *coded, *[value.alias(name) for name, value in carry.items()])
+    rows = lookup(_word_rows(df, key, texts, specials, limit), vocab.select("token", "id"), "token", salt_by=[key, "pos"])
+    coded = _collected(rows, key, list(texts), F.coalesce(F.col("id"), F.lit(unk_id)).cast("int"))
+    if not carry:
+        return coded
+    return coded.join(df.select(key, *[value.alias(name) for name, value in carry.items()]), key)
 
 
 def longest_match_words(tokens: DataFrame, pieces: DataFrame, unk_id: int = UNK_ID) -> DataFrame:

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import labels as L
 from tokenloom.operators.templates import prompt_and_text, record_shape, teacher_text, teacher_text_append
-from tokenloom.operators.tokenize import tokenize_words
+from tokenloom.operators.tokenize import tokenize_words, word_total
 
 
 def label_rows(tokens: DataFrame, key: str, side: str | Column, block_size: int, masked: bool, labelled: bool = True) -> DataFrame:
-    """``(key, side, ids, mask, labels)`` from raw ``prompt`` and ``text`` ids.
+    """``(key, side, ids, mask, labels)`` from ``text`` ids and the length of the prompt, ``prompt_size``.
 
     Prompt and text are truncated independently; ``labels`` is NULL for a side that gets
     its labels later (a masked-LM student).
     """
     ids = L.truncate(F.col("text"), block_size)
-    prompt = F.size(L.truncate(F.col("prompt"), block_size)) if masked else F.lit(0)
+    prompt = F.least(F.col("prompt_size"), F.lit(block_size)) if masked else F.lit(0)
     return tokens.select(
         key,
         (F.lit(side) if isinstance(side, str) else side).alias("side"),
@@ -31,8 +31,8 @@ def prepare_student(records: DataFrame, key: str, vocab: DataFrame, eos: str, bl
     """The student side of a record table, whatever its shape."""
     shape = record_shape([c for c in records.columns if c != key])
     texts = prompt_and_text(records, key, eos, is_mlm)
-    wanted = {"prompt": F.coalesce("prompt", F.lit("")), "text": F.col("text")}
-    tokens = tokenize_words(texts, key, wanted, vocab, specials=[eos])
+    size = {"prompt_size": word_total(F.coalesce("prompt", F.lit("")), [eos])}
+    tokens = tokenize_words(texts, key, {"text": F.col("text")}, vocab, [eos], limit=block_size, carry=size)
     return label_rows(tokens, key, "student", block_size, shape != "plain", labelled=not is_mlm)
 
 
@@ -62,14 +62,14 @@ def prepare_teachers(
             texts = texts.filter(F.lit(False))
     else:
         raise ValueError(f"unknown teacher text method {method!r}")
-    wanted = {"prompt": F.coalesce("prompt", F.lit(""))}
-    wanted |= {f"text{i}": text for i, text in enumerate(sides)}
+    wanted = {f"text{i}": text for i, text in enumerate(sides)}
     specials = sorted({student_eos, *teacher_ends})
-    tokens = tokenize_words(texts, key, wanted, vocab, specials=specials)
+    size = {"prompt_size": word_total(F.coalesce("prompt", F.lit("")), specials)}
+    tokens = tokenize_words(texts, key, wanted, vocab, specials, limit=block_size, carry=size)
     listed = F.array(
         *[F.struct(F.lit(f"teacher{i}").alias("side"), F.col(f"text{i}").alias("text")) for i in range(len(sides))]
     )
-    long = tokens.select(key, "prompt", F.inline(listed))
+    long = tokens.select(key, "prompt_size", F.inline(listed))
     return label_rows(long, key, F.col("side"), block_size, masked=shape == "prefix")
 
 

@@ -14,6 +14,7 @@ from tokenloom.plans.registry import (
     added_sql,
     ids_sql,
     listed,
+    pair_sql,
     query,
     vocab_sql,
     words_sql,
@@ -22,7 +23,8 @@ from tokenloom.session import scratch_path
 from tokenloom.sources import corpus, run_metrics
 from tokenloom.streaming import jobs
 
-BLOCK = 128
+BLOCK = 2048  # the block size of every published run
+SMALL_BLOCK = 128  # cuts most samples; for the query of the cut itself
 _SEED = 42
 
 
@@ -66,22 +68,18 @@ def read_text_lines(spark, sf_dir):
     return rows.groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PREFIX_SAMPLES} SELECT sample_id, prefix || text || '</s>' AS text FROM prefix_samples""")
-def read_corpus_stream(spark, sf_dir):
-    """S3: the same files as a stream, the same template, a parquet sink, drained."""
-    source = scratch_path(spark, "stream-in")
-    _written(S.prefix_samples(spark, sf_dir).repartition(4, "sample_id"), "json", source)
-    schema = "sample_id long, prefix string, text string"
-    records = corpus.read_corpus_stream(spark, source, StructType.fromDDL(schema), fmt="json", maxFilesPerTrigger=2)
+@query("""
+SELECT line || chr(10) AS text, count(*) AS n
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY line
+""")
+def read_text_stream(spark, sf_dir):
+    """Text files as a stream have line ends as they have in a batch."""
+    lines = S.table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("value"))
+    path = _written(lines, "text", scratch_path(spark, "lines"))
+    records = corpus.read_corpus_stream(spark, path, StructType.fromDDL("value string"), fmt="txt")
     out = scratch_path(spark, "stream-out")
-    running = jobs.prepare_stream(
-        records,
-        lambda df: templates.prompt_and_text(df, "sample_id").select("sample_id", "text"),
-        out,
-        scratch_path(spark, "stream-state"),
-    )
-    running.awaitTermination()
-    return spark.read.parquet(out)
+    jobs.prepare_stream(records, lambda df: df, out, scratch_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query("SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role")
@@ -257,7 +255,7 @@ _PIECES = f"""{vocab_sql('base_vocab', 'benchmark')},
     FROM walk w LEFT JOIN best b ON b.word = w.word AND b.start = w.at
     LEFT JOIN pieces p ON p.token = w.word[b.start:b.start + b.size - 1] GROUP BY w.word),
   placed AS (
-    SELECT conv_id * 1000 + turn AS sample_id, unnest({{words}}) AS word,
+    SELECT {pair_sql('conv_id', 'turn')} AS sample_id, unnest({{words}}) AS word,
            generate_subscripts({{words}}, 1) AS pos FROM conversations),
   coded AS (SELECT sample_id, flatten(list(ids ORDER BY pos)) AS ids FROM placed JOIN cut USING (word) GROUP BY sample_id)
 SELECT sample_id, array_to_string(ids, ',') AS ids FROM coded
@@ -274,7 +272,7 @@ def tokenize_longest_match(spark, sf_dir):
     last = base.agg(F.max("id").alias("last")).scalar()
     extra = ordering.global_index(letters, ["token"]).select("token", (F.col("idx") + 1 + last).cast("int").alias("id"))
     rows = S.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "text"
+        S.turn_key().alias("sample_id"), "text"
     )
     coded = tokenize.tokenize_longest_match(
         rows, "sample_id", {"ids": F.col("text")}, base.unionByName(extra)
@@ -285,8 +283,9 @@ def tokenize_longest_match(spark, sf_dir):
 def _coded_sql(vocab: str, source: str, key: str, prompt: str, text: str, ends: tuple[str, ...] = ("</s>",)) -> str:
     for end in ends:
         text = f"replace({text}, '{end}', ' {end} ')"
+    name = "instruction_samples" if "instruction_samples AS" in source else "prefix_samples"
     return f"""{vocab}, {source},
-    source AS (SELECT {key} AS sample_id, {prompt} AS prompt, {text} AS text FROM {source.split(' AS ')[0]}),
+    source AS (SELECT {key} AS sample_id, {prompt} AS prompt, {text} AS text FROM {name}),
     {ids_sql('p', 'source', 'sample_id', 'prompt', 'vocab')},
     {ids_sql('t', 'source', 'sample_id', 'text', 'vocab')},
     raw AS (SELECT sample_id, p.ids AS prompt, t.ids AS text FROM p JOIN t USING (sample_id)),
@@ -317,6 +316,32 @@ def prepare_prefix(spark, sf_dir):
     return _shown(_student_rows(spark, sf_dir))
 
 
+@query(f"WITH {_PREFIX_CODED.replace(str(BLOCK), str(SMALL_BLOCK))} SELECT sample_id, 'student' AS side, {_ROWS} FROM cut")
+def truncate_to_small_block(spark, sf_dir):
+    """Prompt and text cut independently, in a block that most samples exceed."""
+    vocab = S.tokenizer_vocab(S.student_vocab(spark, sf_dir))
+    return _shown(prepare.prepare_student(S.prefix_samples(spark, sf_dir), "sample_id", vocab, S.STUDENT_EOS, SMALL_BLOCK))
+
+
+@query(f"WITH {_PREFIX_CODED} SELECT sample_id, 'student' AS side, {_ROWS} FROM cut")
+def read_corpus_stream(spark, sf_dir):
+    """S3: the same files as a stream, the whole preparation, a parquet sink, drained."""
+    source = scratch_path(spark, "stream-in")
+    _written(S.prefix_samples(spark, sf_dir).repartition(4, "sample_id"), "json", source)
+    schema = "sample_id long, prefix string, text string"
+    records = corpus.read_corpus_stream(spark, source, StructType.fromDDL(schema), fmt="json", maxFilesPerTrigger=2)
+    out = scratch_path(spark, "stream-out")
+    vocab = S.tokenizer_vocab(S.student_vocab(spark, sf_dir))
+    running = jobs.prepare_stream(
+        records,
+        lambda df: prepare.prepare_student(df, "sample_id", vocab, S.STUDENT_EOS, BLOCK),
+        out,
+        scratch_path(spark, "stream-state"),
+    )
+    running.awaitTermination()
+    return _shown(spark.read.parquet(out))
+
+
 @query(f"""WITH {_coded_sql(_STUDENT, INSTRUCTION_SAMPLES, 'sample_id', f'({_INS})', f"({_OUT} || '</s>')")}
 SELECT sample_id, 'student' AS side, {_ROWS} FROM cut""")
 def prepare_instruction(spark, sf_dir):
@@ -385,13 +410,14 @@ def labelled_corpus_summary(spark, sf_dir):
     """The flagship: corpus to labelled tokens, summed up by whether a sample was cut."""
     vocab = S.tokenizer_vocab(S.student_vocab(spark, sf_dir))
     texts = templates.prompt_and_text(S.prefix_samples(spark, sf_dir), "sample_id", S.STUDENT_EOS)
+    sizes = {name: tokenize.word_total(F.col(name), [S.STUDENT_EOS]) for name in ("prompt", "text")}
     tokens = tokenize.tokenize_words(
-        texts, "sample_id", {"prompt": F.col("prompt"), "text": F.col("text")}, vocab, specials=[S.STUDENT_EOS]
+        texts, "sample_id", {"ids": F.col("text")}, vocab, [S.STUDENT_EOS], limit=BLOCK, carry=sizes
     )
-    ids = labels.truncate(F.col("text"), BLOCK)
-    kept = labels.mask_prompt_labels(ids, F.size(labels.truncate(F.col("prompt"), BLOCK)))
+    ids = F.col("ids")
+    kept = labels.mask_prompt_labels(ids, F.least("prompt", F.lit(BLOCK)))
     rows = tokens.select(
-        labels.overlength(F.col("text"), BLOCK).alias("overlength"),
+        (F.col("text") > BLOCK).alias("overlength"),
         F.size(ids).alias("tokens"),
         F.size(F.filter(kept, labels.is_content)).alias("trained"),
     )

@@ -11,7 +11,7 @@ from tokenloom.operators import labels
 from tokenloom.operators import losses as L
 from tokenloom.operators import scoring as W
 from tokenloom.plans import standins as S
-from tokenloom.plans.registry import METRICS_ROWS, PAIRED_STEPS, log_softmax_sql, query, softmax_sql
+from tokenloom.plans.registry import METRICS_ROWS, PAIRED_STEPS, log_softmax_sql, pair_sql, query, softmax_sql
 from tokenloom.session import scratch_path
 from tokenloom.streaming import jobs
 
@@ -312,7 +312,7 @@ _ROUGE_WORDS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda
 
 
 @query(f"""WITH RECURSIVE pairs AS (
-  SELECT a.conv_id * 1000 + a.turn AS sample_id, {_ROUGE_WORDS.format('p.text')} AS p, {_ROUGE_WORDS.format('a.text')} AS r
+  SELECT {pair_sql('a.conv_id', 'a.turn')} AS sample_id, {_ROUGE_WORDS.format('p.text')} AS p, {_ROUGE_WORDS.format('a.text')} AS r
   FROM conversations a JOIN conversations p ON p.conv_id = a.conv_id + 1 AND p.turn = a.turn
   WHERE a.role = 'assistant' AND p.role = 'assistant'),
 rows AS (

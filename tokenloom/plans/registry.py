@@ -67,18 +67,22 @@ def ids_sql(name: str, source: str, key: str, text: str, vocab: str) -> str:
         LEFT JOIN {vocab} v USING (token) GROUP BY {key}) t USING ({key}))"""
 
 
-PREFIX_SAMPLES = """prefix_samples AS (
-  SELECT u.conv_id * 1000 + u.turn AS sample_id, u.text AS prefix, a.text AS text
+def pair_sql(a: str, b: str) -> str:
+    """One number for two that are not negative; different pairs get different numbers."""
+    return f"((({a} + {b}) * ({a} + {b} + 1)) // 2 + {b})"
+
+
+PREFIX_SAMPLES = f"""prefix_samples AS (
+  SELECT {pair_sql('u.conv_id', 'u.turn')} AS sample_id, u.conv_id, u.text AS prefix, a.text AS text
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
-INSTRUCTION_SAMPLES = """instruction_samples AS (
-  SELECT conv_id AS sample_id,
-         arg_min(text, turn) FILTER (role = 'system') AS instruction,
-         arg_min(text, turn) FILTER (role = 'user') AS input,
-         arg_min(text, turn) FILTER (role = 'assistant') AS output
-  FROM conversations GROUP BY conv_id
-  HAVING instruction IS NOT NULL AND input IS NOT NULL AND output IS NOT NULL)"""
+INSTRUCTION_SAMPLES = f"""{PREFIX_SAMPLES},
+instruction_samples AS (
+  SELECT sample_id, s.instruction, prefix AS input, text AS output
+  FROM prefix_samples JOIN (
+    SELECT conv_id, arg_min(text, turn) AS instruction FROM conversations WHERE role = 'system' GROUP BY conv_id) s
+  USING (conv_id))"""
 
 PAIRED_STEPS = """paired_steps AS (
   SELECT t.vec_id // 10 AS sample_id, (t.vec_id % 10)::INTEGER AS pos, t.label AS label, s.label AS stu_label,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.vocab import added_tokens, ranked_vocab, token_counts, vocab_head
@@ -18,7 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prefix_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_key() -> Column:
+    """One number for a conversation and a turn; different pairs get different numbers."""
+    return F.expr("(conv_id + turn) * (conv_id + turn + 1) div 2 + turn")
+
+
+def prefix_samples(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataFrame:
     """``(sample_id, prefix, text)``: a user turn and the assistant turn after it.
 
     Turns meet by an equi join on (conversation, turn), so a long conversation is spread.
@@ -28,22 +33,16 @@ def prefix_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), "text"
     )
-    return user.join(reply, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "prefix", "text"
-    )
+    return user.join(reply, ["conv_id", "turn"]).select(turn_key().alias("sample_id"), "prefix", "text", *also)
 
 
 def instruction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(sample_id, instruction, input, output)``: first system, user and assistant turn."""
-
-    def first(role: str):
-        return F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-
-    return (
-        table(spark, sf_dir, "conversations")
-        .groupBy(F.col("conv_id").alias("sample_id"))
-        .agg(first("system").alias("instruction"), first("user").alias("input"), first("assistant").alias("output"))
-        .dropna()
+    """``(sample_id, instruction, input, output)``: every reply, under its conversation's first system turn."""
+    system = table(spark, sf_dir, "conversations").filter("role = 'system'")
+    system = system.groupBy("conv_id").agg(F.min_by("text", "turn").alias("instruction"))
+    replies = prefix_samples(spark, sf_dir, also=("conv_id",))
+    return replies.join(system, "conv_id").select(
+        "sample_id", "instruction", F.col("prefix").alias("input"), F.col("text").alias("output")
     )
 
 
@@ -142,5 +141,5 @@ def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = replies.select("conv_id", "turn", F.col("text").alias("reference"))
     prediction = replies.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("text").alias("prediction"))
     return reference.join(prediction, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "prediction", "reference"
+        turn_key().alias("sample_id"), "prediction", "reference"
     )

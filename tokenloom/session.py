@@ -91,6 +91,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Only where the whole input is smaller than one scan partition per core, so that a scan
     cannot keep the cores busy. A large input is left where it is: it has splits enough.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

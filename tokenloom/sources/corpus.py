@@ -65,14 +65,17 @@ def load_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def read_corpus_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", **options) -> DataFrame:
-    """The same files as a stream; a stream needs its schema."""
+def read_corpus_stream(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", keep_linebreaks: bool = True, **options
+) -> DataFrame:
+    """The same files as a stream; a stream needs its schema. Text lines keep their line end as in a batch."""
     kind = corpus_format([path], fmt)
     reader = spark.readStream.schema(schema).options(**options)
     if kind == "csv":
         return reader.csv(path, header=True, multiLine=True, escape='"')
     if kind == "txt":
-        return reader.text(path)
+        lines = spark.readStream.options(**options).text(path)
+        return lines.select(F.concat("value", F.lit("\n" if keep_linebreaks else "")).alias("text"))
     return reader.json(path)
 
 
