@@ -174,10 +174,12 @@ def _to_middle(members: DataFrame) -> DataFrame:
     return members.join(middle, "bucket").select("set_key", "n", "root", "reach", F.col("m.set_key").alias("b"), F.col("m.n").alias("b_n"), F.col("m.root").alias("b_root"), F.col("m.reach").alias("b_reach"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Members of one bucket that are in different components, every two of them."""
-    other = members.select("bucket", *(F.col(c).alias(f"b_{c}") for c in ("n", "root", "reach")), F.col("set_key").alias("b"))
-    return members.join(other, "bucket").where("set_key < b")
+def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of one bucket, every two of them, in the first bucket that they share."""
+    members = members.join(classes.select("set_key", "bands"), "set_key")
+    other = members.select("bucket", *(F.col(c).alias(f"b_{c}") for c in ("n", "root", "reach", "bands")), F.col("set_key").alias("b"))
+    first = F.get(F.array_intersect("bands", "b_bands"), F.lit(0))
+    return members.join(other, "bucket").where("set_key < b").where(first == F.col("bucket"))
 
 
 def near_duplicates(
@@ -226,7 +228,7 @@ def _with_components(docs: DataFrame, key: str, text: str, percent: int, words:
         member = stored(placed.select("bucket", "set_key", "n", F.coalesce("root", "set_key").alias("root")), "members")
         mixed = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         open_ = stored(_reachable(member.join(mixed.select("bucket"), "bucket"), sets, percent), "open-members")
-        pairs = _to_middle(open_) if nearest_first else _across(open_)
+        pairs = _to_middle(open_) if nearest_first else _across(open_, classes)
         bound = "root <> b_root and least(reach, b_reach) * 100 >= (n + b_n - least(reach, b_reach)) * " + str(percent)
         pairs = pairs.where(bound).select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
         more = stored(_confirmed(pairs, sets, percent), "more-links")
