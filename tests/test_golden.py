@@ -11,7 +11,7 @@ from tokenloom.functions import arrays, text
 from tokenloom.operators import align as A
 from tokenloom.operators import candidates as C
 from tokenloom.operators import collate, labels, losses, ordering, scoring, templates, tokenize, vocab
-from tokenloom.plans import prepare
+from tokenloom.plans import distill, prepare
 from tokenloom.sources import corpus, vocab_map
 
 
@@ -65,7 +65,7 @@ def test_weight_buckets(spark):
 
 
 def test_truncated_response_has_no_labels(spark):
-    tokens = spark.createDataFrame([(1, [5, 6, 7], [5, 6, 7, 8, 9])], "sample_id long, prompt array<int>, text array<int>")
+    tokens = spark.createDataFrame([(1, 3, [5, 6, 7, 8, 9])], "sample_id long, prompt_size int, text array<int>")
     row = prepare.label_rows(tokens, "sample_id", "student", 3, masked=True).first()
     assert row.ids == [5, 6, 7] and row.labels == [-100] * 3 and row.mask == [1] * 3
 
@@ -290,3 +290,62 @@ def test_wide_engine_agrees(spark):
         assert len(found["sql"]) == len(found["arrow"]) > 0
         numbers = {e: sorted(v for r in rows for v in r if isinstance(v, float)) for e, rows in found.items()}
         assert numbers["sql"] == pytest.approx(numbers["arrow"])
+
+
+def step_table(spark, rows):
+    """Steps over three-token vocabularies: (sample, side, pos, id)."""
+    vectors = {1: [3.0, 1.0, 0.5], 2: [0.5, 3.0, 1.0], 3: [1.0, 0.5, 3.0], 9: [2.0, 2.5, 1.0]}
+    schema = "sample_id long, side string, pos int, token_id int, logits array<double>"
+    return spark.createDataFrame([(s, side, p, t, vectors[t]) for s, side, p, t in rows], schema)
+
+
+@pytest.fixture(scope="module")
+def three(spark):
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "token string, id int")
+    return distill.Sides.of(vocab, vocab, 3, 3)
+
+
+WHOLE = [(1, side, p, t) for side in ("teacher", "student") for p, t in enumerate((1, 2, 3))]
+
+
+def losses_of(steps, three):
+    batches = steps.select("sample_id", F.col("sample_id").alias("batch")).distinct()
+    for loss in (
+        distill.contextual_loss(steps, three, k=2),
+        distill.first_wins_loss(steps, batches, three, k=2),
+        distill.per_step_loss(steps, three, k=2),
+    ):
+        yield {r.sample_id: (r.status, r.distill_loss) for r in loss.collect()}
+
+
+def test_step_numbers_may_be_sequence_positions(spark, three):
+    near = list(losses_of(step_table(spark, WHOLE), three))
+    moved = [(s, side, 5 + 2 * p + (side == "student"), t) for s, side, p, t in WHOLE]
+    far = list(losses_of(step_table(spark, moved), three))
+    for a, b in zip(near, far):
+        assert a.keys() == b.keys() == {1} and a[1][0] == "ok" and a[1][1] == pytest.approx(b[1][1])
+
+
+def test_samples_without_content_keep_a_row(spark, three):
+    rows = WHOLE + [(2, "teacher", 0, 1), (3, "student", 0, 1)]
+    for found in losses_of(step_table(spark, rows), three):
+        assert {s: status for s, (status, _) in found.items()} == {1: "ok", 2: "empty_student", 3: "empty_teacher"}
+        assert found[1][1] is not None and found[2][1] is None and found[3][1] is None
+
+
+def test_unknown_ids_survive(spark, three):
+    rows = [(1, side, p, 9 if (side, p) == ("teacher", 1) else t) for _, side, p, t in WHOLE]
+    for found in losses_of(step_table(spark, rows), three):
+        assert found[1][0] == "ok" and found[1][1] is not None
+
+
+def test_content_steps_pair_ids_with_their_vectors(spark):
+    rows = spark.createDataFrame([(1, "student", [7, 8, 9], [-100, 8, 9])], "sample_id long, side string, ids array<int>, labels array<int>")
+    logits = spark.createDataFrame([(1, "student", p, [float(p)]) for p in range(3)], "sample_id long, side string, pos int, logits array<double>")
+    assert sorted((r.pos, r.token_id, r.logits) for r in distill.content_steps(rows, logits).collect()) == [(1, 8, [1.0]), (2, 9, [2.0])]
+
+
+def test_batch_rate_is_the_mean_over_its_samples(spark):
+    losses = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, None)], "sample_id long, unmasked_rate double")
+    batches = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "sample_id long, batch int")
+    assert distill.batch_rate(losses, batches).first().unmasked_rate == 0.75

@@ -59,7 +59,11 @@ def weight_of_entropy(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sample_tokens(steps: DataFrame) -> DataFrame:
-    """One row per sample from rows ``(sample_id, side, pos, token, weight)``."""
+    """One row per sample from rows ``(sample_id, side, pos, token, weight)``.
+
+    ``pos`` is any increasing number, such as a place in the padded sequence; the arrays
+    ``tea_pos`` and ``stu_pos`` say which one each content step has.
+    """
 
     def of(side: str, field: str) -> Column:
         mine = F.filter("_steps", lambda e: e["side"] == side)
@@ -74,6 +78,8 @@ def sample_tokens(steps: DataFrame) -> DataFrame:
         of("student", "token").alias("stu_tokens"),
         of("teacher", "weight").alias("tea_weights"),
         of("student", "weight").alias("stu_weights"),
+        of("teacher", "pos").cast("array<long>").alias("tea_pos"),
+        of("student", "pos").cast("array<long>").alias("stu_pos"),
     )
 
 
@@ -182,7 +188,8 @@ def _list_of_pairs(parts: list[np.ndarray], names: tuple[str, str]) -> pa.Array:
 
 _ALIGNED = (
     "total_cost double, path array<struct<i:int,j:int>>, "
-    "tea_spans array<struct<lo:int,hi:int>>, stu_spans array<struct<lo:int,hi:int>>"
+    "tea_spans array<struct<lo:int,hi:int>>, stu_spans array<struct<lo:int,hi:int>>, "
+    "tea_pos array<long>, stu_pos array<long>"
 )
 
 
@@ -191,7 +198,7 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         columns = {name: batch.column(name) for name in batch.schema.names}
         totals, paths = [], []
         for row in range(batch.num_rows):
-            given = {name: column[row] for name, column in columns.items() if name != "sample_id"}
+            given = {name: column[row] for name, column in columns.items() if name not in ("sample_id", "tea_pos", "stu_pos")}
             tea_kinds, stu_kinds = given["tea_kinds"].values, given["stu_kinds"].values
             table = given["costs"].values.to_numpy().reshape(len(tea_kinds), len(stu_kinds))
             weights = None
@@ -212,8 +219,10 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 _list_of_pairs(paths, ("i", "j")),
                 _list_of_pairs([_spans(p[:, 0], p[:, 1]) for p in paths], ("lo", "hi")),
                 _list_of_pairs([_spans(p[:, 1], p[:, 0]) for p in paths], ("lo", "hi")),
+                columns["tea_pos"],
+                columns["stu_pos"],
             ],
-            names=["sample_id", "total_cost", "path", "tea_spans", "stu_spans"],
+            names=["sample_id", "total_cost", "path", "tea_spans", "stu_spans", "tea_pos", "stu_pos"],
         )
 
 
@@ -225,10 +234,12 @@ def align(
     strip: str | None = None,
     pairs: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """``(sample_id, status, total_cost, path, tea_spans, stu_spans)``.
+    """``(sample_id, status, total_cost, path, tea_spans, stu_spans, tea_pos, stu_pos)``.
 
-    ``path`` is an array of (i teacher, j student). A span is the first and last partner
-    of a position: of teacher positions in ``tea_spans``, of student ones in ``stu_spans``.
+    ``path`` is an array of (i teacher, j student), which count content steps from 0. A
+    span is the first and last partner of a step: of teacher steps in ``tea_spans``, of
+    student ones in ``stu_spans``. ``tea_pos`` and ``stu_pos`` are the steps' own numbers,
+    0, 1, .. where ``samples`` has none. Samples without content have a status and no path.
 
     ``weighted``: edit distance times both step weights. ``norm``: edit distance over the
     summed lengths, no weights, with that method's own special pairs and marker rule.
@@ -239,6 +250,10 @@ def align(
     norm = cost == "norm"
     strip = strip or ("marker" if norm else "both")
     pairs = pairs or (SPECIAL_PAIRS_SORTED if norm else SPECIAL_PAIRS)
+    for side in ("tea", "stu"):
+        if f"{side}_pos" not in samples.columns:
+            own = F.transform(f"{side}_tokens", lambda t, i: i.cast("long"))
+            samples = samples.withColumn(f"{side}_pos", own)
     marked = samples.withColumn("status", align_status(F.size("stu_tokens"), F.size("tea_tokens")))
 
     none = F.lit(None).cast("array<int>")
@@ -251,6 +266,8 @@ def align(
             _costs(F.col("tea_kinds"), F.col("stu_kinds"), norm, marker_t, marker_s, strip, pairs).alias("costs"),
             (none if norm else F.col("tea_weights")).alias("tea_weights"),
             (none if norm else F.col("stu_weights")).alias("stu_weights"),
+            "tea_pos",
+            "stu_pos",
         )
     )
     kind = samples.schema["sample_id"].dataType.simpleString()
@@ -262,6 +279,8 @@ def align(
         F.lit(None).cast("array<struct<i:int,j:int>>").alias("path"),
         F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("tea_spans"),
         F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("stu_spans"),
+        "tea_pos",
+        "stu_pos",
     )
     return aligned.withColumn("status", F.lit("ok")).unionByName(empty).select(empty.columns)
 
@@ -305,7 +324,8 @@ def merge_by_student(aligned: DataFrame, teacher: DataFrame) -> DataFrame:
 
     ``teacher`` is ``(sample_id, pos, logits)``; returns ``(sample_id, j, logits)``.
     """
-    path = path_table(aligned).select("sample_id", F.col("i").alias("pos"), "j")
+    steps = aligned.select("sample_id", "tea_pos", F.explode("path").alias("step"))
+    path = steps.select("sample_id", F.get("tea_pos", F.col("step.i")).alias("pos"), F.col("step.j").alias("j"))
     placed = teacher.repartition("sample_id").join(path, ["sample_id", "pos"])
     return mean_vectors(placed, ["sample_id", "j"])
 
@@ -341,11 +361,14 @@ def _group_weights(aligned: DataFrame) -> DataFrame:
 
     def entry(side: str, pos: Column, step: Column, weight: Column) -> Column:
         return F.struct(
-            F.lit(side).alias("side"), pos.alias("pos"), step.alias("step"), weight.alias("weight")
+            F.lit(side).alias("side"),
+            F.get("tea_pos" if side == "teacher" else "stu_pos", pos).alias("pos"),
+            step.alias("step"),
+            weight.alias("weight"),
         )
 
     groups = aligned.filter(F.col("path").isNotNull()).select(
-        "sample_id", "stu_spans", _groups(F.col("tea_spans")).alias("_groups")
+        "sample_id", "stu_spans", "tea_pos", "stu_pos", _groups(F.col("tea_spans")).alias("_groups")
     )
     shares = F.flatten(
         F.transform("_groups", lambda g, step: F.concat(teacher(g, step), student(g, step)))
@@ -356,8 +379,8 @@ def _group_weights(aligned: DataFrame) -> DataFrame:
 def merge_by_group(aligned: DataFrame, steps: DataFrame) -> DataFrame:
     """``(sample_id, step, tea_logits, stu_logits)``: both sides averaged over each step.
 
-    ``steps`` is ``(sample_id, side, pos, logits)`` with ``pos`` counting content
-    positions. The nested means are one weighted mean, so the wide rows move once, by
+    ``steps`` is ``(sample_id, side, pos, logits)`` with the ``pos`` that the samples were
+    listed with. The nested means are one weighted mean, so the wide rows move once, by
     ``sample_id``, and all that follows reuses that partitioning.
     """
     placed = steps.repartition("sample_id").join(_group_weights(aligned), ["sample_id", "side", "pos"])

@@ -17,6 +17,7 @@ from tokenloom.constants import (
 from tokenloom.operators import align as A
 from tokenloom.operators import candidates as C
 from tokenloom.operators import losses as L
+from tokenloom.operators.labels import content_positions
 from tokenloom.operators.lookup import lookup
 from tokenloom.operators.vocab import exact_map, invert_last
 from tokenloom.session import materialize, materialize_by
@@ -24,6 +25,9 @@ from tokenloom.session import materialize, materialize_by
 # Fixed value: spare ids behind the student's vocabulary in the inverse map.
 SPARE_IDS = 256
 
+# What an id outside its vocabulary reads as in an alignment.
+UNKNOWN_TOKEN = "\ufffd"
+
 
 @dataclass(frozen=True)
 class Sides:
@@ -53,10 +57,38 @@ def side_tokens(sides: Sides) -> DataFrame:
 
 
 def weighted_steps(steps: DataFrame, sides: Sides, engine: str = "sql") -> DataFrame:
-    """``weight`` and ``token`` of the content steps ``(sample_id, side, pos, token_id, logits)``."""
+    """``weight`` and ``token`` of the content steps ``(sample_id, side, pos, token_id, logits)``.
+
+    An id outside its vocabulary, such as an added token, reads as ``UNKNOWN_TOKEN``.
+    """
     slim = steps.select("sample_id", "side", "pos", "token_id", "logits")
     weights = A.entropy_weight(slim, ["sample_id", "side"], engine=engine)
-    return lookup(weights, side_tokens(sides), ["side", "token_id"], salt_by=["sample_id", "pos"])
+    named = lookup(weights, side_tokens(sides), ["side", "token_id"], salt_by=["sample_id", "pos"])
+    return named.withColumn("token", F.coalesce("token", F.lit(UNKNOWN_TOKEN)))
+
+
+def sample_status(steps: DataFrame) -> DataFrame:
+    """``(sample_id, status)`` of every sample that has a step on either side."""
+    of = {side: F.count_if(F.col("side") == side) for side in ("student", "teacher")}
+    return steps.groupBy("sample_id").agg(A.align_status(of["student"], of["teacher"]).alias("status"))
+
+
+def with_status(steps: DataFrame, loss: DataFrame) -> DataFrame:
+    """One row for every sample: a sample without content has a status and no loss."""
+    return sample_status(steps).join(loss, "sample_id", "left")
+
+
+def content_steps(rows: DataFrame, logits: DataFrame) -> DataFrame:
+    """``(sample_id, side, pos, token_id, logits)`` of the labelled positions.
+
+    ``rows`` are prepared rows ``(sample_id, side, ids, labels)``; ``logits`` is
+    ``(sample_id, side, pos, logits)`` over whole sequences, ``pos`` from 0. Ids and vectors
+    are filtered together; the wide rows move once, to their sample.
+    """
+    kept = content_positions(rows.select("sample_id", "side", "ids", "labels"))
+    return logits.repartition("sample_id").join(kept.repartition("sample_id"), ["sample_id", "side", "pos"]).select(
+        "sample_id", "side", "pos", "token_id", "logits"
+    )
 
 
 def aligned_samples(
@@ -113,7 +145,7 @@ def contextual_loss(
     mode: str = "published",
     engine: str = "sql",
 ) -> DataFrame:
-    """``(sample_id, distill_loss, unmasked_rate)`` of the main method.
+    """``(sample_id, status, distill_loss, unmasked_rate)`` of the main method.
 
     The merged vectors are needed twice, for the candidates and for the logits of the pairs
     found. They are written once, in buckets by sample, instead of merging twice.
@@ -125,7 +157,12 @@ def contextual_loss(
     pairs = materialize(matched_pairs(merged, sides, k, threshold, mode, mode, engine))
     gathered = C.gather_logits(pairs, merged, id_base=sides.first_id)
     loss = L.kl_topk(gathered, temperature, mode)
-    return loss.join(C.unmasked_rate(pairs), "sample_id")
+    return with_status(steps, loss.join(C.unmasked_rate(pairs), "sample_id"))
+
+
+def batch_rate(losses: DataFrame, batches: DataFrame) -> DataFrame:
+    """``(batch, unmasked_rate)``: the mean rate over the aligned samples of a batch."""
+    return losses.join(batches, "sample_id").groupBy("batch").agg(F.avg("unmasked_rate").alias("unmasked_rate"))
 
 
 def first_wins_loss(
@@ -137,7 +174,7 @@ def first_wins_loss(
     temperature: float = DEFAULT_TEMPERATURE,
     engine: str = "sql",
 ) -> DataFrame:
-    """``(sample_id, distill_loss)`` of the one-direction method over the whole vocabulary.
+    """``(sample_id, status, distill_loss)`` of the one-direction method over the whole vocabulary.
 
     ``batches`` is ``(sample_id, batch)``, the order of the run. The first proposal for a
     teacher id stays for the rest of the run, so a sample sees the entries made up to it.
@@ -155,7 +192,7 @@ def first_wins_loss(
     remapped = C.full_vocab_remap(
         merged.join(batches, "sample_id"), sides.mapping, id_base=sides.first_id, learnt=learnt
     )
-    return L.kl_dense(remapped, temperature)
+    return with_status(steps, L.kl_dense(remapped, temperature))
 
 
 def per_step_loss(
@@ -166,7 +203,7 @@ def per_step_loss(
     enable_topk: bool = True,
     engine: str = "sql",
 ) -> DataFrame:
-    """``(sample_id, distill_loss)`` with plain alignment and matches that do not carry over."""
+    """``(sample_id, status, distill_loss, unmasked_rate)`` with plain alignment and matches that do not carry over."""
     _, aligned = aligned_samples(steps, sides, cost="norm", engine=engine)
     merged = materialize_by(
         A.merge_by_group(aligned, steps.select("sample_id", "side", "pos", "logits")), "sample_id"
@@ -175,8 +212,10 @@ def per_step_loss(
     pairs = C.match_per_step(
         teacher, student, sides.mapping, enable_topk, threshold, strip="marker", pairs=SPECIAL_PAIRS_SORTED
     ).withColumn("direction", F.lit("t2s"))
+    pairs = materialize(pairs)
     gathered = C.gather_logits(pairs, merged, MASKED_LOGIT_SORTED, sides.first_id)
     vectors = gathered.select(
         "sample_id", F.col("pairs.tea_logit").alias("tea_logits"), F.col("pairs.stu_logit").alias("stu_logits")
     )
-    return L.kl_dense(vectors, temperature=1.0)
+    rate = C.unmasked_rate(pairs)
+    return with_status(steps, L.kl_dense(vectors, temperature=1.0).join(rate, "sample_id"))

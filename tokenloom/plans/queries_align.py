@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tokenloom.functions import text
 from tokenloom.functions.arrays import rounded
 from tokenloom.operators import align as A
 from tokenloom.operators import candidates as C
@@ -11,7 +12,7 @@ from tokenloom.operators import losses as L
 from tokenloom.plans import distill
 from tokenloom.plans import standins as S
 from tokenloom.plans.queries_vocab import alphabet_sql, bytes_sql, entropy_sql
-from tokenloom.plans.registry import STEP_LOGITS, listed, log_softmax_sql, query, vocab_sql
+from tokenloom.plans.registry import STEP_LOGITS, listed, log_softmax_sql, query, vocab_sql, words_sql
 from tokenloom.session import materialize_by
 
 K = 10
@@ -182,22 +183,33 @@ def merged_token_text(spark, sf_dir):
     return A.merged_token_text(samples, aligned)
 
 
-@query("""
-SELECT conv_id AS sample_id,
-       CASE WHEN count(*) FILTER (role = 'system') = 0 THEN 'empty_student'
-            WHEN count(*) FILTER (role = 'assistant') = 0 THEN 'empty_teacher' ELSE 'ok' END AS status
-FROM conversations GROUP BY conv_id
-""")
+@query(f"""WITH samples AS (
+  SELECT conv_id AS sample_id, coalesce(len(arg_min({words_sql('text')}, turn) FILTER (role = 'system')), 0) AS student,
+         coalesce(len(arg_min({words_sql('text')}, turn) FILTER (role = 'assistant')), 0) AS teacher
+  FROM conversations GROUP BY conv_id)
+SELECT sample_id, student, teacher,
+       CASE WHEN student = 0 THEN 'empty_student' WHEN teacher = 0 THEN 'empty_teacher' ELSE 'ok' END AS status,
+       CASE WHEN student = 0 OR teacher = 0 THEN 0 ELSE -1 END AS path_steps
+FROM samples""")
 def align_status(spark, sf_dir):
-    """A10: samples without content on a side are marked."""
+    """A10: first turns of conversations aligned by role; conversations without one have a status and no path."""
 
-    def turns(role):
-        return F.count(F.when(F.col("role") == role, F.lit(1)))
+    def tokens(role):
+        own = F.col("role") == role
+        first = F.min_by(F.when(own, text.words(F.col("text"))), F.when(own, F.col("turn")))
+        return F.coalesce(first, F.array().cast("array<string>"))
 
-    sides = S.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("sample_id")).agg(
-        turns("system").alias("student"), turns("assistant").alias("teacher")
+    turns = S.table(spark, sf_dir, "conversations")
+    samples = turns.groupBy(F.col("conv_id").alias("sample_id")).agg(
+        tokens("system").alias("stu_tokens"), tokens("assistant").alias("tea_tokens")
     )
-    return sides.select("sample_id", A.align_status(F.col("student"), F.col("teacher")).alias("status"))
+    aligned = A.align(samples, cost="norm")
+    path = F.size(F.coalesce("path", F.array().cast("array<struct<i:int,j:int>>")))
+    covers = (path >= F.greatest(F.size("stu_pos"), F.size("tea_pos"))) & (path < F.size("stu_pos") + F.size("tea_pos"))
+    return aligned.select(
+        "sample_id", F.size("stu_pos").cast("long").alias("student"), F.size("tea_pos").cast("long").alias("teacher"),
+        "status", F.when(F.col("status") != "ok", path).otherwise(F.when(covers, -1)).alias("path_steps"),
+    )
 
 
 # --- candidates --------------------------------------------------------------------------
@@ -423,7 +435,7 @@ def _topk_loss_sql(halves: str) -> str:
     loss AS (SELECT sample_id, sum(exp(a) * (a * {TEMPERATURE ** 2} - b)) / count(*) AS distill_loss
              FROM terms GROUP BY sample_id),
     rates AS (SELECT sample_id, direction, 1 - avg((dst_id IS NULL)::INTEGER) AS rate FROM pairs GROUP BY sample_id, direction)
-    SELECT l.sample_id, round(distill_loss, 6) AS distill_loss, round(avg(rate), 6) AS unmasked_rate
+    SELECT l.sample_id, 'ok' AS status, round(distill_loss, 6) AS distill_loss, round(avg(rate), 6) AS unmasked_rate
     FROM loss l JOIN rates USING (sample_id) GROUP BY l.sample_id, distill_loss"""
 
 
@@ -433,6 +445,7 @@ def _loss_result(spark, sf_dir, mode):
     )
     return rows.select(
         "sample_id",
+        "status",
         rounded(F.col("distill_loss")).alias("distill_loss"),
         rounded(F.col("unmasked_rate")).alias("unmasked_rate"),
     )
@@ -464,7 +477,7 @@ _FIRST_WINS = f"""{_FORWARD},
   FROM remapped GROUP BY sample_id, step),
 logs AS (SELECT sample_id, step, {log_softmax_sql('p')} AS lp, {log_softmax_sql('q')} AS lq FROM vectors),
 terms AS (SELECT sample_id, unnest(lp) AS a, unnest(lq) AS b FROM logs)
-SELECT sample_id, round(sum(exp(a) * (a * {TEMPERATURE ** 2} - b)) / count(*), 6) AS distill_loss FROM terms GROUP BY sample_id""")
+SELECT sample_id, 'ok' AS status, round(sum(exp(a) * (a * {TEMPERATURE ** 2} - b)) / count(*), 6) AS distill_loss FROM terms GROUP BY sample_id""")
 def first_wins_loss(spark, sf_dir):
     """M6b, M11, L1 end to end: one direction, a map that grows over the run."""
     steps = S.step_logits(spark, sf_dir)
@@ -494,8 +507,11 @@ _PER_STEP = f"""{_CAND.replace(_WEIGHTED, _NORM)}, near AS (
 @query(f"""WITH RECURSIVE {_PER_STEP},
 logs AS (SELECT sample_id, {log_softmax_sql('p')} AS lp, {log_softmax_sql('q')} AS lq FROM vectors),
 terms AS (SELECT sample_id, unnest(lp) AS a, unnest(lq) AS b FROM logs)
-SELECT sample_id, round(sum(exp(a) * (a - b)) / count(*), 6) AS distill_loss FROM terms GROUP BY sample_id""")
+SELECT sample_id, 'ok' AS status, round(sum(exp(a) * (a - b)) / count(*), 6) AS distill_loss,
+  any_value(rate) AS unmasked_rate
+FROM terms JOIN (SELECT sample_id, round(1 - avg((dst_id IS NULL)::INTEGER), 6) AS rate FROM pairs GROUP BY sample_id) USING (sample_id)
+GROUP BY sample_id""")
 def per_step_loss(spark, sf_dir):
     """A2, M6c, M8 end to end: plain alignment, per-step matches, masked at -100."""
     loss = distill.per_step_loss(S.step_logits(spark, sf_dir), _sides(spark, sf_dir), K, THRESHOLD)
-    return loss.withColumn("distill_loss", rounded(F.col("distill_loss")))
+    return loss.withColumns({c: rounded(F.col(c)) for c in ("distill_loss", "unmasked_rate")})
