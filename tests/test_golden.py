@@ -1,5 +1,6 @@
 """Hand-worked inputs."""
 
+import json
 import math
 
 import numpy as np
@@ -222,8 +223,11 @@ def test_text_files_keep_line_ends(spark, tmp_path):
 def test_map_file_round_trip(spark, tmp_path):
     mapping = spark.createDataFrame([(0, 5), (1, None), (10, 2)], "src_id int, dst_id int")
     vocab_map.write_vocab_map(mapping, str(tmp_path / "m"))
-    written = "".join(p.read_text() for p in (tmp_path / "m").glob("part-*"))
-    assert written.strip() == '{"0":5,"1":0,"10":2}'
+    written = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
+    assert written.replace("\n", "") == '{"0":5,"1":0,"10":2}'
+    assert json.loads(written) == {"0": 5, "1": 0, "10": 2}
+    vocab_map.write_vocab_map(mapping.limit(0), str(tmp_path / "none"))
+    assert vocab_map.read_vocab_map(spark, str(tmp_path / "none")).count() == 0
     again = vocab_map.read_vocab_map(spark, str(tmp_path / "m"))
     assert {tuple(r) for r in again.collect()} == {(0, 5), (1, None), (10, 2)}
 

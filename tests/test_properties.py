@@ -61,7 +61,7 @@ def test_salted_lookup_equals_broadcast(spark):
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
     for how in ("left", "inner"):
         small = lookup(df, dim, "k", how, salt_by=["v"])
-        salted = lookup(df, dim, "k", how, salt_by=["v"], broadcast_rows=0)
+        salted = lookup(df, dim, "k", how, salt_by=["v"], broadcast_bytes=0)
         assert sorted(small.collect(), key=str) == sorted(salted.collect(), key=str)
 
 
@@ -143,3 +143,30 @@ def test_words_are_looked_up_in_place(spark):
     joined = tokenize_words(*args, limit=5, carry=size, dictionary_bytes=0)
     pairs = [sorted((r["sample_id"], r["ids"] or [], r["n"]) for r in x.collect() if r["sample_id"] != 3) for x in (quick, joined)]
     assert pairs[0] == pairs[1]
+
+
+def test_remap_and_dense_loss_are_the_same_in_both_engines(spark):
+    from tokenloom.operators import candidates
+
+    rng = random.Random(4)
+    mapping = spark.createDataFrame([(i, rng.choice([None, rng.randint(1, 9)])) for i in range(1, 13)], "src_id int, dst_id int")
+    learnt = spark.createDataFrame([(i, rng.randint(1, 9), rng.randint(0, 3)) for i in range(1, 13, 2)], "src_id int, dst_id int, since int")
+    rows = [(s, t, [rng.gauss(0, 2) for _ in range(12)], [rng.gauss(0, 2) for _ in range(9)], s) for s in range(4) for t in range(3)]
+    merged = spark.createDataFrame(rows, "sample_id int, step int, tea_logits array<double>, stu_logits array<double>, batch int")
+    for late in (None, learnt):
+        remapped = [candidates.full_vocab_remap(merged, mapping, id_base=1, learnt=late, engine=e) for e in ("sql", "arrow")]
+        by_step = [{(r.sample_id, r.step): (r.tea_logits, r.stu_logits) for r in x.collect()} for x in remapped]
+        assert by_step[0] == by_step[1]
+        loss = [{r.sample_id: r.distill_loss for r in losses.kl_dense(remapped[0], 2.0, e).collect()} for e in ("sql", "arrow")]
+        assert loss[0] == pytest.approx(loss[1])
+
+
+def test_a_long_sample_aligns(spark):
+    """2,048 tokens a side: the work of one block."""
+    rng = random.Random(8)
+    words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(2048)]
+    other = [w if rng.random() < 0.9 else w + "x" for w in words]
+    row = [(1, words, other, [1] * 2048, [1] * 2048)]
+    kinds = "sample_id long, tea_tokens array<string>, stu_tokens array<string>, tea_weights array<int>, stu_weights array<int>"
+    found = A.align(spark.createDataFrame(row, kinds)).first()
+    assert found.status == "ok" and len(found.tea_pos) == 2048 and 2048 <= len(found.path) < 4096

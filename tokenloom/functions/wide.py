@@ -51,6 +51,23 @@ def forward_kl_step(teacher: Column, student: Column, temperature: float) -> Col
     return run(teacher, student)
 
 
+def kl_topk_step(teacher: Column, student: Column, temperature: float) -> Column:
+    """``struct<total, finite>``, as ``losses.kl_topk_step``."""
+
+    @F.pandas_udf("total double, finite long")
+    def run(t: pd.Series, s: pd.Series) -> pd.DataFrame:
+        def one(a, b) -> tuple[float, int]:
+            p, q = _log_softmax(a), _log_softmax(np.asarray(b, dtype=np.float64) / temperature)
+            with np.errstate(invalid="ignore"):
+                terms = np.exp(p) * (p * temperature**2 - q)
+            kept = terms[~np.isinf(terms)]
+            return float(kept.sum()), len(kept)
+
+        return pd.DataFrame([one(a, b) for a, b in zip(t, s)], columns=["total", "finite"])
+
+    return run(teacher, student)
+
+
 def sorted_distance(teacher: Column, student: Column) -> Column:
     @F.pandas_udf(DoubleType())
     def run(t: pd.Series, s: pd.Series) -> pd.Series:

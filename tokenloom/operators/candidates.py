@@ -25,7 +25,7 @@ from tokenloom.constants import (
 from tokenloom.functions import arrays
 from tokenloom.functions.text import normalize_token
 from tokenloom.operators.lookup import lookup
-from tokenloom.session import BROADCAST_ROWS, materialize
+from tokenloom.session import materialize
 
 
 def topk(steps: DataFrame, k: int, logits: str = "logits", id_base: int = 0, engine: str = "sql") -> DataFrame:
@@ -339,16 +339,16 @@ def full_vocab_remap(
     masked_logit: float = MASKED_LOGIT,
     id_base: int = 0,
     learnt: DataFrame | None = None,
+    engine: str = "sql",
 ) -> DataFrame:
     """Student logits brought to teacher ids over the whole map; both cut to one width.
 
     The map is one array, as long as the teacher's vocabulary; unmapped ids get
     ``masked_logit``. Entries of ``learnt`` (``src_id, dst_id, since``) hold for rows whose
-    ``batch`` is not before ``since``.
+    ``batch`` is not before ``since``. The map is as long as the teacher's vocabulary, which
+    data do not change. ``engine="arrow"`` gathers whole vectors with numpy, for
+    vocabularies of many thousands of entries; the results are the same.
     """
-    rows = mapping.count()
-    if rows > BROADCAST_ROWS:
-        raise ValueError(f"a map of {rows} ids is no vocabulary; match top-K candidates instead")
     if learnt is None:
         named = mapping.withColumns({"_late": F.lit(None).cast("int"), "_since": F.lit(None).cast("long")})
         batch = F.lit(0)
@@ -358,6 +358,15 @@ def full_vocab_remap(
         )
         named = mapping.join(late, "src_id", "left")
         batch = F.col("batch")
+    if engine == "arrow":
+        dense_width, mapped = _gathered(named, batch, masked_logit, id_base)
+        width = F.least(F.size("tea_logits"), F.lit(dense_width))
+        return merged.select(
+            "sample_id",
+            "step",
+            F.slice("tea_logits", F.lit(1), width).alias("tea_logits"),
+            F.slice(mapped, F.lit(1), width).alias("stu_logits"),
+        )
     dense = named.agg(
         F.array_sort(F.collect_list(F.struct("src_id", "dst_id", "_late", "_since"))).alias("ids")
     ).scalar()
@@ -377,3 +386,28 @@ def full_vocab_remap(
         F.slice("tea_logits", F.lit(1), width).alias("tea_logits"),
         F.slice(mapped, F.lit(1), width).alias("stu_logits"),
     )
+
+
+def _gathered(named: DataFrame, batch: Column, masked_logit: float, id_base: int) -> tuple[int, Column]:
+    """The width of the map, and student vectors brought to it by numpy."""
+    table = named.select("src_id", "dst_id", "_late", "_since").toArrow().sort_by("src_id")
+
+    def numbers(name: str, missing: int) -> np.ndarray:
+        return table[name].cast(pa.int64()).fill_null(missing).to_numpy()
+
+    never = np.iinfo(np.int64).max
+    fixed, late = numbers("dst_id", id_base - 1) - id_base, numbers("_late", id_base - 1) - id_base
+    shared = named.sparkSession.sparkContext.broadcast((fixed, late, numbers("_since", never)))
+
+    def bring(vectors: pa.Array, now: pa.Array) -> pa.Array:
+        own, learnt, since = shared.value
+        out = []
+        for vector, moment in zip(vectors, now.to_numpy(zero_copy_only=False)):
+            values = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            at = np.where(own >= 0, own, np.where(since <= moment, learnt, -1))
+            known = (at >= 0) & (at < len(values))
+            out.append(np.where(known, values[np.where(known, at, 0)], masked_logit))
+        return pa.array(out, pa.list_(pa.float64()))
+
+    column = F.arrow_udf(bring, "array<double>", F.ArrowUDFType.SCALAR)
+    return table.num_rows, column(F.col("stu_logits"), batch.cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.constants import (
@@ -23,12 +23,6 @@ def assign_batches(df: DataFrame, key: str, batch_size: int, seed: int = DEFAULT
     return numbered.select(key, F.floor(F.col("idx") / batch_size).cast("long").alias("batch"))
 
 
-def batch_widths(sizes: DataFrame, multiple: int = PAD_MULTIPLE) -> DataFrame:
-    """``(batch, width)`` from ``(batch, size)``: the longest, rounded up."""
-    longest = F.ceil(F.max("size") / F.lit(float(multiple))) * multiple
-    return sizes.groupBy("batch").agg(longest.cast("int").alias("width"))
-
-
 def pad_batch(
     tokens: DataFrame,
     batches: DataFrame,
@@ -39,12 +33,13 @@ def pad_batch(
 ) -> DataFrame:
     """Pad ``ids``, ``mask`` and ``labels`` to the width of their batch.
 
-    Widths come from the array sizes alone; the arrays take part in one join.
+    ``tokens`` is read once: rows are gathered by batch, and a window over a batch, which
+    has a set number of rows, gives its width.
     """
-    sizes = tokens.select(key, F.size("ids").alias("size")).join(batches, key)
-    placed = sizes.select(key, "batch").join(batch_widths(sizes, multiple), "batch")
-    width = F.col("width")
-    return tokens.join(placed, key).select(
+    longest = F.max(F.size("ids")).over(Window.partitionBy("batch"))
+    placed = tokens.join(batches, key).withColumn("_width", F.ceil(longest / F.lit(float(multiple))) * multiple)
+    width = F.col("_width").cast("int")
+    return placed.select(
         key,
         "batch",
         padded(F.col("ids"), width, pad_id, side).alias("ids"),

@@ -131,7 +131,7 @@ def _far_neighbours(words: DataFrame, student: DataFrame, student_rows: int) ->
         .withColumn("_lengths", lengths)
         .select("src_id", "token", "bound", F.explode(within).alias("dst_len"))
     )
-    met = lookup(reached, blocks, "dst_len", how="inner", dim_rows=student_rows, salt_by=["src_id"])
+    met = lookup(reached, blocks, "dst_len", how="inner", salt_by=["src_id"])
     scored = F.transform(
         "targets",
         lambda t: F.struct(
@@ -149,7 +149,7 @@ def min_edit_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
     target_rows = targets.count()
     source = teacher.select(F.col("id").alias("src_id"), "token")
 
-    exact = materialize(lookup(source, targets, "token", dim_rows=target_rows, salt_by=["src_id"]))
+    exact = materialize(lookup(source, targets, "token", salt_by=["src_id"]))
     done = exact.filter(F.col("id").isNotNull()).select(
         "src_id", F.col("id").alias("dst_id"), F.lit(0).alias("distance")
     )

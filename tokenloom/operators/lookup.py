@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.session import BROADCAST_ROWS
+# Measured bytes of a vocabulary or map that may be broadcast: all values as text, and 16 each.
+BROADCAST_BYTES = 96 * 1024 * 1024
+
+
+def measured_bytes(dim: DataFrame) -> int:
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in dim.columns), F.lit(0))
+    return dim.agg(F.sum(width).alias("bytes")).first()["bytes"] or 0
 
 
 def lookup(
@@ -13,21 +19,19 @@ def lookup(
     dim: DataFrame,
     on: str | list[str],
     how: str = "left",
-    dim_rows: int | None = None,
     salt_by: list[str] | None = None,
     salts: int = 32,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``df`` to ``dim``, which holds one row per key.
 
-    The rows of ``dim`` are counted. Up to ``broadcast_rows`` it is broadcast and ``df``
+    The bytes of ``dim`` are measured. Up to ``broadcast_bytes`` it is broadcast and ``df``
     does not move. Beyond that both sides are shuffled on the key and a salt, with ``dim``
     repeated once per salt, so a token that fills a third of ``df`` is spread over
     ``salts`` tasks. No row is lost either way.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    rows = dim.count() if dim_rows is None else dim_rows
-    if rows <= broadcast_rows:
+    if measured_bytes(dim) <= broadcast_bytes:
         return df.join(F.broadcast(dim), keys, how)
     by = salt_by or [c for c in df.columns if c not in keys][:2] or keys
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))

@@ -73,9 +73,10 @@ def kl_topk(steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE, halves:
     )
 
 
-def kl_dense(steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE) -> DataFrame:
+def kl_dense(steps: DataFrame, temperature: float = DEFAULT_TEMPERATURE, engine: str = "sql") -> DataFrame:
     """The same loss over whole vectors ``tea_logits, stu_logits``."""
-    step = kl_topk_step(F.col("tea_logits"), F.col("stu_logits"), temperature)
+    reduce = wide.kl_topk_step if _engine(engine) else kl_topk_step
+    step = reduce(F.col("tea_logits"), F.col("stu_logits"), temperature)
     scored = steps.select("sample_id", step.alias("_kl"))
     return scored.groupBy("sample_id").agg(
         F.try_divide(F.sum("_kl.total"), F.sum("_kl.finite")).alias("distill_loss")
@@ -151,9 +152,14 @@ def sorted_distance(teacher: Column, student: Column) -> Column:
     return arrays.total(gaps)
 
 
-def sorted_probability_loss(teacher: DataFrame, student: DataFrame, engine: str = "sql") -> DataFrame:
+def sorted_probability_loss(
+    teacher: DataFrame, student: DataFrame, engine: str = "sql", batches: DataFrame | None = None
+) -> DataFrame:
     """Per sample: mean sorted distance over positions that carry a label on both sides.
 
+    With ``batches`` ``(sample_id, batch)`` the positions of a batch are pooled: one row per
+    batch, in which a long sample weighs more than a short one.
+
     Both inputs are ``(sample_id, rpos, label, logits)`` with ``rpos`` rotated so that the
     response starts at 0; positions are paired by an equi join.
     """
@@ -164,7 +170,9 @@ def sorted_probability_loss(teacher: DataFrame, student: DataFrame, engine: str
 
     distance = wide.sorted_distance if _engine(engine) else sorted_distance
     paired = side(teacher, "tea_logits").join(side(student, "stu_logits"), ["sample_id", "rpos"])
-    return paired.groupBy("sample_id").agg(
+    if batches is not None:
+        paired = paired.join(batches, "sample_id")
+    return paired.groupBy("sample_id" if batches is None else "batch").agg(
         F.avg(distance(F.col("tea_logits"), F.col("stu_logits"))).alias("distill_loss")
     )
 

@@ -53,10 +53,12 @@ def exact_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
     return teacher.join(targets, "token", "left").select(F.col("id").alias("src_id"), "dst_id")
 
 
-def prefix_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
+def prefix_map(teacher: DataFrame, student: DataFrame, named: bool = False) -> DataFrame:
     """The longest student token that begins the teacher token.
 
-    Prefixes of a token are equi-joined, so no pair of unrelated tokens is looked at.
+    Prefixes of a token are looked up, so no pair of unrelated tokens is compared, and a
+    prefix that very many tokens share is broadcast or salted. ``named`` adds both tokens
+    (``src_token``, ``dst_token``) without another join: a match is a prefix.
     """
     longest = student.agg(F.max(F.length("token")).alias("n")).scalar()
     targets = student.groupBy(F.col("token").alias("prefix")).agg(F.min("id").alias("dst_id"))
@@ -64,11 +66,13 @@ def prefix_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
         F.col("id").alias("src_id"),
         F.col("token"),
         F.explode(F.sequence(F.lit(1), F.least(F.length("token"), longest))).alias("size"),
-    ).select("src_id", "size", F.expr("left(token, size)").alias("prefix"))
-    found = prefixes.join(targets, "prefix", "left")
-    return found.groupBy("src_id").agg(
-        F.max_by("dst_id", F.when(F.col("dst_id").isNotNull(), F.col("size"))).alias("dst_id")
-    )
+    ).select("src_id", "size", F.expr("left(token, size)").alias("prefix"), *(["token"] if named else []))
+    found = lookup(prefixes, targets, "prefix", salt_by=["src_id", "size"])
+    hit = F.when(F.col("dst_id").isNotNull(), F.col("size"))
+    best = [F.max_by("dst_id", hit).alias("dst_id")]
+    if named:
+        best += [F.first("token").alias("src_token"), F.max_by("prefix", hit).alias("dst_token")]
+    return found.groupBy("src_id").agg(*best)
 
 
 def invert_last(mapping: DataFrame) -> DataFrame:

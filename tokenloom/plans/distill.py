@@ -190,9 +190,10 @@ def first_wins_loss(
     )
     learnt = C.dynamic_map_first(proposals.join(batches, "sample_id"))
     remapped = C.full_vocab_remap(
-        merged.join(batches, "sample_id"), sides.mapping, id_base=sides.first_id, learnt=learnt
+        merged.join(batches, "sample_id"), sides.mapping, id_base=sides.first_id, learnt=learnt, engine=engine
     )
-    return with_status(steps, L.kl_dense(remapped, temperature))
+    loss = L.kl_dense(remapped, temperature, engine)
+    return with_status(steps, loss)
 
 
 def per_step_loss(

@@ -38,8 +38,8 @@ def _merged(spark, sf_dir, sides=None):
 # --- alignment ---------------------------------------------------------------------------
 
 _HEADS = f"""{vocab_sql('tea_all', 'documents')}, {vocab_sql('stu_all', 'conversations')},
-  tea_vocab AS (SELECT token, id FROM tea_all WHERE id <= 64),
-  stu_vocab AS (SELECT token, id FROM stu_all WHERE id <= 48),
+  tea_vocab AS (SELECT token, id FROM tea_all WHERE id <= {S.TEA_WIDTH}),
+  stu_vocab AS (SELECT token, id FROM stu_all WHERE id <= {S.STU_WIDTH}),
   {alphabet_sql('tea_vocab', 'stu_vocab')},
   tea_bytes AS (SELECT id, token, replace({bytes_sql('token')}, '_', '') AS b FROM tea_vocab),
   stu_bytes AS (SELECT id, token, replace({bytes_sql('token')}, 'Ġ', '') AS b FROM stu_vocab)"""
@@ -249,11 +249,11 @@ def _direction_sql(name: str, src: str, targets: str, table: str) -> str:
       LEFT JOIN {name}_dyn d ON d.sample_id = a.sample_id AND d.src_id = a.id)"""
 
 
-_STU_POOL = "stu_pool AS (SELECT * FROM stu_cand WHERE id NOT BETWEEN 1 AND 64 OR id IN (SELECT src FROM t2s))"
+_STU_POOL = f"stu_pool AS (SELECT * FROM stu_cand WHERE id NOT BETWEEN 1 AND {S.TEA_WIDTH} OR id IN (SELECT src FROM t2s))"
 _FORWARD = f"{_CAND}, {_STU_POOL}, {_direction_sql('fwd', 'tea_cand', 'stu_pool', 't2s')}"
 _TEA_POOL = f"""tea_pool AS (
   SELECT c.* FROM tea_cand c JOIN fwd f ON f.sample_id = c.sample_id AND f.step = c.step AND f.rank = c.rank
-  WHERE f.dst_id IS NOT NULL AND (c.id NOT BETWEEN 1 AND {48 + distill.SPARE_IDS} OR c.id IN (SELECT src FROM s2t)))"""
+  WHERE f.dst_id IS NOT NULL AND (c.id NOT BETWEEN 1 AND {S.STU_WIDTH + distill.SPARE_IDS} OR c.id IN (SELECT src FROM s2t)))"""
 _BOTH = f"""{_FORWARD}, {_TEA_POOL}, {_direction_sql('bwd', 'stu_cand', 'tea_pool', 's2t')},
   pairs AS (SELECT *, 't2s' AS direction FROM fwd UNION ALL SELECT *, 's2t' FROM bwd)"""
 _CLEAN = f"""{_CAND}, {_direction_sql('fwd', 'tea_cand', 'stu_cand', 't2s')},

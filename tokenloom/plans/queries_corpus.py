@@ -214,6 +214,26 @@ def teacher_text_append(spark, sf_dir):
     )
 
 
+@query("SELECT doc_id AS sample_id, NULL::VARCHAR AS prompt, lang AS body, lang || '</s>' AS text FROM documents")
+def template_first_column(spark, sf_dir):
+    """T4: records without a known column name are read from their first column."""
+    rows = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang", "source")
+    return templates.prompt_and_text(rows, "sample_id")
+
+
+_BLOCKS = ((None, 512), (None, 4096), (2048, 1500), (300, 1024))
+
+
+@query(f"""WITH sizes AS (SELECT len({words_sql('text')}) AS n FROM documents)
+SELECT block, sum((n > block)::INTEGER)::BIGINT AS longer FROM sizes, (VALUES (512), (1024), (1500), (300)) b(block) GROUP BY block""")
+def resolve_block_size(spark, sf_dir):
+    """T5: the block of each setting and model, and how many documents exceed it."""
+    blocks = [templates.resolve_block_size(*pair) for pair in _BLOCKS]
+    sizes = S.table(spark, sf_dir, "documents").select(tokenize.word_total(F.col("text")).alias("n"))
+    each = sizes.select("n", F.explode(F.array(*(F.lit(b) for b in blocks))).alias("block"))
+    return each.groupBy("block").agg(F.count_if(F.col("n") > F.col("block")).alias("longer"))
+
+
 # --- tokens and labels -------------------------------------------------------------------
 
 _STUDENT = f"{vocab_sql('base_vocab', 'conversations')}, {added_sql('vocab', 'base_vocab')}"
@@ -479,6 +499,14 @@ def _batches(spark, sf_dir):
     return collate.assign_batches(S.prefix_samples(spark, sf_dir), "sample_id", 8, _SEED)
 
 
+@query(f"WITH {_PREFIX_CODED}, {_BATCHES}, {_padded_sql(8, 'right', -1)}")
+def pad_batch_right(spark, sf_dir):
+    """Right padding, as a masked-LM student has it."""
+    return _shown_batch(
+        collate.pad_batch(_student_rows(spark, sf_dir), _batches(spark, sf_dir), "sample_id", -1, side="right")
+    )
+
+
 @query(f"WITH {PREFIX_SAMPLES}, {_BATCHES} SELECT sample_id, batch FROM batches")
 def assign_batches(spark, sf_dir):
     """Batches of consecutive shuffled samples."""

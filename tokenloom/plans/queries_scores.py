@@ -30,7 +30,7 @@ def _masked_steps(spark, sf_dir):
 
 
 _MASKED = PAIRED_STEPS + """, masked AS (
-  SELECT *, tea_logits[1:48] AS cut, CASE WHEN sample_id % 3 = 0 AND pos >= 7 THEN 0 ELSE 1 END AS mask FROM paired_steps)"""
+  SELECT *, tea_logits[1:64] AS cut, CASE WHEN sample_id % 3 = 0 AND pos >= 7 THEN 0 ELSE 1 END AS mask FROM paired_steps)"""
 
 
 def _at(v: str) -> str:
@@ -79,6 +79,19 @@ def truncate_teacher_vocab(spark, sf_dir):
     )
 
 
+@query(f"""WITH {_MASKED},
+holed AS (SELECT cut, list_transform(stu_logits, lambda x, i: CASE WHEN (i + pos) % 11 = 0 THEN '-infinity'::DOUBLE ELSE x END) AS stu FROM masked),
+logs AS (SELECT stu, {log_softmax_sql('cut')} AS lp, {log_softmax_sql('stu')} AS lq FROM holed),
+terms AS (SELECT unnest(lp) AS a, unnest(lq) AS b, unnest(stu) AS x FROM logs)
+SELECT round(sum(exp(a) * (a - b)) / count(*), 6) AS distill_loss FROM terms WHERE NOT isinf(x)""")
+def kl_generic_infinite(spark, sf_dir):
+    """L9 where some student logits are infinite: those entries are left out."""
+    steps = S.paired_steps(spark, sf_dir).withColumn("tea_logits", F.slice("tea_logits", 1, S.STU_WIDTH))
+    hole = lambda x, i: F.when((i + 1 + F.col("pos")) % 11 == 0, F.lit(float("-inf"))).otherwise(x)
+    loss = L.kl_generic(steps.withColumn("stu_logits", F.transform("stu_logits", hole)), "mean")
+    return loss.select(rounded(F.col("distill_loss")).alias("distill_loss"))
+
+
 @query(f"""WITH {_MASKED},
 logs AS (SELECT {log_softmax_sql('cut')} AS lp, {log_softmax_sql('stu_logits')} AS lq FROM masked),
 terms AS (SELECT unnest(lp) AS a, unnest(lq) AS b FROM logs)
@@ -140,6 +153,22 @@ def sorted_probability_loss(spark, sf_dir):
     return loss.withColumn("distill_loss", rounded(F.col("distill_loss")))
 
 
+@query(f"""WITH {_ROTATED},
+sorted AS (SELECT sample_id, side, rpos, list_reverse_sort({softmax_sql('logits')}) AS p FROM rotated WHERE label <> -100),
+gaps AS (
+  SELECT t.sample_id // 8 AS batch, list_sum(list_transform(list_zip(t.p, s.p), lambda e: abs(coalesce(e[1], 0) - coalesce(e[2], 0)))) AS gap
+  FROM sorted t JOIN sorted s ON s.sample_id = t.sample_id AND s.rpos = t.rpos
+  WHERE t.side = 'teacher' AND s.side = 'student')
+SELECT batch, round(avg(gap), 6) AS distill_loss FROM gaps GROUP BY batch""")
+def sorted_probability_pooled(spark, sf_dir):
+    """L5 with the positions of a batch pooled, eight samples a batch."""
+    rows = _rotated(spark, sf_dir)
+    batches = rows.select("sample_id", F.floor(F.col("sample_id") / 8).alias("batch")).distinct()
+    sides = [rows.filter(F.col("side") == side) for side in ("teacher", "student")]
+    loss = L.sorted_probability_loss(*sides, batches=batches)
+    return loss.withColumn("distill_loss", rounded(F.col("distill_loss")))
+
+
 @query(f"""WITH {PAIRED_STEPS}
 SELECT sample_id, round(avg(-({log_softmax_sql('stu_logits')})[label + 1]), 6) AS sft_loss
 FROM paired_steps GROUP BY sample_id""")
@@ -197,12 +226,14 @@ def running_mean_reset(spark, sf_dir):
 
 
 @query(f"""WITH {METRICS_ROWS}
-SELECT run, step, round(sum(unmasked_rate) OVER w / count(*) OVER w + {NUDGE}, 6) AS unmasked_rate FROM metrics
+SELECT run, step, round(sum(unmasked_rate) OVER w / count(*) OVER w + {NUDGE}, 6) AS unmasked_rate,
+  round(sum(sft_loss) OVER w / count(*) OVER w + {NUDGE}, 6) AS sft_loss FROM metrics
 WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)""")
 def running_mean_unguarded(spark, sf_dir):
     """W1 without the guard, as the same-tokenizer baselines keep it."""
-    rows = W.running_mean(S.metrics(spark, sf_dir), ("unmasked_rate",), guard=False)
-    return rows.withColumn("unmasked_rate", rounded(F.col("unmasked_rate") + NUDGE))
+    means = ("unmasked_rate", "sft_loss")  # the loss has rows that are no number, and stays none from there on
+    rows = W.running_mean(S.metrics(spark, sf_dir), means, guard=False)
+    return rows.select("run", "step", *[rounded(F.col(v) + NUDGE).alias(v) for v in means])
 
 
 @query(f"WITH {METRICS_ROWS} SELECT run, step, round(unmasked_rate, 6) AS unmasked_rate FROM metrics WHERE step % 3 = 0")
@@ -257,7 +288,7 @@ def predicted_ids(spark, sf_dir):
 
 _SHIFTED = PAIRED_STEPS + """,
 scored AS (
-  SELECT sample_id, pos, (list_position(stu_logits[1:10], list_max(stu_logits[1:10])) - 1)::INTEGER AS pred,
+  SELECT sample_id, pos, ((list_position(stu_logits, list_max(stu_logits)) - 1) % 10)::INTEGER AS pred,
          CASE WHEN pos < sample_id % 3 THEN -100 ELSE label END AS label FROM paired_steps),
 shifted AS (SELECT pred, lead(label) OVER (PARTITION BY sample_id ORDER BY pos) AS nxt FROM scored),
 counted AS (SELECT * FROM shifted WHERE nxt IS NOT NULL)"""
@@ -268,7 +299,7 @@ def _scored(spark, sf_dir):
     return S.paired_steps(spark, sf_dir).select(
         "sample_id",
         "pos",
-        arrays.argmax(F.slice("stu_logits", 1, 10)).alias("pred"),
+        (arrays.argmax(F.col("stu_logits")) % 10).alias("pred"),
         F.when(prompt, F.lit(-100)).otherwise(F.col("label")).alias("label"),
     )
 

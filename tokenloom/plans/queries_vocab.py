@@ -189,19 +189,18 @@ def vocab_map_json(spark, sf_dir):
 
 _PAIRS = f"""{_PREFIXED}, {alphabet_sql('tea_vocab', 'stu_vocab')},
   pairs AS (
-    SELECT m.src_id, {bytes_sql("'_' || t.token || ' '")} AS a, {bytes_sql("'Ġ' || s.token")} AS b,
-           t.token AS ta, s.token AS tb
+    SELECT m.src_id, t.token AS ta, s.token AS tb
     FROM vocab_map m JOIN tea_vocab t ON t.id = m.src_id JOIN stu_vocab s ON s.id = m.dst_id),
   stripped AS (SELECT src_id, ta, tb, {bytes_sql("replace(ta, '_', '')")} AS a, {bytes_sql("tb")} AS b FROM pairs)"""
 
 
 def _token_pairs(spark, sf_dir):
     teacher, student = S.teacher_vocab(spark, sf_dir), S.student_vocab(spark, sf_dir)
-    mapping = vocab.prefix_map(teacher, student).filter(F.col("dst_id").isNotNull())
-    named = mapping.join(teacher.select(F.col("id").alias("src_id"), F.col("token").alias("ta")), "src_id")
-    both = named.join(student.select(F.col("id").alias("dst_id"), F.col("token").alias("tb")), "dst_id")
+    both = vocab.prefix_map(teacher, student, named=True).filter(F.col("dst_id").isNotNull())
     return both.select(
-        "src_id", F.concat(F.lit("_"), "ta", F.lit(" ")).alias("a"), F.concat(F.lit("Ġ"), "tb").alias("b")
+        "src_id",
+        F.concat(F.lit("_"), "src_token", F.lit(" ")).alias("a"),
+        F.concat(F.lit("Ġ"), "dst_token").alias("b"),
     )
 
 

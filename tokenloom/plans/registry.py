@@ -86,8 +86,8 @@ instruction_samples AS (
 
 PAIRED_STEPS = """paired_steps AS (
   SELECT t.vec_id // 10 AS sample_id, (t.vec_id % 10)::INTEGER AS pos, t.label AS label, s.label AS stu_label,
-         list_transform(t.embedding, lambda x: x::DOUBLE * 20) AS tea_logits,
-         list_transform(s.embedding[1:48], lambda x: x::DOUBLE * 20) AS stu_logits
+         list_transform(t.embedding || s.embedding, lambda x: x::DOUBLE * 20) AS tea_logits,
+         list_transform(s.embedding, lambda x: x::DOUBLE * 20) AS stu_logits
   FROM embeddings t JOIN embeddings s
     ON s.vec_id = (t.vec_id + 1) % (SELECT count(*) FROM embeddings))"""
 

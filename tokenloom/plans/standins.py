@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenloom.operators.vocab import added_tokens, ranked_vocab, token_counts, vocab_head
 from tokenloom.session import materialize
 
-TEA_WIDTH, STU_WIDTH = 64, 48
+TEA_WIDTH, STU_WIDTH = 128, 64  # two whole vectors and one
 STUDENT_EOS = "</s>"
 TEACHER_EOS = "<|im_end|>"
 SECOND_TEACHER_EOS = "<|endoftext|>"
@@ -68,7 +68,7 @@ def tokenizer_vocab(vocab: DataFrame) -> DataFrame:
 
 
 def head_vocabs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vocabularies exactly as wide as the logit vectors: ids 1..64 and 1..48."""
+    """Vocabularies exactly as wide as the logit vectors: ids 1..128 and 1..64."""
     tea = vocab_head(token_counts(table(spark, sf_dir, "documents")), TEA_WIDTH)
     stu = vocab_head(token_counts(table(spark, sf_dir, "conversations")), STU_WIDTH)
     return materialize(tea), materialize(stu)
@@ -77,7 +77,8 @@ def head_vocabs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def paired_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sample_id, pos, label, tea_logits, stu_logits)`` from the embeddings.
 
-    Ten vectors are one sample. The student's vector is the following row's, cut.
+    Ten vectors are one sample. The student's vector is the following row's, the teacher's
+    is the row's own with the student's after it.
     """
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 20).alias("tea_logits")
@@ -85,7 +86,7 @@ def paired_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")).scalar()
     student = rows.select(
         F.pmod(F.col("vec_id") - 1, n).alias("vec_id"),
-        F.slice("tea_logits", 1, STU_WIDTH).alias("stu_logits"),
+        F.col("tea_logits").alias("stu_logits"),
         F.col("label").alias("stu_label"),
     )
     return rows.join(student, "vec_id").select(
@@ -93,7 +94,7 @@ def paired_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod("vec_id", F.lit(10)).cast("int").alias("pos"),
         "label",
         "stu_label",
-        "tea_logits",
+        F.concat("tea_logits", "stu_logits").alias("tea_logits"),
         "stu_logits",
     )
 

@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of a lookup table (a vocabulary or an id map) that may be broadcast. Two
-# million (id, token) rows are about 100 MB in an executor's hash relation.
-BROADCAST_ROWS = 2_000_000
-
 # Bytes a scan partition holds at most by default.
 SCAN_BYTES = 128 * 1024 * 1024
 
