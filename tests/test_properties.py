@@ -152,12 +152,13 @@ def test_remap_and_dense_loss_are_the_same_in_both_engines(spark):
     mapping = spark.createDataFrame([(i, rng.choice([None, rng.randint(1, 9)])) for i in range(1, 13)], "src_id int, dst_id int")
     learnt = spark.createDataFrame([(i, rng.randint(1, 9), rng.randint(0, 3)) for i in range(1, 13, 2)], "src_id int, dst_id int, since int")
     rows = [(s, t, [rng.gauss(0, 2) for _ in range(12)], [rng.gauss(0, 2) for _ in range(9)], s) for s in range(4) for t in range(3)]
-    merged = spark.createDataFrame(rows, "sample_id int, step int, tea_logits array<double>, stu_logits array<double>, batch int")
+    merged = spark.createDataFrame(rows, "sample_id int, step int, tea_logits array<double>, stu_logits array<double>, batch int").repartition(2)
     for late in (None, learnt):
         remapped = [candidates.full_vocab_remap(merged, mapping, id_base=1, learnt=late, engine=e) for e in ("sql", "arrow")]
         by_step = [{(r.sample_id, r.step): (r.tea_logits, r.stu_logits) for r in x.collect()} for x in remapped]
         assert by_step[0] == by_step[1]
-        loss = [{r.sample_id: r.distill_loss for r in losses.kl_dense(remapped[0], 2.0, e).collect()} for e in ("sql", "arrow")]
+        pairs = zip(remapped, ("sql", "arrow"))
+        loss = [{r.sample_id: r.distill_loss for r in losses.kl_dense(x, 2.0, e).collect()} for x, e in pairs]
         assert loss[0] == pytest.approx(loss[1])
 
 
