@@ -49,6 +49,17 @@ def cut(size: int, budget: int) -> list[list[tuple[int, int, int]]]:
     return list(below(0, size, budget, []))
 
 
+def beside(item: str, path: list[tuple[int, int, int]]) -> tuple[int, int, tuple[str, ...]]:
+    """Where the other half of a piece lies, and parts of it of which one must be unharmed."""
+    if len(path) == 1:
+        return 0, 0, ()
+    (start, end, _), (low, high, errors) = path[:2]
+    low, high = (end, high) if start == low else (low, start)
+    size = high - low
+    cuts = [low + size * i // (errors + 1) for i in range(errors + 2)]
+    return low - errors, high + errors, tuple(item[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
 class ItemMasks:
     """Myers' bit vectors of one item: bit i of ``masks[c]`` says that the item's i-th letter is c."""
 
@@ -93,11 +104,11 @@ class Matcher:
         self.items = items
         self.budgets = [int(len(text) * rate) for _, text in items]
         self.masks: dict[tuple[int, int, int], ItemMasks] = {}
-        owners: dict[str, list[tuple[int, list[tuple[int, int, int]]]]] = {}
+        owners: dict[str, list[tuple[int, list[tuple[int, int, int]], tuple]]] = {}
         for number, ((_, text), budget) in enumerate(zip(items, self.budgets)):
             for path in cut(len(text), budget):
                 start, end, _ = path[0]
-                owners.setdefault(text[start:end], []).append((number, path))
+                owners.setdefault(text[start:end], []).append((number, path, beside(text, path)))
         self.pieces = ahocorasick.Automaton()
         for piece, own in owners.items():
             self.pieces.add_word(piece, (len(piece), own))
@@ -113,14 +124,19 @@ class Matcher:
         """``item number -> (distance, end)`` of the best stretch for every item within its budget.
 
         A hit is followed up its path: each larger part must lie around it within its own
-        errors. The last part is the whole item.
+        errors. The last part is the whole item. Before the first of these distances the
+        piece's other half is looked for by its own pieces, which is exact and cheap.
         """
         found: dict[int, tuple[int, int]] = {}
         searched: dict[int, list[tuple[int, int]]] = {}
         for last, (size, owners) in self.pieces.iter(text):
             first = last - size + 1
-            for number, path in owners:
+            for number, path, (low, high, parts) in owners:
                 origin = first - path[0][0]
+                if parts:
+                    nearby = text[max(0, origin + low) : max(0, origin + high)]
+                    if not any(part in nearby for part in parts):
+                        continue
                 for start, end, errors in path[1:-1]:
                     low = max(0, origin + start - errors)
                     if self.best_end(number, start, end, text[low : origin + end + errors])[0] > errors:
