@@ -220,7 +220,8 @@ def _search(block: list[tuple[object, str]], rate: float, item_kind: str):
                 )
             yield pa.array(rows, each)
 
-    return F.arrow_udf(searched, f"array<{fields}>", F.ArrowUDFType.SCALAR_ITER)
+    # Marked so that the planner evaluates it once, not again for a filter on its result.
+    return F.arrow_udf(searched, f"array<{fields}>", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
 def without_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
