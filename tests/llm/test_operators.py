@@ -309,6 +309,18 @@ def test_urls_are_judged_by_template(spark):
     assert url_filter.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_urls_that_differ_only_deep_down(spark):
+    """Branches below the fourth segment have their own verdicts, and a lone deep path keeps all its segments."""
+    rows = [(i, f"http://deep.net/a/b/c/d/{'spam' if i % 2 else 'news'}/{i}/x/{'p/' * (i % 3)}") for i in range(200)]
+    lone = "/z" + "/y" * 60
+    pages = spark.createDataFrame([*rows, (900, f"http://lone.net/b{lone}"), (901, "http://lone.net/b")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(100)], "page_id long, good boolean")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, labels).collect()}
+    assert {got[i]["verdict"] for i in range(1, 200, 2)} == {"block"} and {got[i]["verdict"] for i in range(0, 200, 2)} == {"allow"}
+    assert got[0]["template"] == "/a/b/c/d/news/{n}/x/*" and got[1]["template"].startswith("/a/b/c/d/spam/")
+    assert got[900]["template"] == f"/b{lone}" and got[901]["template"] == "/b"
+
+
 # 9 near duplicates -----------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ Explicit rules go first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tokenloom.llm.common import attach, column, fresh, stored
 
 # (host, path, verdict); a rule fits its host and all subdomains below its path.
 Rule = tuple[str, str, str]
-DEPTH = 4  # levels of the tree; what lies deeper shares the node above
+DEPTH = 4  # levels that the checking SQL writes out; the tree has as many as the paths
 CRITICAL = 3.8416  # of the squared difference in standard errors: 1.96 of them
 LEAST_LABELS = 5
 STRENGTH = 10.0  # labelled pages that the level above counts for
@@ -52,10 +53,11 @@ def first_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
 
 
 def shapes(path: Column) -> Column:
-    """The path's first segments, each generalised."""
+    """The path's segments, all of them, each generalised."""
     for pattern, shape in SHAPES:
         path = F.regexp_replace(path, pattern, shape)
-    return F.slice(F.split(path, "/", -1), 2, DEPTH)
+    parts = F.split(path, "/", -1)
+    return F.slice(parts, 2, F.size(parts))
 
 
 def templates(paths: DataFrame) -> DataFrame:
@@ -63,28 +65,43 @@ def templates(paths: DataFrame) -> DataFrame:
 
     ``paths`` has ``host, shape, good``: one row per page, ``good`` null where unlabelled.
     Pages are counted per shape first; the tree is built over those counts, so a host with a
-    third of all pages is as many rows as it has shapes.
+    third of all pages is as many rows as it has shapes. Levels go on until no shape that
+    shares its node with another has a further segment.
     """
     counted = paths.groupBy("host", "shape").agg(
         F.count("good").cast("double").alias("lab"), F.count_if("good").cast("double").alias("good")
     )
-    tree = stored(counted.withColumn("template", F.lit("")), "url-shapes")
-    for level in range(DEPTH):
-        segment = F.get("shape", F.lit(level))
-        here = tree.where(F.size("shape") > level).withColumn("segment", segment)
-        kids = here.groupBy("host", "template", "segment").agg(F.sum("lab").alias("lab"), F.sum("good").alias("good"))
+    names = ["host", "shape", "lab", "good", "template"]
+    going = stored(counted.withColumn("template", F.lit("")), "url-shapes")
+    done, level = [], 0
+    while True:
+        longer = F.size("shape") > level
+        done.append(going.where(~longer).select(*names))
+        going = going.where(longer)
+        if going.isEmpty():
+            break
+        here = going.withColumn("segment", F.get("shape", F.lit(level)))
+        kids = here.groupBy("host", "template", "segment").agg(F.sum("lab").alias("lab"), F.sum("good").alias("good"), F.count("*").alias("shapes"))
         kids = stored(kids, "url-children")
         above = stored(
-            kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("lab").alias("all_lab"), F.sum("good").alias("all_good")),
+            kids.groupBy("host", "template").agg(
+                F.count("*").alias("kids"), F.sum("lab").alias("all_lab"), F.sum("good").alias("all_good"), F.sum("shapes").alias("all_shapes")
+            ),
             "url-parents",
         )
         own = attach(kids, above, ["host", "template"], ["segment"]).select(
-            "host", "template", "segment", F.expr(f"kids = 1 OR {DIFFERS}").alias("stays")
+            "host", "template", "segment", F.expr(f"kids = 1 OR {DIFFERS}").alias("stays"), (F.col("all_shapes") == 1).alias("alone")
         )
-        moved = attach(tree.withColumn("segment", segment), stored(own, "url-branches"), ["host", "template", "segment"], ["shape"])
+        moved = attach(here, stored(own, "url-branches"), ["host", "template", "segment"], ["shape"])
         step = F.when(F.col("stays"), F.concat(F.lit("/"), F.col("segment"))).otherwise("/*")
-        tree = moved.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", step)))
-        tree = stored(tree.select("host", "shape", "lab", "good", "template"), "url-tree")
+        # A node's only shape has one child on every level below, so all its segments stay.
+        rest = F.concat(F.lit("/"), F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
+        moved = moved.withColumn("template", F.concat("template", F.when(F.col("alone"), rest).otherwise(step)))
+        moved = stored(moved.select(*names, "alone"), "url-tree")
+        done.append(moved.where("alone").select(*names))
+        going = moved.where("NOT alone").select(*names)
+        level += 1
+    tree = stored(reduce(DataFrame.unionByName, done), "url-tree")
     by_host = tree.groupBy("host").agg(F.sum("lab").alias("host_lab"), F.sum("good").alias("host_good"))
     by_template = tree.groupBy("host", "template").agg(F.sum("lab").alias("own_lab"), F.sum("good").alias("own_good"))
     lab, good = tree.agg(F.sum("lab"), F.sum("good")).first()
