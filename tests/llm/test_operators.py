@@ -213,6 +213,25 @@ def test_language_fuses_evidence(spark):
     assert {r["lang"] for r in language.identify(mixed, empty, *args[1:]).collect()} == {"und"}
 
 
+def test_languages_that_were_not_learnt_and_rare_ones(spark):
+    """Strange scripts are ``und`` whichever language has the least text, and a rare language is learnt and found."""
+    rng = random.Random(6)
+    text = lambda words, n: " ".join(rng.choice(words.split()) for _ in range(n))
+    rare = "kissa ja koira olivat talossa heidän kanssaan eilen illalla"
+    rows = [(i, text(SAMPLES["en"], 40), "en") for i in range(400)] + [(1000 + i, text(SAMPLES["de"], 40), "de") for i in range(20)]
+    rows += [(2000 + i, text(rare, 40), "fi") for i in range(3)] + [(3000, "whatever it is", "und")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn_text_model(labelled, "doc_id", "text", "lang", rows=30)
+    assert model.languages == ["de", "en", "fi"]
+    consonants = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(30))
+    strange = ["кошка и собака были в доме вместе с ними вчера вечером", "猫和狗昨天晚上和他们一起在房子里", consonants]
+    own = [text(rare, 25), text(SAMPLES["en"], 25), text(SAMPLES["de"], 25)]
+    docs = spark.createDataFrame(list(enumerate(strange + own)), "doc_id long, text string")
+    none = F.lit(None).cast("string")
+    found = {r["doc"]: r["lang"] for r in language.identify(docs, model, "doc_id", F.col("text"), none, none).collect()}
+    assert [found[i] for i in range(6)] == ["und", "und", "und", "fi", "en", "de"]
+
+
 def test_markup_and_addresses(spark):
     page = '<!DOCTYPE html><HTML class="a" LANG=\'de-AT\'><script>var a="<p>";</script><!-- x > y --><p>Ja<br>nein</p></html>'
     row = spark.createDataFrame([(page, "https://User@Www.A.example.ORG/x?y#z")], "html string, url string").select(

@@ -9,6 +9,10 @@ Four pieces of evidence are multiplied for every row and language:
 
 The last three are learnt from all rows by grouped counts of what the texts alone say. A
 row's own text is taken out of its host's counts, so that it does not count twice.
+
+Beside the learnt languages there is an open class, ``und``, under which all trigrams are
+equally likely. It takes part in all four, so a text that no learnt language explains
+becomes ``und`` whatever the languages are.
 """
 
 from __future__ import annotations
@@ -23,9 +27,12 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import attach, column, fresh, stored, without_keys
 
-# Labelled rows that the text model is learnt from, at most; those of the least key hashes.
+# Labelled rows of each language that the text model is learnt from, about; those of the least hashes.
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 14
+# The share of a language's trigrams that are like those of the open class: one floor for the
+# unseen ones of all languages, however much text a language was learnt from.
+FLOOR_SHARE = 0.1
 # A text speaks with the weight of at most this many independent trigrams, however long it is.
 EVIDENCE_GRAMS = 100.0
 # Rows that a domain's or the corpus' distribution counts for in the one below it.
@@ -77,19 +84,21 @@ def _grams(text: str) -> np.ndarray:
 
 
 def learn_text_model(labelled: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> TextModel:
-    """Trigram frequencies per label, from at most ``rows`` labelled rows.
+    """Trigram frequencies per label, from about ``rows`` labelled rows of each label.
 
-    Only hashes of keys are sorted to choose them. Tasks return one count vector per
+    A label with more rows is thinned by hashes of key and text to ``rows`` expected ones;
+    one with fewer, however rare, is read whole. Tasks return one count vector per
     language, so what reaches the driver does not grow with the texts. Labels are compared
-    in lower case by their primary part.
+    in lower case by their primary part; ``und`` is not a language.
     """
     name = _primary(column(labelled, label))
-    known = labelled.select(F.xxhash64(column(labelled, key)).alias("hash"), name.alias("label"), column(labelled, text).alias("text"))
-    known = known.where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    last = known.select("hash").orderBy("hash").limit(rows).agg(F.max("hash")).first()[0]
-    if last is None:
-        return TextModel([], np.zeros((0, BUCKETS)))
-    sample = known.where(F.col("hash") <= last).select("label", letters(F.col("text")).alias("text")).coalesce(8)
+    draw = F.xxhash64(column(labelled, key), column(labelled, text))
+    known = labelled.select(draw.alias("hash"), name.alias("label"), column(labelled, text).alias("text"))
+    known = known.where(F.col("label").isNotNull() & (F.col("label") != UNDECIDED) & F.col("text").isNotNull())
+    bounds = stored(known.groupBy("label").agg(F.count("*").alias("rows"), F.min("hash").alias("least")), "labels")
+    place = F.col("hash") / F.lit(2.0**64) + F.lit(0.5)  # in [0, 1]
+    taken = (place * F.col("rows") <= rows) | (F.col("hash") == F.col("least"))
+    sample = attach(known, bounds, ["label"], ["hash"]).where(taken).select("label", letters(F.col("text")).alias("text")).coalesce(8)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -105,8 +114,8 @@ def learn_text_model(labelled: DataFrame, key: str, text: str, label: str, rows:
     sums = np.zeros((len(languages), BUCKETS))
     for p in parts:
         sums[languages.index(p["label"])] += p["counts"]
-    sums += SMALL
-    return TextModel(languages, np.log(sums / sums.sum(axis=1, keepdims=True)))
+    seen = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1.0)
+    return TextModel(languages, np.log((1.0 - FLOOR_SHARE) * seen + FLOOR_SHARE / BUCKETS))
 
 
 def _primary(label: Column) -> Column:
@@ -135,15 +144,15 @@ def identify(
     """``(doc, text_hash, host, declared, suffix, text_lang, lang, confidence)`` for every row of ``docs``.
 
     ``lang`` is the language of the greatest posterior and ``confidence`` that posterior;
-    ``und`` with 0 for a text without any letter, and ``und`` where no language reaches one
-    half. Ties go to the first language by name. A null host, suffix or declared language
+    ``und`` with 0 for a text without any letter, ``und`` where the open class has the
+    greatest, and ``und`` where none reaches one half. Ties go to the first language by name. A null host, suffix or declared language
     is no evidence. Repeated rows get equal results, an empty table gives an empty table.
     Texts do not move: only small rows do, and a host with a third of all rows is counted by
     partial sums and joined by broadcast or over salted keys.
     """
-    languages = model.languages
+    languages = [*model.languages, UNDECIDED] if model.languages else []
     size = len(languages)
-    logs = model.logs
+    logs = np.vstack([model.logs, np.full((1, BUCKETS), -np.log(BUCKETS))])
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
