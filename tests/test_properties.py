@@ -56,6 +56,26 @@ def test_nearest_words_against_brute_force(spark):
     assert found == expected
 
 
+def test_full_map_has_every_document_word(spark, tmp_path):
+    """The registered map of two whole vocabularies, on small tables, against all pairs of words."""
+    from tokenloom.plans.catalog import QUERIES
+    from tokenloom.plans.registry import vocab_sql
+
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    tables = {"documents": [text(60) + " zzzzzzzzzzzz"], "conversations": [text(50)], "benchmark": ["abc"]}
+    vocabs = {}
+    import duckdb
+
+    for name, texts in tables.items():
+        spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        vocabs[name] = con.execute(f"WITH {vocab_sql('v', name)} SELECT id, token FROM v").fetchall()
+    found = {r.src_id: (r.distance, r.dst_id) for r in QUERIES["min_edit_map_full"](spark, str(tmp_path)).collect()}
+    assert found == {i: min((distance(t, s), j) for j, s in vocabs["conversations"]) for i, t in vocabs["documents"]}
+
+
 def test_salted_lookup_equals_broadcast(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")

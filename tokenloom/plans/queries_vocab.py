@@ -83,6 +83,12 @@ def min_edit_map(spark, sf_dir):
     return edit_map.min_edit_map(S.exam_vocab(spark, sf_dir), S.student_vocab(spark, sf_dir))
 
 
+@query()
+def min_edit_map_full(spark, sf_dir):
+    """V3: the nearest student token of every teacher token, exactly; all pairs are too many for SQL."""
+    return edit_map.min_edit_map(S.teacher_vocab(spark, sf_dir), S.student_vocab(spark, sf_dir))
+
+
 @query(f"""WITH {_TEA}, {_STU}, prefixes AS (
   SELECT id, n, token[1:n] AS prefix FROM (
     SELECT id, token, unnest(range(1, length(token) + 1)) AS n FROM tea_vocab))
