@@ -377,6 +377,20 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
     assert near_duplicates.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_only_members_outside_the_largest_component_meet_all(spark):
+    """Every pair across components is there once or twice, and none within a component is joined."""
+    rng = random.Random(8)
+    rows = [(7, f"m{i:03}", "a") for i in range(600)] + [(7, f"o{i}", f"r{i // 2}") for i in range(4)]
+    rows += [(9, f"m{i:03}", "a") for i in range(10)] + [(9, f"z{i}", rng.choice("xyz")) for i in range(10)]
+    members = spark.createDataFrame(rows, "bucket long, set_key string, root string").withColumns({"n": F.lit(10), "reach": F.lit(10)})
+    classes = members.groupBy("set_key").agg(F.sort_array(F.collect_set("bucket")).alias("bands"))
+    found = near_duplicates._across(members, classes)
+    got = collections.Counter((min(r["set_key"], r["b"]), max(r["set_key"], r["b"])) for r in found.collect())
+    want = {(a, b) for k, a, x in rows for j, b, y in rows if k == j and x != y and a < b}
+    assert set(got) == want and max(got.values()) <= 2
+    assert sum(got.values()) < 4 * 604 + 10 * 20
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(f"{i:05d}", f"{i + 1:05d}") for i in range(0, 700)] + [("x", f"y{i}") for i in range(500)]
     got = {r["node"]: r["root"] for r in near_duplicates.components(spark.createDataFrame(edges, "a string, b string")).collect()}

@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import WORD, column, fresh, stored, without_keys
+from tokenloom.llm.common import SALTS, WORD, column, fresh, stored, without_keys
 
 WORDS = 5
 CIRCLE = 1 << 20  # places of the two permutations
 # 25 bands of 5: a pair at 0.85 is missed once in two million, one at 0.3 is a candidate
 # in 6 of 100 cases.
 BANDS, ROWS = 25, 5
+SALTED_ROWS = 256  # members of a bucket per salt
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -175,11 +176,22 @@ def _to_middle(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of one bucket, every two of them, in the first bucket that they share."""
-    members = members.join(classes.select("set_key", "bands"), "set_key")
-    other = members.select("bucket", *(F.col(c).alias(f"b_{c}") for c in ("n", "root", "reach", "bands")), F.col("set_key").alias("b"))
+    """Members of one bucket and of different components, every two of them, in the first bucket that they share.
+
+    One of the two is outside the bucket's largest component, so only the members outside it
+    meet all members. A large bucket's members are spread over salts, and the ones outside are copied to each.
+    """
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("part"))
+    salts = F.least(F.lit(SALTS), F.floor(F.sum("part") / SALTED_ROWS) + 1).cast("int")
+    largest = parts.groupBy("bucket").agg(F.max_by("root", F.struct("part", "root")).alias("main"), salts.alias("salts"))
+    members = members.join(largest, "bucket").join(classes.select("set_key", "bands"), "set_key")
+    outside = members.where("root <> main").select(
+        "bucket", *(F.col(c).alias(f"b_{c}") for c in ("n", "root", "reach", "bands")), F.col("set_key").alias("b"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+    )
+    members = members.withColumn("salt", F.pmod(F.xxhash64("set_key"), F.col("salts")).cast("int"))
     first = F.get(F.array_intersect("bands", "b_bands"), F.lit(0))
-    return members.join(other, "bucket").where("set_key < b").where(first == F.col("bucket"))
+    return members.join(outside, ["bucket", "salt"]).where("root <> b_root").where(first == F.col("bucket"))
 
 
 def near_duplicates(
