@@ -32,7 +32,7 @@ def test_matches_sql(spark, name):
 
 def test_all_are_registered():
     own = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(own) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenloom.llm import queries_corpus, queries_text  # noqa: F401
+from tokenloom.llm import queries_corpus, queries_sets, queries_text  # noqa: F401
 from tokenloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
