@@ -1,176 +1,84 @@
-"""The nearest token of another vocabulary by edit distance, exactly, without a cross join.
+"""The nearest token of another vocabulary by edit distance, exactly, without comparing all pairs.
 
-If two words are within distance r, and one of them is cut into r + 1 segments, then at
-least one segment occurs unchanged in the other, shifted by at most r places (pigeonhole).
-So all pairs within r are found by an equi join on (length, segment number, segment text).
-
-The radius grows from round to round. A word with a neighbour within the round's radius is
-done, for every pair at that distance or less was seen; nearly all words end this way while
-segments are long and selective. The few words left, far from everything, meet blocks of
-target words of every length in reach; the best distance seen for a word bounds both the
-lengths and the comparison.
+Target tokens form tries, one for each length and direction (``functions.trie``). A task walks
+them with the words it holds, for growing radii; a branch ends as soon as no token below it
+can lie within the radius. A vocabulary of measured, bounded size is broadcast, and words
+stay where they are. A larger one is dealt into blocks of that size; words meet every block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.operators.lookup import lookup
+from tokenloom.functions.trie import Bands
 from tokenloom.session import materialize
 
-ROUNDS = (1, 2, 3)
-BLOCK_WORDS = 512
-
-
-def _segment_bounds(size: Column, radius: Column) -> Column:
-    """``array<struct<seg, start, len>>``: radius + 1 near-equal segments of a word.
-
-    A word no longer than the radius has segments of length 0: they match anything, which
-    is right, for such words are within reach of every word of a fitting length.
-    """
-    parts = radius + 1
-    return F.transform(
-        F.sequence(F.lit(0), radius),
-        lambda s: F.struct(
-            s.alias("seg"),
-            (F.floor(s * size / parts) + 1).cast("int").alias("start"),
-            (F.floor((s + 1) * size / parts) - F.floor(s * size / parts)).cast("int").alias("len"),
-        ),
-    )
-
-
-def _target_segments(student: DataFrame, reach: DataFrame) -> DataFrame:
-    """Segments of the student words that some source word can reach, per radius."""
-    cut = (
-        student.select(
-            F.col("token").alias("dst_token"), F.col("id").alias("dst_id"), F.length("token").alias("dst_len")
-        )
-        .join(F.broadcast(reach), "dst_len")
-        .select("*", F.inline(_segment_bounds(F.col("dst_len"), F.col("radius"))))
-    )
-    return cut.select(
-        "dst_token", "dst_id", "dst_len", "radius", "seg",
-        F.expr("substring(dst_token, start, len)").alias("piece"),
-    )
-
-
-def _source_pieces(words: DataFrame, lengths: Column) -> DataFrame:
-    """Substrings of each source word that may equal a segment of a target of some length."""
-    size = F.length("token")
-    within = F.filter("_lengths", lambda n: F.abs(n - size) <= F.col("radius"))
-    cut = words.withColumn("_lengths", lengths).withColumn("dst_len", F.explode(within)).select(
-        "*", F.inline(_segment_bounds(F.col("dst_len"), F.col("radius")))
-    )
-    # With seg segments before it and radius - seg after it, a segment is shifted by at
-    # most seg seen from the left end and by at most radius - seg from the right end.
-    gap = size - F.col("dst_len")
-    after = F.col("radius") - F.col("seg")
-    low = F.greatest(F.lit(1), F.col("start") - F.col("seg"), F.col("start") + gap - after)
-    high = F.least(size - F.col("len") + 1, F.col("start") + F.col("seg"), F.col("start") + gap + after)
-    pieces = F.array_distinct(
-        F.transform(F.sequence("low", "high"), lambda at: F.substring("token", at, F.col("len")))
-    )
-    return (
-        cut.withColumn("low", low)
-        .withColumn("high", high)
-        .filter("low <= high")
-        .select("src_id", "token", "radius", "dst_len", "seg", F.explode(pieces).alias("piece"))
+# Bytes of tokens (and 12 an entry) whose tries a task keeps; the tries take some tens of times as much.
+TRIE_BYTES = 4 * 1024 * 1024
+WORDS_AT_ONCE = 50_000
+_FOUND = "src_id int, dst_id int, distance int"
+
+
+def _nearest(bands: Bands, words: pa.Table) -> pa.Table:
+    """The nearest target of ``(src_id, token)``; ``dst_id`` is NULL where there is no target."""
+    distances, ids = bands.nearest(words["token"].to_pylist())
+    none = distances < 0
+    return pa.table(
+        {
+            "src_id": words["src_id"].cast(pa.int32()),
+            "dst_id": pa.array(ids.astype(np.int32), pa.int32(), mask=none),
+            "distance": pa.array(distances.astype(np.int32), pa.int32(), mask=none),
+        }
     )
 
 
-def _neighbours(words: DataFrame, student: DataFrame) -> DataFrame:
-    """Least ``(distance, dst_id)`` per source word among targets that share a segment.
-
-    ``words`` is ``(src_id, token, radius)``. Distances beyond the radius are kept: they
-    are true distances and serve as bounds.
-    """
-    # A few words grow into many pieces, so small inputs are spread over all cores first.
-    words = words.repartition(words.sparkSession.sparkContext.defaultParallelism, "src_id")
-    lengths = student.agg(F.collect_set(F.length("token")).alias("all")).scalar()
-    # Radii times lengths in use: at most the square of the longest word.
-    around = F.sequence(F.greatest(F.lit(1), F.col("size") - F.col("radius")), F.col("size") + F.col("radius"))
-    reach = (
-        words.select("radius", F.length("token").alias("size"))
-        .distinct()
-        .select("radius", F.explode(around).alias("dst_len"))
-        .distinct()
-    )
-    # A common segment ("e", "an") is a hot key. Up to a counted size the segments are
-    # broadcast and pieces stay with their word; beyond it the keys are salted by word.
-    pairs = lookup(
-        _source_pieces(words, lengths),
-        _target_segments(student, reach),
-        ["radius", "dst_len", "seg", "piece"],
-        how="inner",
-        salt_by=["src_id"],
-    )
-    distance = F.levenshtein("token", "dst_token")
-    return pairs.groupBy("src_id").agg(
-        F.min(F.struct(distance.alias("distance"), F.col("dst_id"))).alias("best")
-    )
+def _bands(targets: pa.Table) -> Bands:
+    return Bands(targets["token"].to_pylist(), targets["id"].to_pylist())
 
 
-def _far_neighbours(words: DataFrame, student: DataFrame, student_rows: int) -> DataFrame:
-    """``best`` of words ``(src_id, token, bound)`` that have no near target.
+def min_edit_map(teacher: DataFrame, student: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """``(src_id, dst_id, distance)``: the nearest student token, ties by the least id.
 
-    Targets are blocks of about ``BLOCK_WORDS`` tokens of one length, compared inside the
-    row that holds the block: one row per word and block, none per pair.
+    An empty student vocabulary maps every token to NULL.
     """
-    parallel = words.sparkSession.sparkContext.defaultParallelism
-    blocks = (
-        student.withColumn("dst_len", F.length("token"))
-        .groupBy("dst_len", F.pmod(F.xxhash64("token"), F.lit(student_rows // BLOCK_WORDS + 1)).alias("_block"))
-        .agg(F.collect_list(F.struct("id", "token")).alias("targets"))
-        .select("dst_len", "targets")
-    )
-    lengths = student.agg(F.collect_set(F.length("token")).alias("all")).scalar()
-    within = F.filter("_lengths", lambda n: F.abs(n - F.length("token")) <= F.col("bound"))
-    reached = (
-        words.repartition(parallel, "src_id")
-        .withColumn("_lengths", lengths)
-        .select("src_id", "token", "bound", F.explode(within).alias("dst_len"))
-    )
-    met = lookup(reached, blocks, "dst_len", how="inner", salt_by=["src_id"])
-    scored = F.transform(
-        "targets",
-        lambda t: F.struct(
-            F.call_function("levenshtein", F.col("token"), t["token"], F.col("bound")).alias("distance"),
-            t["id"].alias("dst_id"),
-        ),
-    )
-    nearest = F.array_min(F.filter(scored, lambda e: e["distance"] >= 0))
-    return met.groupBy("src_id").agg(F.min(nearest).alias("best"))
-
-
-def min_edit_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
-    """``(src_id, dst_id, distance)``: the nearest student token, ties by the least id."""
-    targets = materialize(student.groupBy("token").agg(F.min("id").alias("id")))
-    target_rows = targets.count()
-    source = teacher.select(F.col("id").alias("src_id"), "token")
-
-    exact = materialize(lookup(source, targets, "token", salt_by=["src_id"]))
-    done = exact.filter(F.col("id").isNotNull()).select(
-        "src_id", F.col("id").alias("dst_id"), F.lit(0).alias("distance")
-    )
-    left = exact.filter(F.col("id").isNull()).select(
-        "src_id", "token", F.lit(None).cast("struct<distance:int,dst_id:int>").alias("best")
-    )
-    for radius in ROUNDS:
-        if left.isEmpty():
-            return done
-        seen = _neighbours(left.withColumn("radius", F.lit(radius)), targets)
-        tried = materialize(
-            left.join(seen.withColumnRenamed("best", "_seen"), "src_id", "left").select(
-                "src_id", "token", F.least("best", "_seen").alias("best")
-            )
-        )
-        within = F.coalesce(F.col("best.distance") <= radius, F.lit(False))
-        done = done.unionByName(tried.filter(within).select("src_id", "best.dst_id", "best.distance"))
-        left = tried.filter(~within)
-
-    # No two words are further apart than the longer one is long.
-    shortest = targets.agg(F.min(F.length("token")).alias("n")).scalar()
-    bound = F.least("best.distance", F.greatest(F.length("token"), shortest))
-    far = _far_neighbours(left.withColumn("bound", bound), targets, target_rows)
-    return done.unionByName(far.select("src_id", "best.dst_id", "best.distance"))
+    spark = teacher.sparkSession
+    targets = materialize(student.groupBy("token").agg(F.min("id").cast("int").alias("id")))
+    size = targets.agg(F.sum(F.octet_length("token") + F.lit(12)).alias("bytes")).first()["bytes"] or 0
+    words = teacher.select(F.col("id").cast("int").alias("src_id"), "token")
+    parallel = spark.sparkContext.defaultParallelism
+    if size <= trie_bytes:
+        shared = spark.sparkContext.broadcast(targets.toArrow())
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bands, held = None, []
+            for batch in batches:
+                bands = bands or _bands(shared.value)
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= WORDS_AT_ONCE:
+                    yield from _nearest(bands, pa.Table.from_batches(held)).to_batches()
+                    held = []
+            if held:
+                yield from _nearest(bands, pa.Table.from_batches(held)).to_batches()
+
+        # Words come sorted by frequency, and rare ones take longer: deal them out anew.
+        return words.repartition(parallel, "src_id").mapInArrow(walk, _FOUND)
+
+    def meet(given: pa.Table, block: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return _nearest(Bands([], []), given.slice(0, 0))
+        return _nearest(_bands(block), given)
+
+    blocks, rows = -(-size // trie_bytes), words.count()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    salts = max(parallel, -(-rows // WORDS_AT_ONCE))
+    left = words.withColumn("salt", dealt("src_id", salts)).withColumn("block", every(blocks))
+    right = targets.withColumn("block", dealt("token", blocks)).withColumn("salt", every(salts))
+    met = left.groupBy("salt", "block").cogroup(right.groupBy("salt", "block")).applyInArrow(meet, _FOUND)
+    best = met.groupBy("src_id").agg(F.min(F.struct("distance", "dst_id")).alias("best"))
+    return best.select("src_id", "best.dst_id", "best.distance")

@@ -83,9 +83,35 @@ def min_edit_map(spark, sf_dir):
     return edit_map.min_edit_map(S.exam_vocab(spark, sf_dir), S.student_vocab(spark, sf_dir))
 
 
-@query()
+def _cuts_sql(name: str, source: str) -> str:
+    """Every word with none, one and two of its letters left out."""
+    one = "unnest(list_transform(range(1, length(v) + 1), lambda i: v[1:i - 1] || v[i + 1:]))"
+    return f"""{name}_0 AS (SELECT id, token AS v FROM {source}),
+      {name}_1 AS (SELECT DISTINCT id, {one} AS v FROM {name}_0),
+      {name}_2 AS (SELECT DISTINCT id, {one} AS v FROM {name}_1),
+      {name} AS MATERIALIZED (SELECT * FROM {name}_0 UNION ALL SELECT * FROM {name}_1 UNION ALL SELECT * FROM {name}_2)"""
+
+
+# Two words within distance 2 share a word that is left when at most two letters of each go.
+# Others meet the tokens whose length differs by no more than the best distance known so far.
+@query(f"""WITH {_TEA}, {_STU}, {alphabet_sql('tea_vocab', 'stu_vocab')},
+  a AS MATERIALIZED (SELECT id, {bytes_sql('token')} AS token, length(token) AS n FROM tea_vocab),
+  b AS MATERIALIZED (SELECT id, {bytes_sql('token')} AS token, length(token) AS n FROM stu_vocab),
+  {_cuts_sql('a_cut', 'a')}, {_cuts_sql('b_cut', 'b')},
+  shared AS (SELECT DISTINCT x.id, y.id AS dst FROM a_cut x JOIN b_cut y USING (v)),
+  near AS MATERIALIZED (
+    SELECT a.id, min((levenshtein(a.token, b.token), b.id)) AS best
+    FROM shared s JOIN a ON a.id = s.id JOIN b ON b.id = s.dst GROUP BY a.id),
+  rest AS (
+    SELECT a.*, coalesce(best[1], greatest(n, (SELECT min(n) FROM b))) AS most
+    FROM a LEFT JOIN near USING (id) WHERE best IS NULL OR best[1] > 2),
+  far AS (
+    SELECT r.id, min((levenshtein(r.token, b.token), b.id)) AS best
+    FROM (SELECT *, unnest(range(greatest(1, n - most), n + most + 1)) AS size FROM rest) r JOIN b ON b.n = r.size GROUP BY r.id),
+  found AS (SELECT id, best FROM far UNION ALL SELECT id, best FROM near WHERE best[1] <= 2)
+SELECT id::INTEGER AS src_id, best[2]::INTEGER AS dst_id, best[1]::INTEGER AS distance FROM found""")
 def min_edit_map_full(spark, sf_dir):
-    """V3: the nearest student token of every teacher token, exactly; all pairs are too many for SQL."""
+    """V3: the nearest student token of every teacher token, exactly."""
     return edit_map.min_edit_map(S.teacher_vocab(spark, sf_dir), S.student_vocab(spark, sf_dir))
 
 
@@ -193,11 +219,18 @@ def vocab_map_json(spark, sf_dir):
 
 # --- distances and weights ---------------------------------------------------------------
 
-_PAIRS = f"""{_PREFIXED}, {alphabet_sql('tea_vocab', 'stu_vocab')},
-  pairs AS (
-    SELECT m.src_id, t.token AS ta, s.token AS tb
-    FROM vocab_map m JOIN tea_vocab t ON t.id = m.src_id JOIN stu_vocab s ON s.id = m.dst_id),
-  stripped AS (SELECT src_id, ta, tb, {bytes_sql("replace(ta, '_', '')")} AS a, {bytes_sql("tb")} AS b FROM pairs)"""
+def _one_letter(token: str) -> str:
+    """DuckDB counts bytes, so every letter beyond ASCII becomes the same control character.
+
+    The pairs begin alike, so that their distance stays what it is.
+    """
+    return f"regexp_replace({token}, '[^\\x00-\\x7F]', chr(1), 'g')"
+
+
+_PAIRS = f"""{_PREFIXED},
+  pairs AS MATERIALIZED (
+    SELECT m.src_id, {_one_letter("replace(t.token, '_', '')")} AS a, {_one_letter("s.token")} AS b
+    FROM vocab_map m JOIN tea_vocab t ON t.id = m.src_id JOIN stu_vocab s ON s.id = m.dst_id)"""
 
 
 def _token_pairs(spark, sf_dir):
@@ -210,7 +243,7 @@ def _token_pairs(spark, sf_dir):
     )
 
 
-@query(f"WITH {_PAIRS} SELECT src_id::INTEGER AS src_id, levenshtein(a, b)::INTEGER AS cost FROM stripped")
+@query(f"WITH {_PAIRS} SELECT src_id::INTEGER AS src_id, levenshtein(a, b)::INTEGER AS cost FROM pairs")
 def edit_cost(spark, sf_dir):
     """Edit distance of every teacher token to its prefix match, markers stripped."""
     return _token_pairs(spark, sf_dir).select("src_id", text.edit_cost(F.col("a"), F.col("b")).alias("cost"))
@@ -220,7 +253,7 @@ def edit_cost(spark, sf_dir):
 SELECT src_id::INTEGER AS src_id,
        round(coalesce(levenshtein(a, b)::DOUBLE / nullif(length(a) + length(b), 0), 0), 6) AS distance,
        round(levenshtein(a || ' ', b)::DOUBLE / (length(a) + 1 + length(b)), 6) AS distance_marker_only
-FROM stripped""")
+FROM pairs""")
 def edit_distance_norm(spark, sf_dir):
     """Edit distance over the summed lengths, two ways to strip."""
     a, b = F.col("a"), F.col("b")
