@@ -7,16 +7,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.constants import UNK_ID
-from tokenloom.functions.text import words
+from tokenloom.functions.text import WORD_BREAK, words
+from tokenloom.functions.trie import Trie
 from tokenloom.operators.lookup import lookup
 from tokenloom.session import materialize, spread
 
 # Bytes of a vocabulary (tokens, plus 12 an entry) that is broadcast to every task.
 DICTIONARY_BYTES = 64 * 1024 * 1024
+# The same of pieces whose trie every task builds; it takes some tens of times as much.
+PIECE_BYTES = 8 * 1024 * 1024
 
 
 def spaced_specials(text: Column, specials: Iterable[str]) -> Column:
@@ -78,11 +81,27 @@ def _ids_in_place(spark: SparkSession, dictionary: pa.Table, unk_id: int) -> Cal
         known = shared.value.combine_chunks()
         tokens = known["token"].combine_chunks() if known.num_rows else pa.array([], pa.string())
         ids = known["id"].combine_chunks() if known.num_rows else pa.array([], pa.int32())
+
+        def settle(held: list[pa.Array]) -> Iterator[pa.Array]:
+            words = [lists.flatten() for lists in held]
+            if not held:
+                return
+            found, at = ids.take(pc.index_in(pa.concat_arrays(words), value_set=tokens)).fill_null(unk_id), 0
+            for lists, own in zip(held, words):
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                yield pa.ListArray.from_arrays(offsets, found.slice(at, len(own)), mask=lists.is_null())
+                at += len(own)
+
+        # Every look-up indexes the vocabulary anew, so batches are gathered up to its size.
+        held, total = [], 0
         for lists in batches:
-            found = ids.take(pc.index_in(lists.flatten(), value_set=tokens)).fill_null(unk_id)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            yield pa.ListArray.from_arrays(offsets, found, mask=lists.is_null())
+            held.append(lists)
+            total += len(lists.values)
+            if total >= len(tokens):
+                yield from settle(held)
+                held, total = [], 0
+        yield from settle(held)
 
     return F.arrow_udf(look_up, "array<int>", F.ArrowUDFType.SCALAR_ITER)
 
@@ -120,10 +139,11 @@ def tokenize_words(
 
 
 def longest_match_words(tokens: DataFrame, pieces: DataFrame, unk_id: int = UNK_ID) -> DataFrame:
-    """Greedy longest-match segmentation of distinct words: ``(token, pieces: array<int>)``.
+    """Greedy longest-match segmentation of distinct words by a join: ``(token, pieces: array<int>, starts: array<int>)``.
 
-    Every substring no longer than the longest piece is looked up by an equi join; a fold
-    over the positions then takes the longest match, or one unknown character.
+    For vocabularies beyond the broadcast bound. Every substring no longer than the longest
+    piece is looked up by an equi join, and only the longest match of each place is kept; a
+    fold over the places then steps from match to match, or by one unknown character.
     """
     longest = pieces.agg(F.coalesce(F.max(F.length("token")), F.lit(1)).alias("n")).scalar()
     tokens = tokens.select("token")
@@ -133,51 +153,147 @@ def longest_match_words(tokens: DataFrame, pieces: DataFrame, unk_id: int = UNK_
         .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.col("_rest"), longest))))
         .select("token", "start", "size", F.expr("substring(token, start, size)").alias("piece"))
     )
-    named = pieces.select(F.col("token").alias("piece"), F.col("id").cast("int").alias("id"))
+    named = pieces.groupBy(F.col("token").alias("piece")).agg(F.min("id").cast("int").alias("id"))
     found = lookup(substrings, named, "piece", how="inner", salt_by=["token", "start"])
-    best = found.groupBy("token").agg(
-        F.collect_list(F.struct("start", "size", "id")).alias("_found")
+    best = found.groupBy("token", "start").agg(F.max(F.struct("size", "id")).alias("m"))
+    best = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("start", "m"))).alias("_found"))
+    start = F.struct(
+        F.lit(1).alias("next"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<int>").alias("starts")
     )
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("ids"))
 
     def step(state: Column, at: Column) -> Column:
-        here = F.filter("_found", lambda e: e["start"] == at)
-        top = F.array_max(F.transform(here, lambda e: F.struct(e["size"].alias("size"), e["id"].alias("id"))))
+        top = F.try_element_at(F.col("_found"), at)
         taken = F.struct(
             (at + F.coalesce(top["size"], F.lit(1))).alias("next"),
             F.array_append(state["ids"], F.coalesce(top["id"], F.lit(unk_id))).alias("ids"),
+            F.array_append(state["starts"], at - 1).alias("starts"),
         )
         return F.when(state["next"] == at, taken).otherwise(state)
 
-    return (
-        tokens.distinct()
-        .join(best, "token", "left")
-        .withColumn("_found", F.coalesce("_found", F.array().cast("array<struct<start:int,size:int,id:int>>")))
-        .select(
-            "token",
-            F.aggregate(F.sequence(F.lit(1), F.length("token")), start, step, lambda s: s["ids"]).alias("pieces"),
-        )
+    cut = F.aggregate(F.sequence(F.lit(1), F.length("token")), start, step, lambda s: F.struct(s["ids"], s["starts"]))
+    return tokens.distinct().join(best, "token", "left").select("token", cut.alias("_cut")).select(
+        "token", F.col("_cut.ids").alias("pieces"), F.col("_cut.starts").alias("starts")
     )
 
 
-def tokenize_longest_match(
+def _spaced_pieces(text: Column, specials: Iterable[str]) -> Column:
+    """A lower-cased text cut at every single white-space character, empty parts included."""
+    return F.split(F.lower(spaced_specials(text, specials)), WORD_BREAK.removesuffix("+"), -1)
+
+
+def _cut_in_place(spark: SparkSession, dictionary: pa.Table, unk_id: int, limit: int | None) -> Callable[[Column], Column]:
+    """A column function from the parts of texts to ids and offsets, with the trie of all pieces broadcast."""
+    shared = spark.sparkContext.broadcast(dictionary)
+
+    def ends(sizes: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(sizes)))
+
+    def within(sizes: np.ndarray) -> np.ndarray:
+        return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trie = None
+        for lists in batches:
+            trie = trie or Trie(shared.value["token"].to_pylist(), shared.value["id"].to_pylist())
+            parts = lists.flatten()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # A part begins where the parts before it in its text end, one white space each in between.
+            lengths = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = ends(lengths + 1)
+            places = before[:-1] - np.repeat(before[ends(sizes)[:-1]], sizes)
+            coded = parts.dictionary_encode()
+            ids, starts, counts = trie.longest_matches(coded.dictionary.to_pylist(), unk_id)
+            word = coded.indices.to_numpy(zero_copy_only=False)
+            each = counts[word] if len(word) else np.zeros(0, np.int64)
+            taken = np.repeat(ends(counts)[:-1][word], each) + within(each) if len(word) else each
+            ids, starts = ids[taken], starts[taken] + np.repeat(places, each)
+            per_text = np.diff(ends(each)[ends(sizes)])
+            if limit is not None:
+                kept = within(per_text) < limit
+                ids, starts, per_text = ids[kept], starts[kept], np.minimum(per_text, limit)
+            offsets = pa.array(ends(per_text), pa.int32())
+            fields = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (ids, starts)]
+            yield pa.StructArray.from_arrays(fields, ["ids", "starts"], mask=lists.is_null())
+
+    return F.arrow_udf(cut, "struct<ids:array<int>,starts:array<int>>", F.ArrowUDFType.SCALAR_ITER)
+
+
+def tokenize_pieces(
     df: DataFrame,
     key: str,
     texts: dict[str, Column],
     pieces: DataFrame,
     specials: Iterable[str] = (),
     unk_id: int = UNK_ID,
+    limit: int | None = None,
+    carry: dict[str, Column] | None = None,
+    dictionary_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
-    """Sub-word ids: distinct words are segmented once, then looked up per occurrence."""
-    rows = _word_rows(df, key, texts, specials)
-    distinct = materialize(rows.filter(F.col("token").isNotNull()).select("token").distinct())
+    """Sub-words by greedy longest match: ``(key, <name>, <name>_starts .., <carry> ..)``.
+
+    ``<name>`` holds the ids of at most the first ``limit`` pieces and ``<name>_starts`` where
+    each begins, counted in characters of the lower-cased text with spaced specials. Pieces
+    ``(token, id)`` within ``dictionary_bytes`` are broadcast as one trie, texts stay where
+    they are and ``df`` may be a stream. Beyond that the distinct words are cut by a join and
+    looked up per occurrence; ``key`` then has to be unique. Both ways give the same.
+    """
+    carry = carry or {}
+    kept = [value.alias(name) for name, value in carry.items()]
+    dictionary = _dictionary(pieces, dictionary_bytes)
+    if dictionary is not None:
+        cut = _cut_in_place(df.sparkSession, dictionary, unk_id, limit)
+        coded = df.select(key, *[cut(_spaced_pieces(text, specials)).alias(f"_{name}") for name, text in texts.items()], *kept)
+        fields = [F.col(f"_{n}.{f}").alias(n + end) for n in texts for f, end in (("ids", ""), ("starts", "_starts"))]
+        return coded.select(key, *fields, *carry)
+    rows = _part_rows(df, key, texts, specials)
+    distinct = materialize(rows.filter(F.col("token") != "").select("token").distinct())
     segmented = materialize(longest_match_words(distinct, pieces, unk_id))
     coded = lookup(rows, segmented, "token", salt_by=[key, "pos"])
-    nested = _collected(coded, key, list(texts), F.col("pieces"))
-    return nested.select(key, *[F.flatten(name).alias(name) for name in texts])
+    cells = F.arrays_zip("pieces", F.transform("starts", lambda s: s + F.col("at")).alias("at"))
+    entry = F.when(F.col("pieces").isNotNull(), F.struct("part", "pos", cells.alias("cells")))
+    grouped = coded.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+
+    def of(part: int, field: str) -> Column:
+        mine = F.flatten(F.transform(F.filter("_all", lambda e: e["part"] == part), lambda e: e["cells"]))
+        values = F.transform(mine, lambda c: c[field].cast("int"))
+        return values if limit is None else F.slice(values, 1, limit)
+
+    wide = [of(i, f).alias(n + end) for i, n in enumerate(texts) for f, end in (("pieces", ""), ("at", "_starts"))]
+    nested = grouped.select(key, *wide)
+    return nested.join(df.select(key, *kept), key) if carry else nested
+
+
+def _part_rows(df: DataFrame, key: str, texts: dict[str, Column], specials: Iterable[str]) -> DataFrame:
+    """``(key, part, pos, token, at)``: one row per part of each text, with the character it begins at."""
+    parts = F.array(
+        *[F.struct(F.lit(i).alias("part"), _spaced_pieces(t, specials).alias("tokens")) for i, t in enumerate(texts.values())]
+    )
+    listed = spread(df, key).select(key, F.explode(parts).alias("_p")).select(key, F.col("_p.part").alias("part"), F.col("_p.tokens").alias("_t"))
+    rows = listed.select(key, "part", F.posexplode_outer("_t").alias("pos", "token"))
+    earlier = Window.partitionBy(key, "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length("token") + 1).over(earlier), F.lit(0)).cast("int")
+    return rows.withColumn("at", begin)
+
+
+def tokenize_longest_match(
+    df: DataFrame,
+    key: str,
+    texts: dict[str, Column],
+    pieces: DataFrame,
+    specials: Iterable[str] = (),
+    unk_id: int = UNK_ID,
+) -> DataFrame:
+    """Sub-word ids alone: ``(key, <name>: array<int> ..)``."""
+    return tokenize_pieces(df, key, texts, pieces, specials, unk_id).select(key, *texts)
+
+
+def chars_before(text: Column, specials: Iterable[str] = ()) -> Column:
+    """The length of a text in the characters that offsets are counted in."""
+    return F.length(F.lower(spaced_specials(text, specials)))
 
 
 Encoder = Callable[[list[str]], list[list[int]]]
+SpanEncoder = Callable[[list[str]], list[tuple[list[int], list[int]]]]
 
 
 def tokenize_with(
@@ -201,3 +317,26 @@ def tokenize_with(
     kind = df.schema[key].dataType.simpleString()
     fields = ", ".join(f"`{t}` array<int>" for t in texts)
     return df.select(key, *texts).mapInArrow(encode, f"`{key}` {kind}, {fields}")
+
+
+def tokenize_spans(
+    df: DataFrame, key: str, texts: dict[str, Column], make_encoder: Callable[[], SpanEncoder],
+    limit: int | None = None, carry: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``tokenize_with`` for encoders that also say at which character each token begins.
+
+    Gives the columns of ``tokenize_pieces``; no row moves and ``df`` may be a stream.
+    """
+
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = make_encoder()
+        kind = pa.struct([("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32()))])
+        for batch in batches:
+            coded = encoder(["" if t is None else t for t in batch.to_pylist()])
+            yield pa.array([{"ids": ids[:limit], "starts": starts[:limit]} for ids, starts in coded], kind)
+
+    coder = F.arrow_udf(encode, "struct<ids:array<int>,starts:array<int>>", F.ArrowUDFType.SCALAR_ITER)
+    carry = carry or {}
+    coded = df.select(key, *[coder(text).alias(f"_{n}") for n, text in texts.items()], *[v.alias(n) for n, v in carry.items()])
+    fields = [F.col(f"_{n}.{f}").alias(n + end) for n in texts for f, end in (("ids", ""), ("starts", "_starts"))]
+    return coded.select(key, *fields, *carry)

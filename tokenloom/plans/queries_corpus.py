@@ -19,7 +19,7 @@ from tokenloom.plans.registry import (
     vocab_sql,
     words_sql,
 )
-from tokenloom.session import scratch_path
+from tokenloom.session import materialize, scratch_path
 from tokenloom.sources import corpus, run_metrics
 from tokenloom.streaming import jobs
 
@@ -258,9 +258,8 @@ _PIECES = f"""{vocab_sql('base_vocab', 'benchmark')},
     FROM letters WHERE token NOT IN (SELECT token FROM base_vocab))"""
 
 
-@query(f"""WITH RECURSIVE {_PIECES},
-  words AS (SELECT DISTINCT unnest({{words}}) AS word FROM conversations),
-  best AS (
+# Every distinct word cut greedily: cells(word, start, id), start from 0.
+_CELLS = """best AS (
     SELECT word, start, max(size) AS size FROM (
       SELECT word, start, unnest(range(1, length(word) - start + 2)) AS size FROM (
         SELECT word, unnest(range(1, length(word) + 1)) AS start FROM words)) s
@@ -270,18 +269,14 @@ _PIECES = f"""{vocab_sql('base_vocab', 'benchmark')},
     UNION ALL
     SELECT w.word, w.at + coalesce(b.size, 1) FROM walk w LEFT JOIN best b ON b.word = w.word AND b.start = w.at
     WHERE w.at + coalesce(b.size, 1) <= length(w.word)),
-  cut AS (
-    SELECT w.word, list(coalesce(p.id, 0) ORDER BY w.at) AS ids
+  cells AS (
+    SELECT w.word, w.at - 1 AS start, coalesce(p.id, 0) AS id
     FROM walk w LEFT JOIN best b ON b.word = w.word AND b.start = w.at
-    LEFT JOIN pieces p ON p.token = w.word[b.start:b.start + b.size - 1] GROUP BY w.word),
-  placed AS (
-    SELECT {pair_sql('conv_id', 'turn')} AS sample_id, unnest({{words}}) AS word,
-           generate_subscripts({{words}}, 1) AS pos FROM conversations),
-  coded AS (SELECT sample_id, flatten(list(ids ORDER BY pos)) AS ids FROM placed JOIN cut USING (word) GROUP BY sample_id)
-SELECT sample_id, array_to_string(ids, ',') AS ids FROM coded
-""".replace("{words}", words_sql("text")))
-def tokenize_longest_match(spark, sf_dir):
-    """All conversation turns cut greedily into pieces of the benchmark's vocabulary and its letters."""
+    LEFT JOIN pieces p ON p.token = w.word[b.start:b.start + b.size - 1])"""
+
+
+def _pieces(spark, sf_dir):
+    """The benchmark's vocabulary and its letters."""
     base = S.exam_vocab(spark, sf_dir)
     letters = (
         base.select(F.explode(F.split("token", "")).alias("token"))
@@ -291,13 +286,104 @@ def tokenize_longest_match(spark, sf_dir):
     )
     last = base.agg(F.max("id").alias("last")).scalar()
     extra = ordering.global_index(letters, ["token"]).select("token", (F.col("idx") + 1 + last).cast("int").alias("id"))
-    rows = S.table(spark, sf_dir, "conversations").select(
-        S.turn_key().alias("sample_id"), "text"
+    return base.unionByName(extra)
+
+
+@query(f"""WITH RECURSIVE {_PIECES},
+  words AS (SELECT DISTINCT unnest({{words}}) AS word FROM conversations),
+  {_CELLS},
+  cut AS (SELECT word, list(id ORDER BY start) AS ids FROM cells GROUP BY word),
+  placed AS (
+    SELECT {pair_sql('conv_id', 'turn')} AS sample_id, unnest({{words}}) AS word,
+           generate_subscripts({{words}}, 1) AS pos FROM conversations),
+  coded AS (SELECT sample_id, flatten(list(ids ORDER BY pos)) AS ids FROM placed JOIN cut USING (word) GROUP BY sample_id)
+SELECT sample_id, array_to_string(ids, ',') AS ids FROM coded
+""".replace("{words}", words_sql("text")))
+def tokenize_longest_match(spark, sf_dir):
+    """All conversation turns cut greedily into pieces of the benchmark's vocabulary and its letters."""
+    rows = S.table(spark, sf_dir, "conversations").select(S.turn_key().alias("sample_id"), "text")
+    coded = tokenize.tokenize_longest_match(rows, "sample_id", {"ids": F.col("text")}, _pieces(spark, sf_dir))
+    return coded.select("sample_id", listed("ids").alias("ids"))
+
+
+def _spaced_sql(text: str) -> str:
+    return f"lower(replace({text}, '</s>', ' </s> '))"
+
+
+# Prompt and text of every prefix sample in pieces, with the character each piece begins at.
+_SUB_WORDS = f"""{_PIECES.replace("pieces AS (", "plain_pieces AS (")}, {added_sql("pieces", "plain_pieces")}, {PREFIX_SAMPLES},
+  sides AS (
+    SELECT sample_id, 'prompt' AS part, {_spaced_sql("prefix")} AS t FROM prefix_samples
+    UNION ALL SELECT sample_id, 'text', {_spaced_sql("prefix || text || '</s>'")} FROM prefix_samples),
+  split AS (SELECT sample_id, part, string_split_regex(t, '[ \t\n\r\f\x0B]') AS ws FROM sides),
+  placed AS (SELECT sample_id, part, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split),
+  located AS (
+    SELECT *, sum(length(word) + 1) OVER (PARTITION BY sample_id, part ORDER BY pos) - length(word) - 1 AS at FROM placed),
+  words AS (SELECT DISTINCT word FROM placed WHERE word <> ''),
+  {_CELLS},
+  tokens AS (
+    SELECT l.sample_id, l.part, c.id, l.at + c.start AS begin,
+           row_number() OVER (PARTITION BY l.sample_id, l.part ORDER BY l.pos, c.start) AS k
+    FROM located l JOIN cells c USING (word)),
+  block AS (SELECT * FROM tokens WHERE k <= {BLOCK}),
+  borders AS (SELECT sample_id, length(t) AS border FROM sides WHERE part = 'prompt'),
+  counts AS (SELECT sample_id, count(*) AS n FROM block WHERE part = 'prompt' GROUP BY sample_id),
+  marked AS (
+    SELECT b.sample_id, b.id, b.k, b.k <= coalesce(n, 0) AS by_count, b.begin < border AS by_offset
+    FROM block b JOIN borders USING (sample_id) LEFT JOIN counts USING (sample_id) WHERE part = 'text')"""
+
+
+def _piece_coder(spark, sf_dir):
+    return prepare.piece_coder(S.tokenizer_vocab(_pieces(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_SUB_WORDS}
+SELECT sample_id, 'student' AS side, string_agg(id, ',' ORDER BY k) AS ids, string_agg('1', ',' ORDER BY k) AS mask,
+       string_agg(CASE WHEN by_count THEN -100 ELSE id END, ',' ORDER BY k) AS labels FROM marked GROUP BY sample_id""")
+def prepare_pieces(spark, sf_dir):
+    """Prefix records in sub-words, the prompt masked by its own number of tokens."""
+    return _shown(prepare.prepare_student(S.prefix_samples(spark, sf_dir), "sample_id", _piece_coder(spark, sf_dir), S.STUDENT_EOS, BLOCK))
+
+
+@query(f"""WITH RECURSIVE {_SUB_WORDS}, two_ways AS (
+  SELECT sample_id, string_agg(CASE WHEN by_count THEN -100 ELSE id END, ',' ORDER BY k) AS labels_by_count,
+         string_agg(CASE WHEN by_offset THEN -100 ELSE id END, ',' ORDER BY k) AS labels_by_offset,
+         count(*) FILTER (by_count <> by_offset) AS tokens_differing FROM marked GROUP BY sample_id)
+SELECT *, (SELECT count(*) FROM two_ways WHERE tokens_differing > 0) AS samples_differing FROM two_ways""")
+def prompt_border(spark, sf_dir):
+    """Labels by the prompt's own number of tokens and by character offset, and where they differ."""
+    samples, coder = S.prefix_samples(spark, sf_dir), _piece_coder(spark, sf_dir)
+    sides = {
+        border: prepare.prepare_student(samples, "sample_id", coder, S.STUDENT_EOS, BLOCK, border=border).select("sample_id", F.col("labels").alias(border))
+        for border in ("count", "offset")
+    }
+    both = materialize(sides["count"].join(sides["offset"], "sample_id"))
+    other = F.size(F.filter(F.zip_with("count", "offset", lambda a, b: a != b), lambda d: d)).cast("long")
+    shown = both.select(
+        "sample_id", listed("count").alias("labels_by_count"), listed("offset").alias("labels_by_offset"), other.alias("tokens_differing")
     )
-    coded = tokenize.tokenize_longest_match(
-        rows, "sample_id", {"ids": F.col("text")}, base.unionByName(extra)
+    total = shown.agg(F.count_if(F.col("tokens_differing") > 0).alias("samples_differing"))
+    return shown.crossJoin(F.broadcast(total))
+
+
+@query(f"""WITH RECURSIVE {_SUB_WORDS}
+SELECT sample_id, 'student' AS side, string_agg(id, ',' ORDER BY k) AS ids, string_agg('1', ',' ORDER BY k) AS mask,
+       string_agg(CASE WHEN by_offset THEN -100 ELSE id END, ',' ORDER BY k) AS labels FROM marked GROUP BY sample_id""")
+def prepare_pieces_stream(spark, sf_dir):
+    """The same records as a stream of files, the prompt masked by character offset."""
+    source = scratch_path(spark, "stream-in")
+    _written(S.prefix_samples(spark, sf_dir).repartition(4, "sample_id"), "json", source)
+    schema = "sample_id long, prefix string, text string"
+    records = corpus.read_corpus_stream(spark, source, StructType.fromDDL(schema), fmt="json", maxFilesPerTrigger=2)
+    out, coder = scratch_path(spark, "stream-out"), _piece_coder(spark, sf_dir)
+    running = jobs.prepare_stream(
+        records,
+        lambda df: prepare.prepare_student(df, "sample_id", coder, S.STUDENT_EOS, BLOCK, border="offset"),
+        out,
+        scratch_path(spark, "stream-state"),
     )
-    return coded.select("sample_id", listed("ids").alias("ids"))
+    running.awaitTermination()
+    return _shown(spark.read.parquet(out))
 
 
 def _coded_sql(vocab: str, source: str, key: str, prompt: str, text: str, ends: tuple[str, ...] = ("</s>",)) -> str:
