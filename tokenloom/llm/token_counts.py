@@ -56,7 +56,7 @@ class PrefixCounter:
             self.made_by.setdefault(pair[0] + pair[1], pair)
         self.edges: tuple[dict, dict] = ({}, {})
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.alphabet = _byte_letters()
+        self.alphabet = byte_letters()
         self.tokens = set(spec["model"]["vocab"]) - set(self.specials)
         self.longest = max(map(len, self.tokens))
         self.library = Tokenizer.from_file(path).pre_tokenizer
@@ -250,7 +250,7 @@ class PrefixCounter:
         return counts
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write byte 0 to 255 as a printable letter each."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     others = (b for b in range(256) if b not in own)
