@@ -1,8 +1,9 @@
 """Alignment of two tokenizations of a text, and merging of step vectors along it.
 
-A sample is one row with both token arrays, so alignment needs no shuffle. The distances
-between its distinct tokens are computed by Spark; only the recurrence over the cells,
-which is sequential within a sample, runs in Python on Arrow batches.
+A sample is one row with both token arrays, so alignment needs no shuffle. Its recurrence is
+sequential and runs in Python on Arrow batches (``functions.warping``), many samples at a
+time; a task keeps the distances between tokens that it has met. Where samples differ much
+in size, ``deal`` spreads them so that all partitions have about as many cells.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +24,8 @@ from tokenloom.constants import (
     SPECIAL_PAIRS_SORTED,
 )
 from tokenloom.functions import arrays, wide
-from tokenloom.functions.text import normalize_token
-
-DIAGONAL, UP, LEFT = 0, 1, 2
-
+from tokenloom.functions.warping import Sample, TokenCosts, dtw_path, warp_all  # noqa: F401
+from tokenloom.operators.ordering import global_index
 
 def align_status(student_steps: Column, teacher_steps: Column) -> Column:
     """From the numbers of content steps: samples without any are marked, not dropped."""
@@ -83,94 +81,6 @@ def sample_tokens(steps: DataFrame) -> DataFrame:
     )
 
 
-def _costs(
-    teacher: Column, student: Column, norm: bool, marker_t: str, marker_s: str, strip: str, pairs: Mapping[str, str]
-) -> Column:
-    """Flat ``array<double>`` of costs between distinct tokens, teacher-major."""
-    keys, values = list(pairs.keys()), sorted(set(pairs.values()))
-
-    def prepared(tokens: Column, marker: str) -> Column:
-        return F.transform(
-            tokens,
-            lambda t: F.struct(
-                normalize_token(t, marker, strip).alias("text"),
-                t.isin(keys).alias("is_key"),
-                t.isin(values).alias("is_value"),
-            ),
-        )
-
-    def cost(a: Column, b: Column) -> Column:
-        same = (a["is_key"] & b["is_value"]) | (b["is_key"] & a["is_value"])
-        distance = F.levenshtein(a["text"], b["text"]).cast("double")
-        if norm:
-            sizes = (F.length(a["text"]) + F.length(b["text"])).cast("double")
-            distance = F.coalesce(F.try_divide(distance, sizes), F.lit(0.0))
-        return F.when(same, F.lit(0.0)).otherwise(distance)
-
-    return arrays.let(
-        prepared(student, marker_s),
-        lambda right: F.flatten(
-            F.transform(prepared(teacher, marker_t), lambda a: F.transform(right, lambda b: cost(a, b)))
-        ),
-    )
-
-
-def warp(n: int, m: int, diagonal: Callable[[slice, slice], np.ndarray]) -> tuple[float, np.ndarray]:
-    """Least total cost and path through n x m cells.
-
-    Cells are filled one anti-diagonal at a time; ``diagonal(rows, columns)`` gives its
-    costs, rows ascending and columns descending. Kept are two diagonals of totals and one
-    byte per cell for the move taken; of equal moves the first of diagonal, up and left wins.
-    """
-    moves = np.zeros(n * m, dtype=np.int8)
-    # Totals of the last two diagonals, indexed by row + 1; cells outside stay infinite.
-    older = np.full(n + 1, np.inf)
-    newer = np.full(n + 1, np.inf)
-    newer[1] = diagonal(slice(0, 1), slice(0, 1))[0]
-    for d in range(1, n + m - 1):
-        lo, hi = max(0, d - m + 1), min(d, n - 1)
-        cells = slice(lo * m + d - lo, hi * m + d - hi + 1, m - 1) if m > 1 else slice(d, d + 1)
-        options = np.stack((older[lo : hi + 1], newer[lo : hi + 1], newer[lo + 1 : hi + 2]))
-        moves[cells] = options.argmin(axis=0)
-        totals = np.full(n + 1, np.inf)
-        costs = diagonal(slice(lo, hi + 1), slice(d - hi, d - lo + 1))
-        totals[lo + 1 : hi + 2] = costs + options.min(axis=0)
-        older, newer = newer, totals
-    i, j = n - 1, m - 1
-    path = [(i, j)]
-    while i or j:
-        move = moves[i * m + j]
-        if move != LEFT:
-            i -= 1
-        if move != UP:
-            j -= 1
-        path.append((i, j))
-    return float(newer[n]), np.array(path[::-1], dtype=np.int32)
-
-
-def dtw_path(cost: np.ndarray) -> tuple[float, np.ndarray]:
-    """``warp`` over a cost matrix."""
-    n, m = cost.shape
-    rows, columns = np.arange(n), np.arange(m)
-    return warp(n, m, lambda r, c: cost[rows[r], columns[c][::-1]])
-
-
-def sample_path(
-    table: np.ndarray, rows: np.ndarray, columns: np.ndarray, weights: tuple[np.ndarray, np.ndarray] | None
-) -> tuple[float, np.ndarray]:
-    """``warp`` over the costs between distinct tokens, looked up and weighted per diagonal."""
-
-    def diagonal(r: slice, c: slice) -> np.ndarray:
-        cost = table[rows[r], columns[c][::-1]]
-        return cost if weights is None else cost * weights[0][r] * weights[1][c][::-1]
-
-    return warp(len(rows), len(columns), diagonal)
-
-
-def _places(tokens: pa.Array, distinct: pa.Array) -> np.ndarray:
-    return pc.index_in(tokens, value_set=distinct).to_numpy(zero_copy_only=False)
-
-
 def _spans(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     """First and last partner of every position; partners on a path are consecutive."""
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
@@ -193,37 +103,51 @@ _ALIGNED = (
 )
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = {name: batch.column(name) for name in batch.schema.names}
-        totals, paths = [], []
-        for row in range(batch.num_rows):
-            given = {name: column[row] for name, column in columns.items() if name not in ("sample_id", "tea_pos", "stu_pos")}
-            tea_kinds, stu_kinds = given["tea_kinds"].values, given["stu_kinds"].values
-            table = given["costs"].values.to_numpy().reshape(len(tea_kinds), len(stu_kinds))
-            weights = None
-            if given["tea_weights"].is_valid and given["stu_weights"].is_valid:
-                weights = tuple(given[f"{side}_weights"].values.to_numpy() for side in ("tea", "stu"))
-            total, path = sample_path(
-                table,
-                _places(given["tea_tokens"].values, tea_kinds),
-                _places(given["stu_tokens"].values, stu_kinds),
-                weights,
+def _align_batches(costs: Callable[[], TokenCosts]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = costs()
+        for batch in batches:
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            tea, stu = (columns[f"{side}_tokens"].to_pylist() for side in ("tea", "stu"))
+            weights = [columns[f"{side}_weights"] for side in ("tea", "stu")]
+            samples = []
+            for row in range(batch.num_rows):
+                table, rows, cols = known.table(tea[row], stu[row])
+                given = [w[row] for w in weights]
+                both = all(w.is_valid for w in given)
+                samples.append(Sample(table, rows, cols, *((w.values.to_numpy() for w in given) if both else (None, None))))
+            found = warp_all(samples)
+            totals, paths = [t for t, _ in found], [p for _, p in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    columns["sample_id"],
+                    pa.array(totals, pa.float64()),
+                    _list_of_pairs(paths, ("i", "j")),
+                    _list_of_pairs([_spans(p[:, 0], p[:, 1]) for p in paths], ("lo", "hi")),
+                    _list_of_pairs([_spans(p[:, 1], p[:, 0]) for p in paths], ("lo", "hi")),
+                    columns["tea_pos"],
+                    columns["stu_pos"],
+                ],
+                names=["sample_id", "total_cost", "path", "tea_spans", "stu_spans", "tea_pos", "stu_pos"],
             )
-            totals.append(total)
-            paths.append(path)
-        yield pa.RecordBatch.from_arrays(
-            [
-                columns["sample_id"],
-                pa.array(totals, pa.float64()),
-                _list_of_pairs(paths, ("i", "j")),
-                _list_of_pairs([_spans(p[:, 0], p[:, 1]) for p in paths], ("lo", "hi")),
-                _list_of_pairs([_spans(p[:, 1], p[:, 0]) for p in paths], ("lo", "hi")),
-                columns["tea_pos"],
-                columns["stu_pos"],
-            ],
-            names=["sample_id", "total_cost", "path", "tea_spans", "stu_spans", "tea_pos", "stu_pos"],
-        )
+
+    return aligned
+
+
+def deal(samples: DataFrame, parts: int | None = None) -> DataFrame:
+    """Spread samples over ``parts`` partitions of about as many cells each.
+
+    Samples are numbered by falling number of cells and dealt out to and fro, so a round gives
+    every partition one sample of about the same size, and two partitions differ by no more
+    than the largest sample. Only ids and sizes are sorted. ``sample_id`` has to be unique.
+    """
+    parts = parts or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = F.size("tea_tokens").cast("long") * F.size("stu_tokens")
+    ranks = global_index(samples.select("sample_id", cells.alias("_cells")), [F.desc("_cells"), "sample_id"], "_rank")
+    turn = F.pmod("_rank", F.lit(2 * parts))
+    bins = F.when(turn < parts, turn).otherwise(2 * parts - 1 - turn).cast("int")
+    placed = samples.join(ranks.select("sample_id", bins.alias("_bin")), "sample_id")
+    return placed.repartitionById(parts, F.col("_bin")).drop("_bin")
 
 
 def align(
@@ -243,7 +167,7 @@ def align(
 
     ``weighted``: edit distance times both step weights. ``norm``: edit distance over the
     summed lengths, no weights, with that method's own special pairs and marker rule.
-    A sample's cells are bounded by the block size of the preparation, squared.
+    The memory of a sample grows with its lengths, not with its cells.
     """
     if cost not in ("weighted", "norm"):
         raise ValueError(f"unknown cost {cost!r}")
@@ -257,21 +181,21 @@ def align(
     marked = samples.withColumn("status", align_status(F.size("stu_tokens"), F.size("tea_tokens")))
 
     none = F.lit(None).cast("array<int>")
-    ready = (
-        marked.filter(F.col("status") == "ok")
-        .withColumn("tea_kinds", F.array_distinct("tea_tokens"))
-        .withColumn("stu_kinds", F.array_distinct("stu_tokens"))
-        .select(
-            "sample_id", "tea_tokens", "stu_tokens", "tea_kinds", "stu_kinds",
-            _costs(F.col("tea_kinds"), F.col("stu_kinds"), norm, marker_t, marker_s, strip, pairs).alias("costs"),
-            (none if norm else F.col("tea_weights")).alias("tea_weights"),
-            (none if norm else F.col("stu_weights")).alias("stu_weights"),
-            "tea_pos",
-            "stu_pos",
-        )
+    ready = marked.filter(F.col("status") == "ok").select(
+        "sample_id",
+        "tea_tokens",
+        "stu_tokens",
+        (none if norm else F.col("tea_weights")).alias("tea_weights"),
+        (none if norm else F.col("stu_weights")).alias("stu_weights"),
+        "tea_pos",
+        "stu_pos",
     )
     kind = samples.schema["sample_id"].dataType.simpleString()
-    aligned = ready.mapInArrow(_align_batches, f"sample_id {kind}, {_ALIGNED}")
+
+    def costs() -> TokenCosts:
+        return TokenCosts(norm, marker_t, marker_s, strip, dict(pairs))
+
+    aligned = ready.mapInArrow(_align_batches(costs), f"sample_id {kind}, {_ALIGNED}")
     empty = marked.filter(F.col("status") != "ok").select(
         "sample_id",
         "status",

@@ -287,6 +287,30 @@ def tokenize_longest_match(
     return tokenize_pieces(df, key, texts, pieces, specials, unk_id).select(key, *texts)
 
 
+def token_texts(ids: Column, vocab: DataFrame, unknown: str, dictionary_bytes: int = DICTIONARY_BYTES) -> Column:
+    """The tokens of an array of ids, in place; ``vocab(token, id)`` has to stay within ``dictionary_bytes``."""
+    dictionary = _dictionary(vocab, dictionary_bytes)
+    if dictionary is None:
+        raise ValueError("the vocabulary is too large to be broadcast; join it to the steps instead")
+    shared = vocab.sparkSession.sparkContext.broadcast(dictionary.sort_by("id"))
+
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = shared.value.combine_chunks()
+        tokens = known["token"].combine_chunks() if known.num_rows else pa.array([], pa.string())
+        numbers = known["id"].to_numpy()
+        for lists in batches:
+            given = lists.flatten().to_numpy(zero_copy_only=False)
+            place = np.searchsorted(numbers, given)
+            hit = place < len(numbers)
+            hit[hit] = numbers[place[hit]] == given[hit]
+            found = tokens.take(pa.array(place, pa.int64(), mask=~hit)).fill_null(unknown)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, found, mask=lists.is_null())
+
+    return F.arrow_udf(read, "array<string>", F.ArrowUDFType.SCALAR_ITER)(ids)
+
+
 def chars_before(text: Column, specials: Iterable[str] = ()) -> Column:
     """The length of a text in the characters that offsets are counted in."""
     return F.length(F.lower(spaced_specials(text, specials)))

@@ -9,11 +9,12 @@ from tokenloom.functions.arrays import rounded
 from tokenloom.operators import align as A
 from tokenloom.operators import candidates as C
 from tokenloom.operators import losses as L
+from tokenloom.operators import tokenize
 from tokenloom.plans import distill
 from tokenloom.plans import standins as S
 from tokenloom.plans.queries_vocab import alphabet_sql, bytes_sql, entropy_sql
 from tokenloom.plans.registry import STEP_LOGITS, listed, log_softmax_sql, query, vocab_sql, words_sql
-from tokenloom.session import materialize_by
+from tokenloom.session import materialize, materialize_by
 
 K = 10
 THRESHOLD = 0.45
@@ -83,6 +84,26 @@ _WEIGHTED = _path_sql("levenshtein(t.b, s.b)")
 _NORM = _path_sql("coalesce(levenshtein(t.b, s.b)::DOUBLE / nullif(length(t.b) + length(s.b), 0), 0)", weights=False)
 
 
+def document_samples(docs, pieces, block=2048):
+    """``(sample_id, tea_tokens, stu_tokens)``: two tokenizations of a document, each up to a block."""
+    words = F.slice(text.words(F.col("text")), 1, block)
+    coded = tokenize.tokenize_pieces(docs, "sample_id", {"stu": F.col("text")}, pieces, limit=block, carry={"tea_tokens": words})
+    read = tokenize.token_texts(F.col("stu"), pieces, distill.UNKNOWN_TOKEN)
+    return coded.select("sample_id", "tea_tokens", read.alias("stu_tokens"))
+
+
+@query()
+def align_documents(spark, sf_dir):
+    """A2, A3: whole documents in blocks of 2,048, as words and as sub-words, dealt out by their cells."""
+    samples = document_samples(S.plain_samples(spark, sf_dir), materialize(S.benchmark_pieces(spark, sf_dir)))
+    aligned = A.align(A.deal(samples), cost="norm")
+    path = F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["i"], p["j"])), ",")
+    return aligned.select(
+        "sample_id", "status", F.size("tea_pos").alias("tea_steps"), F.size("stu_pos").alias("stu_steps"),
+        rounded(F.col("total_cost")).alias("total_cost"), F.size("path").alias("path_steps"), F.sha2(path, 256).alias("path_sha256"),
+    )
+
+
 @query(f"WITH RECURSIVE {_WEIGHTED} SELECT sample_id, 'ok' AS status, round(d[n * m], 6) AS total_cost FROM solved")
 def align_weighted(spark, sf_dir):
     """A1: total cost of the entropy-weighted alignment of every sample."""

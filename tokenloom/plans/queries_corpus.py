@@ -275,20 +275,6 @@ _CELLS = """best AS (
     LEFT JOIN pieces p ON p.token = w.word[b.start:b.start + b.size - 1])"""
 
 
-def _pieces(spark, sf_dir):
-    """The benchmark's vocabulary and its letters."""
-    base = S.exam_vocab(spark, sf_dir)
-    letters = (
-        base.select(F.explode(F.split("token", "")).alias("token"))
-        .filter("token <> ''")
-        .distinct()
-        .join(base, "token", "left_anti")
-    )
-    last = base.agg(F.max("id").alias("last")).scalar()
-    extra = ordering.global_index(letters, ["token"]).select("token", (F.col("idx") + 1 + last).cast("int").alias("id"))
-    return base.unionByName(extra)
-
-
 @query(f"""WITH RECURSIVE {_PIECES},
   words AS (SELECT DISTINCT unnest({{words}}) AS word FROM conversations),
   {_CELLS},
@@ -302,7 +288,7 @@ SELECT sample_id, array_to_string(ids, ',') AS ids FROM coded
 def tokenize_longest_match(spark, sf_dir):
     """All conversation turns cut greedily into pieces of the benchmark's vocabulary and its letters."""
     rows = S.table(spark, sf_dir, "conversations").select(S.turn_key().alias("sample_id"), "text")
-    coded = tokenize.tokenize_longest_match(rows, "sample_id", {"ids": F.col("text")}, _pieces(spark, sf_dir))
+    coded = tokenize.tokenize_longest_match(rows, "sample_id", {"ids": F.col("text")}, S.benchmark_pieces(spark, sf_dir))
     return coded.select("sample_id", listed("ids").alias("ids"))
 
 
@@ -334,7 +320,7 @@ _SUB_WORDS = f"""{_PIECES.replace("pieces AS (", "plain_pieces AS (")}, {added_s
 
 
 def _piece_coder(spark, sf_dir):
-    return prepare.piece_coder(S.tokenizer_vocab(_pieces(spark, sf_dir)))
+    return prepare.piece_coder(S.tokenizer_vocab(S.benchmark_pieces(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {_SUB_WORDS}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.operators.ordering import global_index
 from tokenloom.operators.vocab import added_tokens, ranked_vocab, token_counts, vocab_head
 from tokenloom.session import materialize
 
@@ -63,6 +64,15 @@ def exam_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_vocab(token_counts(table(spark, sf_dir, "benchmark")))
 
 
+def benchmark_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sub-word vocabulary: the benchmark's words and, after them, its single letters."""
+    base = exam_vocab(spark, sf_dir)
+    letters = base.select(F.explode(F.split("token", "")).alias("token")).filter("token <> ''").distinct()
+    last = base.agg(F.max("id").alias("last")).scalar()
+    extra = global_index(letters.join(base, "token", "left_anti"), ["token"])
+    return base.unionByName(extra.select("token", (F.col("idx") + 1 + last).cast("int").alias("id")))
+
+
 def tokenizer_vocab(vocab: DataFrame) -> DataFrame:
     return added_tokens(vocab, [STUDENT_EOS, TEACHER_EOS])
 
