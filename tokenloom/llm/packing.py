@@ -136,11 +136,9 @@ def encode(docs: DataFrame, tokenizer: str, key: str, text: str, longest: int =
     with open(tokenizer, encoding="utf-8") as file:
         specials = [t["content"] for t in json.load(file)["added_tokens"]]
     body = F.coalesce(column(docs, text), F.lit(""))
-    odd = body.rlike(f"[^{SETTLED}]") | (F.octet_length(body) > WHOLE_BYTES)
+    odd = ~body.rlike(f"\\A[{SETTLED}]*+\\z") | (F.octet_length(body) > WHOLE_BYTES)
     for special in specials:
         odd = odd | F.contains(body, F.lit(special))
-    words = F.when(~odd, F.regexp_extract_all(body, F.lit(WORDS), F.lit(0)))
-
     def coded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         import os
 
@@ -158,8 +156,11 @@ def encode(docs: DataFrame, tokenizer: str, key: str, text: str, longest: int =
                 at += size
             yield pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(priors, pa.int64())], ["ids", "prior"])
 
-    made = F.arrow_udf(coded, "struct<ids:binary,prior:long>", F.ArrowUDFType.SCALAR_ITER)(words, F.when(odd, body))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, key).alias("doc"), made.alias("made"))
+    # A column of its own: the test reads the whole text and is wanted by both arguments.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, key).alias("doc"), body.alias("body"), odd.alias("odd"))
+    words = F.when(~F.col("odd"), F.regexp_extract_all("body", F.lit(WORDS), F.lit(0)))
+    made = F.arrow_udf(coded, "struct<ids:binary,prior:long>", F.ArrowUDFType.SCALAR_ITER)
+    rows = rows.select("row", "doc", made(words, F.when(F.col("odd"), F.col("body"))).alias("made"))
     return rows.select("row", "doc", (F.octet_length("made.ids") / 4).cast("long").alias("n"), "made.ids", "made.prior")
 
 
