@@ -67,7 +67,7 @@ def test_nearest_map_in_blocks_equals_broadcast(spark):
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))
     tea, stu = [sorted({word() for _ in range(n)}) for n in (300, 200)]
     want = {i: min((distance(t, s), j) for j, s in enumerate(stu)) for i, t in enumerate(tea)}
-    for size in (edit_map.TRIE_BYTES, 700):
+    for size in (edit_map.TRIE_BYTES, 700):  # the last in blocks
         rows = edit_map.min_edit_map(vocabulary(spark, tea), vocabulary(spark, stu), size).collect()
         assert len(rows) == len(tea) and {r.src_id: (r.distance, r.dst_id) for r in rows} == want
 

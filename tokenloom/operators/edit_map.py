@@ -19,7 +19,7 @@ from tokenloom.functions.trie import Bands
 from tokenloom.session import materialize
 
 # Bytes of tokens (and 12 an entry) whose tries a task keeps; the tries take some tens of times as much.
-TRIE_BYTES = 4 * 1024 * 1024
+TRIE_BYTES = 16 * 1024 * 1024
 WORDS_AT_ONCE = 50_000
 _FOUND = "src_id int, dst_id int, distance int"
 
