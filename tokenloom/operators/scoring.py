@@ -21,40 +21,52 @@ def _finite(names: tuple[str, ...]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def guarded(values: tuple[str, ...], guard: bool = True) -> dict[str, Column]:
-    """What a row adds to each sum: nothing when ``guard`` is on and a loss is not finite."""
+def guarded(values: tuple[str, ...], guard: bool = True, digits: int | None = None) -> dict[str, Column]:
+    """What a row adds to each sum: nothing when ``guard`` is on and a loss is not finite.
+
+    With ``digits`` it is a decimal of so many digits. Sums of decimals are exact, so they are the
+    same in any order of the rows; without a guard, what is not finite is left out (``stray``).
+    """
     ok = _finite(tuple(n for n in LOSSES if n in values)) if guard else F.lit(True)
     zero = F.lit(0.0)
-    return {n: F.when(ok, F.coalesce(F.col(n), zero)).otherwise(zero) for n in values}
+    if digits is None:
+        return {n: F.when(ok, F.coalesce(F.col(n), zero)).otherwise(zero) for n in values}
+    return {n: F.when(ok & _finite((n,)), F.col(n)).otherwise(zero).cast(f"decimal(20,{digits})") for n in values}
+
+
+def stray(values: tuple[str, ...]) -> dict[str, Column]:
+    """What a row adds to each sum beside the decimals: its value where that is not finite."""
+    return {n: F.when(F.col(n).isNull() | _finite((n,)), F.lit(0.0)).otherwise(F.col(n)) for n in values}
 
 
 def running_sums(
-    metrics: DataFrame, keys: list[str], values: tuple[str, ...], guard: bool = True, block: int = BLOCK_STEPS
+    metrics: DataFrame, keys: list[str], values: tuple[str, ...], guard: bool = True, block: int = BLOCK_STEPS, digits: int | None = None
 ) -> DataFrame:
     """``(keys, step, rows, sum_<value>..)``: cumulative counts and sums in order of ``step``.
 
     A run is cut into blocks of steps: blocks are summed, the sums are accumulated over
     the few blocks, and rows are accumulated inside their block. No task sees a whole run.
     """
-    df = metrics.withColumn("_block", F.floor(F.col("step") / block)).withColumns(
-        {f"_{n}": added for n, added in guarded(values, guard).items()}
-    )
-    sums = df.groupBy(*keys, "_block").agg(
-        F.count("*").alias("_rows"), *[F.sum(f"_{n}").alias(f"_block_{n}") for n in values]
-    )
+    added = {f"_{n}": c for n, c in guarded(values, guard, digits).items()}
+    if digits is not None and not guard:
+        added |= {f"_{n}_stray": c for n, c in stray(values).items()}
+    names = [c.removeprefix("_") for c in added]
+    df = metrics.withColumn("_block", F.floor(F.col("step") / block)).withColumns(added)
+    sums = df.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"), *[F.sum(f"_{n}").alias(f"_block_{n}") for n in names])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(
         *keys,
         "_block",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-        *[F.coalesce(F.sum(f"_block_{n}").over(earlier), F.lit(0.0)).alias(f"_before_{n}") for n in values],
+        *[F.coalesce(F.sum(f"_block_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names],
     )
     inside = Window.partitionBy(*keys, "_block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    total = {n: (F.col(f"_before_{n}") + F.sum(f"_{n}").over(inside)).cast("double") for n in names}
     return df.join(carried, [*keys, "_block"]).select(
         *keys,
         "step",
         (F.col("_rows_before") + F.count("*").over(inside)).alias("rows"),
-        *[(F.col(f"_before_{n}") + F.sum(f"_{n}").over(inside)).alias(f"sum_{n}") for n in values],
+        *[(total[n] + total[f"{n}_stray"] if f"{n}_stray" in total else total[n]).alias(f"sum_{n}") for n in values],
     )
 
 
@@ -64,17 +76,19 @@ def running_mean(
     guard: bool = True,
     reset_every: int | None = None,
     block: int = BLOCK_STEPS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Cumulative means per ``run`` in order of ``step``.
 
     With ``guard``, a row whose losses are not finite counts but adds nothing.
-    ``reset_every`` starts the sums anew in every bucket of that many steps.
+    ``reset_every`` starts the sums anew in every bucket of that many steps. ``digits`` makes the
+    sums exact for values of so many decimal digits (``guarded``).
     """
     keys = ["run"]
     if reset_every:
         metrics = metrics.withColumn("bucket", reset_bucket(F.col("step"), reset_every))
         keys = ["run", "bucket"]
-    sums = running_sums(metrics, keys, values, guard, block)
+    sums = running_sums(metrics, keys, values, guard, block, digits)
     return sums.select("run", "step", *[(F.col(f"sum_{n}") / F.col("rows")).alias(n) for n in values])
 
 

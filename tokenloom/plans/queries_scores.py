@@ -18,9 +18,8 @@ from tokenloom.streaming import jobs
 T = 2.0
 ALPHA = 0.5
 
-# Means of values with two decimals often lie exactly between two numbers of six digits,
-# and the order of a sum then decides. Both engines are nudged off such points.
-NUDGE = 3.3e-10
+# The metrics have at most so many decimal digits: their sums are exact, and means are not rounded.
+DIGITS = 4
 
 
 def _masked_steps(spark, sf_dir):
@@ -196,44 +195,40 @@ def nan_audit(spark, sf_dir):
 # --- running metrics ---------------------------------------------------------------------
 
 
-def _running_sql(partition: str, guard: bool = True) -> str:
-    def kept(value: str) -> str:
-        if not guard:
-            return value
-        return f"CASE WHEN isfinite(sft_loss) AND isfinite(distill_loss) THEN {value} ELSE 0 END"
+def _exact_sql(value: str, over: str = "") -> str:
+    """The sum as a double, added up in decimals."""
+    return f"sum(({value})::DECIMAL(20, {DIGITS})) {over}::DOUBLE"
 
-    columns = ", ".join(
-        f"round(sum({kept(v)}) OVER w / count(*) OVER w + {NUDGE}, 6) AS {v}" for v in ("sft_loss", "distill_loss", "unmasked_rate")
-    )
+
+def _running_sql(partition: str) -> str:
+    kept = "CASE WHEN isfinite(sft_loss) AND isfinite(distill_loss) THEN {} ELSE 0 END"
+    columns = ", ".join(f"{_exact_sql(kept.format(v), 'OVER w')} / count(*) OVER w AS {v}" for v in ("sft_loss", "distill_loss", "unmasked_rate"))
     return f"""SELECT run, step, {columns} FROM metrics
     WINDOW w AS (PARTITION BY {partition} ORDER BY step ROWS UNBOUNDED PRECEDING)"""
 
 
-def _rounded_metrics(rows):
-    return rows.select("run", "step", *[rounded(F.col(v) + NUDGE).alias(v) for v in W.METRICS])
-
-
 @query(f"WITH {METRICS_ROWS} {_running_sql('run')}")
 def running_mean(spark, sf_dir):
     """Cumulative means; rows that are not finite count but add nothing."""
-    return _rounded_metrics(W.running_mean(S.metrics(spark, sf_dir), block=4096))
+    return W.running_mean(S.metrics(spark, sf_dir), block=4096, digits=DIGITS)
 
 
 @query(f"WITH {METRICS_ROWS} {_running_sql('run, step // 100')}")
 def running_mean_reset(spark, sf_dir):
     """The same, started anew every 100 steps."""
-    return _rounded_metrics(W.running_mean(S.metrics(spark, sf_dir), reset_every=100))
+    return W.running_mean(S.metrics(spark, sf_dir), reset_every=100, digits=DIGITS)
 
 
 @query(f"""WITH {METRICS_ROWS}
-SELECT run, step, round(sum(unmasked_rate) OVER w / count(*) OVER w + {NUDGE}, 6) AS unmasked_rate,
-  round(sum(sft_loss) OVER w / count(*) OVER w + {NUDGE}, 6) AS sft_loss FROM metrics
-WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)""")
+SELECT run, step, {_exact_sql('unmasked_rate', 'OVER w')} / count(*) OVER w AS unmasked_rate,
+  CASE WHEN bool_and(isfinite(sft_loss)) OVER w
+       THEN {_exact_sql('CASE WHEN isfinite(sft_loss) THEN sft_loss ELSE 0 END', 'OVER w')} / count(*) OVER w
+       ELSE 'nan'::DOUBLE END AS sft_loss
+FROM metrics WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)""")
 def running_mean_unguarded(spark, sf_dir):
     """W1 without the guard, as the same-tokenizer baselines keep it."""
-    means = ("unmasked_rate", "sft_loss")  # the loss has rows that are no number, and stays none from there on
-    rows = W.running_mean(S.metrics(spark, sf_dir), means, guard=False)
-    return rows.select("run", "step", *[rounded(F.col(v) + NUDGE).alias(v) for v in means])
+    # The loss has rows that are no number, and stays none from there on.
+    return W.running_mean(S.metrics(spark, sf_dir), ("unmasked_rate", "sft_loss"), guard=False, digits=DIGITS)
 
 
 @query(f"WITH {METRICS_ROWS} SELECT run, step, round(unmasked_rate, 6) AS unmasked_rate FROM metrics WHERE step % 3 = 0")
@@ -245,35 +240,45 @@ def log_every(spark, sf_dir):
 _METRICS_SCHEMA = "run string, step long, ts timestamp, sft_loss double, distill_loss double, unmasked_rate double"
 
 
-def _metrics_files(spark, sf_dir):
-    path = scratch_path(spark, "metrics-in")
-    S.metrics(spark, sf_dir).repartitionByRange(4, "step").write.parquet(path)
-    return spark.readStream.schema(StructType.fromDDL(_METRICS_SCHEMA)).parquet(path)
+def _metrics_files(spark, sf_dir, order=(0, 1, 2, 3), closing=False):
+    """The metrics as a stream: a file for each quarter of the steps, written in the given order.
+
+    ``closing`` adds two rows without a step, one and two years later.
+    """
+    path, rows = scratch_path(spark, "metrics-in"), S.metrics(spark, sf_dir)
+    steps = rows.agg(F.max("step") + 1).scalar()
+    for part in order:
+        quarter = F.floor(F.col("step") * len(order) / steps) == part
+        rows.where(quarter).coalesce(1).write.mode("append").parquet(path)
+    for year in (1, 2) if closing else ():
+        end = rows.agg(F.date_add(F.max("ts"), 365 * year).cast("timestamp").alias("ts"))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in rows.schema.fields]
+        end.select(*none).coalesce(1).write.mode("append").parquet(path)
+    reader = spark.readStream.schema(StructType.fromDDL(_METRICS_SCHEMA)).option("maxFilesPerTrigger", 1)
+    return reader.parquet(path)
 
 
 @query(f"""WITH {METRICS_ROWS}
 SELECT run, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS rows,
-       round(sum(CASE WHEN isfinite(sft_loss) THEN sft_loss ELSE 0 END) / count(*) + {NUDGE}, 6) AS sft_loss,
-       round(sum(CASE WHEN isfinite(sft_loss) THEN distill_loss ELSE 0 END) / count(*) + {NUDGE}, 6) AS distill_loss
+       {_exact_sql('CASE WHEN isfinite(sft_loss) THEN sft_loss ELSE 0 END')} / count(*) AS sft_loss,
+       {_exact_sql('CASE WHEN isfinite(sft_loss) THEN distill_loss ELSE 0 END')} / count(*) AS distill_loss
 FROM metrics GROUP BY 1, 2""")
 def windowed_means_stream(spark, sf_dir):
     """Means per run and hour over a stream, drained."""
     out = scratch_path(spark, "windows")
-    running = jobs.windowed_means_stream(_metrics_files(spark, sf_dir), out, scratch_path(spark, "state"))
+    running = jobs.windowed_means_stream(_metrics_files(spark, sf_dir), out, scratch_path(spark, "state"), digits=DIGITS)
     running.awaitTermination()
-    rows = jobs.latest_windows(spark.read.parquet(out))
-    return rows.select(
-        "run", "window_start", "rows", *[rounded(F.col(v) + NUDGE).alias(v) for v in W.LOSSES]
-    )
+    return jobs.latest_windows(spark.read.parquet(out))
 
 
 @query(f"WITH {METRICS_ROWS} {_running_sql('run')}")
 def running_mean_stream(spark, sf_dir):
-    """Exact cumulative means over a stream, drained."""
+    """Exact cumulative means over a stream whose files come out of order, drained."""
     out = scratch_path(spark, "running")
-    running = jobs.running_mean_stream(_metrics_files(spark, sf_dir), out, scratch_path(spark, "state"))
+    metrics = _metrics_files(spark, sf_dir, order=(1, 0, 3, 2), closing=True)
+    running = jobs.running_mean_stream(metrics, out, scratch_path(spark, "state"), late="16 days", block=512, digits=DIGITS)
     running.awaitTermination()
-    return _rounded_metrics(spark.read.parquet(f"{out}/rows"))
+    return jobs.running_means(spark.read.parquet(out), digits=DIGITS)
 
 
 # --- evaluation --------------------------------------------------------------------------
