@@ -191,3 +191,27 @@ def test_a_long_sample_aligns(spark):
     kinds = "sample_id long, tea_tokens array<string>, stu_tokens array<string>, tea_weights array<int>, stu_weights array<int>"
     found = A.align(spark.createDataFrame(row, kinds)).first()
     assert found.status == "ok" and len(found.tea_pos) == 2048 and 2048 <= len(found.path) < 4096
+
+
+def test_candidates_whose_lengths_decide_are_not_compared(spark):
+    """The lengths alone rule a pair out only where its distance is at the threshold or above."""
+    from tokenloom.operators import candidates
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 2, 3, 6, 12, 20])))
+    pairs = [(word(), word()) for _ in range(400)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for threshold in (0.3, 0.45):
+        kept = candidates.may_be_near(F.length("a"), F.length("b"), threshold)
+        marked = [tuple(r) for r in rows.select("a", "b", kept).collect()]
+        assert all(near or distance(a, b) >= threshold * (len(a) + len(b)) for a, b, near in marked)
+        assert sum(near for *_, near in marked) < len(pairs) * (0.5 if threshold == 0.3 else 0.6)
+    sources = spark.createDataFrame([(1, 0, i, i, a) for i, (a, _) in enumerate(pairs[:40])], "sample_id int, step int, rank int, token_id int, token string")
+    pool = spark.createDataFrame([(1, 0, i, i, b) for i, (_, b) in enumerate(pairs[:40])], sources.schema)
+    found = {r.rank: (r.distance, r.dst_id) for r in candidates.nearest_candidate(sources, pool, 0.45, pairs={"<x>": "<y>"}).collect()}
+    want = {}
+    for i, (a, _) in enumerate(pairs[:40]):
+        near = [(distance(a, b) / (len(a) + len(b) or 1), j) for j, (_, b) in enumerate(pairs[:40])]
+        if min(near)[0] < 0.45:
+            want[i] = min(near)
+    assert found == want

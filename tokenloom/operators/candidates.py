@@ -115,6 +115,14 @@ def _listed(candidates: DataFrame, fields: list[str], name: str) -> DataFrame:
     return candidates.groupBy("sample_id", "step").agg(entry.alias(name))
 
 
+def may_be_near(a: Column, b: Column, threshold: float) -> Column:
+    """Whether words of lengths ``a`` and ``b`` can be below the threshold at all.
+
+    Their distance is at least the difference of their lengths.
+    """
+    return (F.abs(a - b) < (a + b) * threshold) | (a + b == 0)
+
+
 def nearest_candidate(
     sources: DataFrame,
     pool: DataFrame,
@@ -128,7 +136,8 @@ def nearest_candidate(
     strictly below ``threshold``; ties by the least target id.
 
     Each source row meets the step's pool as one array of at most K entries, so pairs are
-    compared in place and none is emitted.
+    compared in place and none is emitted. A pair whose lengths alone put it at the threshold is
+    not compared (``may_be_near``), the others no further than the threshold allows.
     """
     keys, values = list(pairs.keys()), sorted(set(pairs.values()))
     own = normalize_token(F.col("token"), marker_a, strip)
@@ -142,9 +151,11 @@ def nearest_candidate(
 
     def scored(e: Column) -> Column:
         same = (F.col("_is_key") & e["is_value"]) | (F.col("_is_value") & e["is_key"])
-        sizes = (F.length("_norm") + F.length(e["norm"])).cast("double")
-        ratio = F.try_divide(F.levenshtein(F.col("_norm"), e["norm"]).cast("double"), sizes)
-        distance = F.when(same, F.lit(0.0)).otherwise(F.coalesce(ratio, F.lit(0.0)))
+        sizes = F.length("_norm") + F.length(e["norm"])
+        most = F.floor(sizes * threshold).cast("int")
+        edits = F.call_function("levenshtein", F.col("_norm"), e["norm"], most)  # -1 beyond the bound
+        ratio = F.when(edits >= 0, F.coalesce(F.try_divide(edits.cast("double"), sizes.cast("double")), F.lit(0.0)))
+        distance = F.when(same, F.lit(0.0)).when(may_be_near(F.length("_norm"), F.length(e["norm"]), threshold), ratio)
         return F.struct(distance.alias("distance"), e["token_id"].alias("dst_id"))
 
     best = F.array_min(F.filter(F.transform("_pool", scored), lambda e: e["distance"] < threshold))

@@ -421,6 +421,17 @@ def unmasked_rate(spark, sf_dir):
     return rates.withColumn("unmasked_rate", rounded(F.col("unmasked_rate")))
 
 
+@query(f"""WITH RECURSIVE {_BOTH}, rates AS (
+  SELECT sample_id, direction, 1 - avg((dst_id IS NULL)::INTEGER) AS rate FROM pairs GROUP BY sample_id, direction),
+each AS (SELECT sample_id, avg(rate) AS rate FROM rates GROUP BY sample_id)
+SELECT sample_id // 4 AS batch, round(avg(rate), 6) AS unmasked_rate FROM each GROUP BY 1""")
+def batch_rate(spark, sf_dir):
+    """M9: the mean rate of every batch of four samples."""
+    rates = C.unmasked_rate(_pairs(spark, sf_dir)[2])
+    batches = rates.select("sample_id", F.floor(F.col("sample_id") / 4).alias("batch")).distinct()
+    return distill.batch_rate(rates, batches).withColumn("unmasked_rate", rounded(F.col("unmasked_rate")))
+
+
 _DENSE = f"""{_CAND}, dense AS (SELECT id AS src, dst FROM tea_vocab LEFT JOIN t2s ON src = id),
   remapped AS (
     SELECT t.sample_id, t.step, t.idx, t.v AS tea,

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tokenloom.operators import collate, labels, ordering, templates, tokenize
-from tokenloom.plans import prepare
+from tokenloom.operators import collate, labels, lookup, ordering, templates, tokenize
+from tokenloom.plans import distill, prepare
 from tokenloom.plans import standins as S
 from tokenloom.plans.registry import (
     INSTRUCTION_SAMPLES,
@@ -557,6 +557,24 @@ def content_positions(spark, sf_dir):
     return labels.content_positions(rows)
 
 
+@query(f"""WITH {_PREFIX_CODED}, placed AS (
+  SELECT sample_id, plen, unnest(ids) AS token_id, generate_subscripts(ids, 1) - 1 AS pos FROM cut),
+n AS (SELECT count(*) AS n FROM embeddings)
+SELECT sample_id, 'student' AS side, pos::INTEGER AS pos, token_id, round(list_sum(embedding)::DOUBLE, 4) AS total, embedding[1]::DOUBLE AS first
+FROM placed JOIN embeddings ON vec_id = (sample_id * 31 + pos) % (SELECT n FROM n) WHERE pos >= plen""")
+def content_steps(spark, sf_dir):
+    """The labelled steps of prepared rows, each with its vector; whole sequences have one a position."""
+    rows = _student_rows(spark, sf_dir)
+    vectors = S.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("logits"))
+    count = vectors.agg(F.count("*").alias("n")).scalar()
+    places = rows.select("sample_id", "side", F.posexplode("ids").alias("pos", "id"))
+    numbered = places.withColumn("vec_id", F.pmod(F.col("sample_id") * 31 + F.col("pos"), count))
+    logits = lookup.lookup(numbered, vectors, "vec_id", how="inner", salt_by=["sample_id", "pos"]).select("sample_id", "side", "pos", "logits")
+    steps = distill.content_steps(rows, logits)
+    total = F.aggregate("logits", F.lit(0.0), lambda acc, x: acc + x)
+    return steps.select("sample_id", "side", "pos", "token_id", F.round(total, 4).alias("total"), F.get("logits", F.lit(0)).cast("double").alias("first"))
+
+
 @query(f"""WITH {_PREFIX_CODED}
 SELECT sample_id, array_to_string(ids[plen + 1:] || ids[1:plen], ',') AS ids FROM cut WHERE plen < len(ids)""")
 def rotate_to_response(spark, sf_dir):
@@ -648,21 +666,34 @@ def _draw(name: str) -> str:
     )
 
 
-@query(f"""WITH {_PREFIX_CODED}, n AS (SELECT max(id) AS n FROM vocab),
+def _mlm_sql(excepted: str = "false") -> str:
+    return f"""WITH {_PREFIX_CODED}, n AS (SELECT max(id) AS n FROM vocab),
 placed AS (SELECT sample_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM cut),
-drawn AS (SELECT *, {_draw('pick')} < 0.15 AS chosen, {_draw('how')} AS how,
+drawn AS (SELECT *, {_draw('pick')} < 0.15 AND NOT ({excepted}) AS chosen, {_draw('how')} AS how,
                  floor({_draw('id')} * (SELECT n FROM n))::INTEGER AS other FROM placed)
 SELECT sample_id,
   array_to_string(list((CASE WHEN NOT chosen THEN id WHEN how < 0.8 THEN -1 WHEN how < 0.9 THEN other ELSE id END)
                        ORDER BY pos), ',') AS ids,
   array_to_string(list((CASE WHEN chosen THEN id ELSE -100 END) ORDER BY pos), ',') AS labels
-FROM drawn GROUP BY sample_id""")
-def mlm_mask(spark, sf_dir):
-    """Random masking of student tokens."""
+FROM drawn GROUP BY sample_id"""
+
+
+def _masked(spark, sf_dir, specials=()):
     vocab = S.tokenizer_vocab(S.student_vocab(spark, sf_dir))
-    rows = prepare.prepare_student(
-        S.prefix_samples(spark, sf_dir), "sample_id", vocab, S.STUDENT_EOS, BLOCK
-    )
+    rows = prepare.prepare_student(S.prefix_samples(spark, sf_dir), "sample_id", vocab, S.STUDENT_EOS, BLOCK)
     size = vocab.agg(F.max("id").alias("n")).scalar()
-    masked = collate.mlm_mask(rows, "sample_id", mask_id=-1, vocab_size=size, seed=_SEED)
+    ids = [r["id"] for r in vocab.where(F.col("token").isin(list(specials))).select("id").collect()] if specials else None
+    masked = collate.mlm_mask(rows, "sample_id", mask_id=-1, vocab_size=size, special_ids=ids, seed=_SEED)
     return masked.select("sample_id", listed("ids").alias("ids"), listed("labels").alias("labels"))
+
+
+@query(_mlm_sql())
+def mlm_mask(spark, sf_dir):
+    """Random masking of student tokens."""
+    return _masked(spark, sf_dir)
+
+
+@query(_mlm_sql("id IN (SELECT id FROM vocab WHERE token IN ('</s>', 'the', 'a'))"))
+def mlm_mask_special(spark, sf_dir):
+    """The same, where the end marker and two more tokens are never masked."""
+    return _masked(spark, sf_dir, (S.STUDENT_EOS, "the", "a"))
