@@ -38,14 +38,6 @@ def is_content(label: Column) -> Column:
     return label != IGNORE_INDEX
 
 
-def content_only(values: Column, labels: Column) -> Column:
-    """Entries of ``values`` at positions that carry a label."""
-    return F.transform(
-        F.filter(F.arrays_zip(values.alias("v"), labels.alias("l")), lambda e: is_content(e["l"])),
-        lambda e: e["v"],
-    )
-
-
 def content_positions(df: DataFrame, ids: str = "ids", labels: str = "labels") -> DataFrame:
     """One row ``(.., pos, token_id)`` per labelled position."""
     rest = [c for c in df.columns if c not in (ids, labels)]

@@ -139,15 +139,3 @@ def prepare_teachers(
         ]
     )
     return label_rows(tokens.select(key, F.inline(listed)), key, F.col("side"), block_size, masked=shape == "prefix")
-
-
-def token_summary(rows: DataFrame) -> DataFrame:
-    """Tokens and trained tokens per sample."""
-    trained = F.size(F.filter("labels", L.is_content))
-    return rows.select(
-        "sample_id",
-        "side",
-        F.size("ids").alias("tokens"),
-        trained.alias("trained"),
-        F.try_divide(trained.cast("double"), F.size("ids").cast("double")).alias("trained_share"),
-    )
