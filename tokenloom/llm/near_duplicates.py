@@ -8,10 +8,10 @@ neighbours in memory.
 Documents with equal sets are one class from the start. Classes that share a band are
 candidates. Within a bucket every class is compared with the bucket's first one, then with
 its most central one, which connects nearly all of a group in as many comparisons as it has
-members. Only classes of one bucket that are still in different components after that, and
-that have enough shingles in common with others at all, are compared with one another. So no
-link that could join two components is left out, and a group of copies does not become all
-of its pairs.
+members. Classes of one bucket that are still in different components after that are open.
+Open classes are compared only where they share one of their rarest shingles: two sets over
+the threshold have no room for so many shingles that the other one lacks. So no link that
+could join two components is left out, and a group of copies does not become all of its pairs.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import SALTS, WORD, column, fresh, stored, without_keys
+from tokenloom.llm.common import SALTS, WORD, column, fits_broadcast, fresh, stored, without_keys
 
 WORDS = 5
 CIRCLE = 1 << 20  # places of the two permutations
@@ -109,50 +109,74 @@ def sketch(docs: DataFrame, key: str, text: str, seed: int = 0, words: int = WOR
     return made.select("doc", "text_hash", "n", "made.set_key", "made.bands")
 
 
-def _min_neighbours(edges: DataFrame) -> DataFrame:
-    """Every node with the least node next to it, itself included."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
-    )
-    return both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the links ``(a, b)``; the root is the least node reachable.
 
     Rounds of joining all neighbours of a node to the least of them (first the larger ones,
-    then the smaller ones) until nothing changes. A long chain halves in every round; a node
+    then the smaller ones) until all edges lead to a root. A long chain halves in every round; a node
     with very many neighbours is met through partial minima. Each round is written to the
     shared folder, so lineage stays short.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    state = None
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+    def with_least(edges: DataFrame) -> DataFrame:
+        """Partial minima first: a node may have very many neighbours."""
+        return edges.join(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "a")
+
     while True:
-        least = _min_neighbours(edges)
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: neighbours above a node go to its least neighbour.
-        large = both.join(least, F.col("a") == F.col("node")).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        large = stored(large, "large-star")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         # Small star: a node and its smaller neighbours go to the least of them.
-        below = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(below, "a")
-        edges = small.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(small.select("a", F.col("least").alias("b")))
-        edges = stored(edges.where("a <> b").distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        small = with_least(large)
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct(F.col("a").alias("a"), F.col("least").alias("b")))
+        edges = stored(small.select(F.inline(pairs)).where("a <> b").distinct(), "stars")
+        # Done when all edges are stars: a node has one neighbour below it, which has none itself.
+        ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
-        state = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` of all links so far, after further ``links``.
+
+    Only links between different components count, and only these are solved; the result is
+    the old root's new root.
+    """
+    ends = links
+    for end in ("a", "b"):
+        at = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        ends = ends.join(at, end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+    ends = stored(ends.where("a <> b").distinct(), "root-links")
+    if ends.isEmpty():
+        return roots
+    above = stored(components(ends), "root-roots").select(F.col("node").alias("known"), F.col("root").alias("now"))
+    moved = roots.join(above, F.col("root") == F.col("known"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    alone = above.join(roots.select(F.col("root").alias("known")).distinct(), "known", "left_anti")
+    return stored(moved.unionByName(alone.select(F.col("known").alias("node"), F.col("now").alias("root"))), "roots")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of classes whose whole sets reach the threshold."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("left_set"))
+    """Pairs ``(a, b)`` of classes whose whole sets reach the threshold.
+
+    One class may stand in very many pairs, as ``a``: its pairs are spread over salts and its
+    set copied to each of them.
+    """
+    pairs = stored(pairs, "candidate-pairs")
+    salts = pairs.groupBy("a").agg((F.floor(F.count("*") / SALTED_ROWS) + 1).cast("int").alias("salts"))
+    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("left_set")).join(salts, "a")
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    hot = salts.where("salts > 1")
+    dealt = pairs.join(F.broadcast(hot) if fits_broadcast(hot) else hot, "a", "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("right_set"))
     common = F.size(F.array_intersect("left_set", "right_set"))
     union = F.size("left_set") + F.size("right_set") - common
-    return pairs.join(left, "a").join(right, "b").where(common * 100 >= union * percent).select("a", "b")
+    return dealt.join(right, "b").join(left, ["a", "salt"]).where(common * 100 >= union * percent).select("a", "b")
 
 
 def _reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,23 +199,45 @@ def _to_middle(members: DataFrame) -> DataFrame:
     return members.join(middle, "bucket").select("set_key", "n", "root", "reach", F.col("m.set_key").alias("b"), F.col("m.n").alias("b_n"), F.col("m.root").alias("b_root"), F.col("m.reach").alias("b_reach"))
 
 
-def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of one bucket and of different components, every two of them, in the first bucket that they share.
+def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(shingle, place, set_key, n, root)``: the rarest shingles of every open class, in order of rarity.
 
-    One of the two is outside the bucket's largest component, so only the members outside it
-    meet all members. A large bucket's members are spread over salts, and the ones outside are copied to each.
+    Two sets over the threshold share a shingle among as many of the rarest ones of each as it
+    may lack of its partner's, and one more.
     """
-    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("part"))
+    one_each = members.select("set_key", "n", "root").distinct()
+    own = stored(sets.join(one_each, "set_key").select("set_key", "n", "root", F.explode("shingles").alias("shingle")), "open-shingles")
+    uses = own.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1")
+    # A shingle that no other open class has cannot be shared, but takes a place.
+    ranked = own.join(uses, "shingle", "left").withColumn("uses", F.coalesce("uses", F.lit(1)))
+    order = Window.partitionBy("set_key").orderBy("uses", "shingle")
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    placed = ranked.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most) & (F.col("uses") > 1))
+    return stored(placed.select("shingle", "place", "set_key", "n", "root"), "rarest")
+
+
+def _across(rarest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open classes of different components that can still reach the threshold.
+
+    At the first shingle two sets share, they have no more in common than it and what follows it
+    in either. Of two classes in different components one is outside the largest component
+    that has the shingle, so only those outside meet all; the rows of a shingle that very many
+    have are spread over salts, and the ones outside copied to each.
+    """
+    parts = rarest.groupBy("shingle", "root").agg(F.count("*").alias("part"))
     salts = F.least(F.lit(SALTS), F.floor(F.sum("part") / SALTED_ROWS) + 1).cast("int")
-    largest = parts.groupBy("bucket").agg(F.max_by("root", F.struct("part", "root")).alias("main"), salts.alias("salts"))
-    members = members.join(largest, "bucket").join(classes.select("set_key", "bands"), "set_key")
+    largest = parts.groupBy("shingle").agg(F.max_by("root", F.struct("part", "root")).alias("main"), salts.alias("salts"), F.count("*").alias("roots"))
+    largest = largest.where("roots > 1").drop("roots")
+    members = rarest.join(largest, "shingle")
     outside = members.where("root <> main").select(
-        "bucket", *(F.col(c).alias(f"b_{c}") for c in ("n", "root", "reach", "bands")), F.col("set_key").alias("b"),
+        "shingle", F.col("set_key").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("n", "root", "place")),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
     )
-    members = members.withColumn("salt", F.pmod(F.xxhash64("set_key"), F.col("salts")).cast("int"))
-    first = F.get(F.array_intersect("bands", "b_bands"), F.lit(0))
-    return members.join(outside, ["bucket", "salt"]).where("root <> b_root").where(first == F.col("bucket"))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("set_key"), F.col("salts")).cast("int")).drop("salts", "main")
+    common = F.least(F.col("n") - F.col("place"), F.col("b_n") - F.col("b_place")) + 1
+    fits = (F.col("root") != F.col("b_root")) & (common * 100 >= (F.col("n") + F.col("b_n") - common) * percent)
+    met = members.withColumnsRenamed({"shingle": "m_shingle", "salt": "m_salt"})
+    return met.join(outside, (F.col("m_shingle") == F.col("shingle")) & (F.col("m_salt") == F.col("salt")) & fits).select("set_key", "b")
 
 
 def near_duplicates(
@@ -213,40 +259,38 @@ def near_duplicates(
 def _with_components(docs: DataFrame, key: str, text: str, percent: int, words: int, seed: int) -> DataFrame:
     sketches = stored(sketch(docs, key, text, seed, words), "sketches")
     filled = sketches.where("n > 0")
-    classes = stored(filled.groupBy("set_key").agg(F.min("doc").alias("first_doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    # A class keeps the place of one of its documents, the least one with a key.
+    place = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("place")
+    classes = filled.groupBy("set_key").agg(place, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes.select("set_key", F.col("place.doc").alias("first_doc"), F.col("place.text_hash").alias("first_hash"), "n", "bands"), "classes")
     banded = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("set_key").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    entries = stored(banded.join(hubs, "bucket").select("bucket", "set_key", "n", "hub"), "buckets")
-    sizes_fit = "least({0}, {1}) * 100 >= greatest({0}, {1}) * " + str(percent)
-    with_hub = classes.select(F.col("set_key").alias("hub"), F.col("n").alias("hub_n"))
-    stars = (
-        entries.where("set_key <> hub").select(F.col("set_key"), "hub", "n").distinct()
-        .join(with_hub, "hub").where(sizes_fit.format("n", "hub_n"))
-        .select(F.col("hub").alias("a"), F.col("set_key").alias("b"))
-    )
+    hubs = banded.groupBy("bucket").agg(F.min(F.struct("set_key", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    entries = banded.join(hubs, "bucket").select("bucket", "set_key", "n", F.col("hub.set_key").alias("hub"), F.col("hub.n").alias("hub_n"))
+    entries = stored(entries, "buckets")
+    sizes_fit = "set_key <> hub and least(n, hub_n) * 100 >= greatest(n, hub_n) * " + str(percent)
+    stars = entries.where(sizes_fit).select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
     # The whole sets of all classes that share a bucket with another, from one document each.
-    wanted = entries.select("set_key").distinct().join(classes.select("set_key", "first_doc"), "set_key")
-    places = sketches.select("doc", "text_hash", "set_key").distinct().join(wanted, "set_key").where("doc <=> first_doc")
-    places = places.groupBy("set_key").agg(F.min(F.struct("doc", "text_hash")).alias("place")).select("set_key", F.col("place.doc").alias("at"), F.col("place.text_hash").alias("of"))
+    wanted = entries.select("set_key").distinct().join(classes.select("set_key", "first_doc", "first_hash"), "set_key")
+    places = wanted.select("set_key", F.col("first_doc").alias("at"), F.col("first_hash").alias("of"))
     texts = docs.select(column(docs, key).alias("doc"), column(docs, text).alias("words"))
     found = texts.join(places, texts["doc"].eqNullSafe(places["at"]) & (F.xxhash64("words") == places["of"]))
     sets = found.select("set_key", shingle_set(F.col("words"), words).alias("shingles")).dropDuplicates(["set_key"])
     sets = stored(sets, "sets")
     links = stored(_confirmed(stars, sets, percent), "star-links")
-    roots = components(links)
+    roots = stored(components(links), "roots")
     for nearest_first in (True, False):
         # Buckets whose members are still in different components.
         placed = entries.join(roots, entries["set_key"] == roots["node"], "left")
         member = stored(placed.select("bucket", "set_key", "n", F.coalesce("root", "set_key").alias("root")), "members")
         mixed = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        open_ = stored(_reachable(member.join(mixed.select("bucket"), "bucket"), sets, percent), "open-members")
-        pairs = _to_middle(open_) if nearest_first else _across(open_, classes)
-        bound = "root <> b_root and least(reach, b_reach) * 100 >= (n + b_n - least(reach, b_reach)) * " + str(percent)
-        pairs = pairs.where(bound).select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
-        more = stored(_confirmed(pairs, sets, percent), "more-links")
-        if not more.isEmpty():
-            links = stored(links.unionByName(more), "links")
-            roots = components(links)
+        open_ = member.join(mixed.select("bucket"), "bucket")
+        if nearest_first:
+            open_ = stored(_reachable(open_, sets, percent), "open-members")
+            bound = "root <> b_root and least(reach, b_reach) * 100 >= (n + b_n - least(reach, b_reach)) * " + str(percent)
+            pairs = _to_middle(open_).where(bound).select(F.col("b").alias("a"), F.col("set_key").alias("b")).distinct()
+        else:
+            pairs = _across(_rarest(open_, sets, percent), percent).select(F.greatest("set_key", "b").alias("a"), F.least("set_key", "b").alias("b")).distinct()
+        roots = merged(roots, stored(_confirmed(pairs, sets, percent), "more-links"))
     least = (
         classes.join(roots, classes["set_key"] == roots["node"], "left")
         .select("set_key", "first_doc", F.coalesce("root", "set_key").alias("root"))
