@@ -29,6 +29,8 @@ from tokenloom.llm.common import attach, column, fresh, stored, without_keys
 
 # Labelled rows of each language that the text model is learnt from, about; those of the least hashes.
 SAMPLE_ROWS = 4000
+# Labels that are learnt at most, those with the most rows; more are no languages but noise.
+MOST_LANGUAGES = 256
 BUCKETS = 1 << 14
 # The share of a language's trigrams that are like those of the open class: one floor for the
 # unseen ones of all languages, however much text a language was learnt from.
@@ -87,18 +89,22 @@ def learn_text_model(labelled: DataFrame, key: str, text: str, label: str, rows:
     """Trigram frequencies per label, from about ``rows`` labelled rows of each label.
 
     A label with more rows is thinned by hashes of key and text to ``rows`` expected ones;
-    one with fewer, however rare, is read whole. Tasks return one count vector per
-    language, so what reaches the driver does not grow with the texts. Labels are compared
-    in lower case by their primary part; ``und`` is not a language.
+    one with fewer, however rare, is read whole. Of more than ``MOST_LANGUAGES`` labels those
+    with the most rows are learnt, of equal ones the first by name. Tasks count the trigrams of
+    their sampled rows where they lie, the counts are summed by label and trigram, and
+    what reaches the driver is one number for each of these. Labels are compared in lower case
+    by their primary part; ``und`` is not a language. Without a labelled row there is no
+    language, and ``identify`` decides nothing.
     """
     name = _primary(column(labelled, label))
     draw = F.xxhash64(column(labelled, key), column(labelled, text))
     known = labelled.select(draw.alias("hash"), name.alias("label"), column(labelled, text).alias("text"))
     known = known.where(F.col("label").isNotNull() & (F.col("label") != UNDECIDED) & F.col("text").isNotNull())
-    bounds = stored(known.groupBy("label").agg(F.count("*").alias("rows"), F.min("hash").alias("least")), "labels")
+    bounds = known.groupBy("label").agg(F.count("*").alias("rows"), F.min("hash").alias("least"))
+    bounds = stored(bounds.orderBy(F.desc("rows"), "label").limit(MOST_LANGUAGES), "labels")
     place = F.col("hash") / F.lit(2.0**64) + F.lit(0.5)  # in [0, 1]
     taken = (place * F.col("rows") <= rows) | (F.col("hash") == F.col("least"))
-    sample = attach(known, bounds, ["label"], ["hash"]).where(taken).select("label", letters(F.col("text")).alias("text")).coalesce(8)
+    sample = known.join(F.broadcast(bounds), "label").where(taken).select("label", letters(F.col("text")).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -106,14 +112,19 @@ def learn_text_model(labelled: DataFrame, key: str, text: str, label: str, rows:
             for label_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = sums.setdefault(label_, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(_grams(text_), minlength=BUCKETS)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["label", "counts"])
-
-    parts = sample.mapInArrow(counted, "label string, counts array<long>").collect()
-    languages = sorted({p["label"] for p in parts})
+        for label_, own in sums.items():
+            held = np.flatnonzero(own)
+            columns = [pa.array([label_] * len(held)), pa.array(held, pa.int32()), pa.array(own[held], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "bucket", "n"])
+
+    parts = sample.mapInArrow(counted, "label string, bucket int, n long")
+    found = parts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(r["label"] for r in bounds.select("label").collect())
     sums = np.zeros((len(languages), BUCKETS))
-    for p in parts:
-        sums[languages.index(p["label"])] += p["counts"]
+    if found.num_rows:
+        at = {name: place for place, name in enumerate(languages)}
+        rows_ = np.array([at[name] for name in found["label"].to_pylist()])
+        sums[rows_, found["bucket"].to_numpy()] = found["n"].to_numpy()
     seen = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1.0)
     return TextModel(languages, np.log((1.0 - FLOOR_SHARE) * seen + FLOOR_SHARE / BUCKETS))
 
@@ -214,7 +225,11 @@ def identify(
 
 
 def with_known_language(docs: DataFrame, found: DataFrame, key: str, text: Column) -> DataFrame:
-    """The rows of ``docs`` whose language was decided, with their own columns."""
+    """The rows of ``docs`` whose language was decided, with their own columns.
+
+    ``found`` comes from ``identify``. A model without languages decides nothing, and all rows
+    would go: do not call it then.
+    """
     (hashed,) = fresh(docs.columns, "text_hash")
     undecided = found.where(F.col("lang") == UNDECIDED).select(F.col("doc").alias(key), F.col("text_hash").alias(hashed))
     return without_keys(docs.withColumn(hashed, F.xxhash64(text)), undecided, [key, hashed]).drop(hashed)
