@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import math
 import re
 
+import regex
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BASE = {
@@ -102,3 +105,67 @@ def jaccard(a, b):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def grams(text):
+    """Buckets of the byte trigrams of a text's lower-case runs of letters."""
+    raw = (" " + regex.sub(r"[^\p{L}]+", " ", (text or "").lower()).strip() + " ").encode()
+    return [((int.from_bytes(raw[i : i + 3], "big") * 2654435761) % 2**32) >> 18 for i in range(len(raw) - 2)]
+
+
+def languages(docs, pages):
+    """``{page: (language, confidence)}`` by the product of all evidence, one page at a time."""
+    primary = lambda v: (re.match(r"[A-Za-z]*", (v or "").strip()).group().lower()) or None
+    counts = collections.defaultdict(collections.Counter)
+    for text, label in docs:
+        if text is not None and primary(label) not in (None, "und"):
+            counts[primary(label)].update(grams(text))
+    names = [*sorted(counts), "und"]
+
+    def text_logs(seen):
+        logs = []
+        for name in names:
+            total = sum(counts[name].values())
+            share = (lambda g: 1 / 2**14) if name == "und" else (lambda g: 0.9 * counts[name][g] / total + 0.1 / 2**14)  # noqa: B023
+            logs.append(sum(math.log(share(g)) for g in seen) * min(1.0, 100 / len(seen)))
+        return [x - max(logs) for x in logs]
+
+    rows = {}
+    for page, url, html in pages:
+        shown = regex.sub(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>", " ", html or "")
+        declared = re.search(r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", html or "")
+        host = re.match(r"^.*?://([^/?#]*)", url or "")
+        host = host.group(1).lower() or None if host else None
+        seen = grams(shown)
+        logs = text_logs(seen) if len(seen) > 0 and regex.search(r"\p{L}", shown) else None
+        rows[page] = {
+            "logs": logs, "lang": names[logs.index(max(logs))] if logs else None, "host": host,
+            "declared": declared and declared.group(1).lower(), "suffix": host.rsplit(".", 1)[-1] if host and "." in host else None,
+            "domain": host and ".".join(host.split(".")[-2:]),
+        }
+    told = [r for r in rows.values() if r["lang"]]
+    total = collections.Counter(r["lang"] for r in told)
+    corpus = {n: (total[n] + 0.5) / (len(told) + 0.5 * len(names)) for n in names}
+    by = lambda kind: collections.Counter((r[kind], r["lang"]) for r in told if r[kind] is not None)
+    tables = {kind: by(kind) for kind in ("declared", "suffix", "host", "domain")}
+
+    def share(kind, value, name):
+        values = {v for v, _ in tables[kind]}
+        every = sum(n for (_, other), n in tables[kind].items() if other == name)
+        return math.log((tables[kind][value, name] + 0.5) / (every + 0.5 * (len(values) + 1))) if value in values else 0.0
+
+    out = {}
+    for page, r in rows.items():
+        if r["logs"] is None:
+            out[page] = ("und", 0.0)
+            continue
+        own = {n: float(n == r["lang"]) for n in names}
+        prior = corpus
+        for kind in ("domain", "host"):
+            held = {n: tables[kind][r[kind], n] - own[n] if r[kind] is not None else 0.0 for n in names}
+            prior = {n: (held[n] + 10 * prior[n]) / (sum(held.values()) + 10) for n in names}
+        logs = [x + math.log(prior[n]) + share("declared", r["declared"], n) + share("suffix", r["suffix"], n) for x, n in zip(r["logs"], names)]
+        best = max(logs)
+        confidence = 1 / sum(math.exp(x - best) for x in logs)
+        out[page] = (names[logs.index(best)] if confidence >= 0.5 else "und", confidence)
+    return out

@@ -102,6 +102,19 @@ def test_items_are_found_through_edits(spark, awkward):
     assert decontaminate.without_items(docs, items.limit(0)).count() == docs.count()
 
 
+def test_items_are_not_found_inside_words_nor_when_short(spark):
+    texts = ["her eyes saw 1421 of them", "yes and 42", "a cat sat on the mat today", "a bobcat sat on the matrix", "the cat sat on the mat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "42"), (3, "cat sat on the mat"), (4, "!")], "item_id long, text string")
+    found = lambda least: sorted((r["doc"], r["item"], r["distance"], r["short_items"]) for r in decontaminate.find_items(docs, items, rate=0.0, least=least).collect())
+    assert found(1) == [(1, 1, 0, 0), (1, 2, 0, 0), (2, 3, 0, 0), (4, 3, 0, 0)]
+    assert found(10) == [(2, 3, 0, 2), (4, 3, 0, 2)] and found(30) == []
+    kept = lambda least: sorted(r["doc_id"] for r in decontaminate.without_items(docs, items, rate=0.0, least=least).collect())
+    assert (kept(1), kept(10), kept(30)) == ([0, 3], [0, 1, 3], [0, 1, 2, 3, 4])
+    ends = {r["doc"]: r["end"] for r in decontaminate.find_items(docs, items, rate=0.0, least=10).collect()}
+    assert all(texts[d][:end].rstrip().endswith("the mat") for d, end in ends.items())
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} has a text of its own") for i in range(30)], "item_id long, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before it "), "text").alias("text"))
@@ -350,6 +363,13 @@ def edited(rng, words, edits):
     return " ".join(words)
 
 
+def test_few_labels_are_learnt_from_noise(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, "some words here", f"x{'abcdefgh'[i]}") for i in range(8)] + [(10 + i, "other words there", "en") for i in range(5)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert language.learn_text_model(labelled, "doc_id", "text", "lang").languages == ["en", "xa"]
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
@@ -377,18 +397,48 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
     assert near_duplicates.near_duplicates(awkward.limit(0)).count() == 0
 
 
-def test_only_members_outside_the_largest_component_meet_all(spark):
-    """Every pair across components is there once or twice, and none within a component is joined."""
-    rng = random.Random(8)
-    rows = [(7, f"m{i:03}", "a") for i in range(600)] + [(7, f"o{i}", f"r{i // 2}") for i in range(4)]
-    rows += [(9, f"m{i:03}", "a") for i in range(10)] + [(9, f"z{i}", rng.choice("xyz")) for i in range(10)]
-    members = spark.createDataFrame(rows, "bucket long, set_key string, root string").withColumns({"n": F.lit(10), "reach": F.lit(10)})
-    classes = members.groupBy("set_key").agg(F.sort_array(F.collect_set("bucket")).alias("bands"))
-    found = near_duplicates._across(members, classes)
-    got = collections.Counter((min(r["set_key"], r["b"]), max(r["set_key"], r["b"])) for r in found.collect())
-    want = {(a, b) for k, a, x in rows for j, b, y in rows if k == j and x != y and a < b}
-    assert set(got) == want and max(got.values()) <= 2
-    assert sum(got.values()) < 4 * 604 + 10 * 20
+def open_classes(spark, sets, roots):
+    rows = [(1, k, len(v), roots[k]) for k, v in sets.items()] + [(2, k, len(v), roots[k]) for k, v in sets.items()]
+    members = spark.createDataFrame(rows, "bucket long, set_key string, n long, root string")
+    return members, spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "set_key string, shingles array<long>")
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_open_classes_meet_wherever_they_may_link(spark, percent):
+    rng = random.Random(percent)
+    base = rng.sample(range(10**6), 30)
+    sets = {}
+    for i in range(150):
+        own = set(base[: rng.randint(20, 30)]) - set(rng.sample(base, rng.randint(0, 6))) | {rng.randint(0, 60) for _ in range(rng.randint(0, 6))}
+        sets[f"s{i:03}"] = own
+    roots = {k: rng.choice([k, k, "s000", "s001"]) for k in sets}
+    members, held = open_classes(spark, sets, roots)
+    found = near_duplicates._across(near_duplicates._rarest(members, held, percent), percent).collect()
+    got = {(min(r["set_key"], r["b"]), max(r["set_key"], r["b"])) for r in found}
+    apart = {(a, b) for a in sets for b in sets if a < b and roots[a] != roots[b]}
+    linked = {(a, b) for a, b in apart if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert linked and linked <= got <= apart
+
+
+def test_a_group_of_copies_below_the_threshold_is_not_compared_in_pairs(spark):
+    """Every copy lacks a sixth of the common shingles and has as many of its own: none links."""
+    rng = random.Random(3)
+    base = list(range(60))
+    sets = {f"s{i:03}": set(rng.sample(base, 50)) | {1000 * i + k for k in range(1, 11)} for i in range(1, 400)}
+    members, held = open_classes(spark, sets, {k: k for k in sets})
+    assert near_duplicates._across(near_duplicates._rarest(members, held, 80), 80).count() < 400
+
+
+def test_further_links_join_known_components(spark):
+    rng = random.Random(4)
+    links = [tuple(rng.sample([f"n{k:02}" for k in range(80)], 2)) for _ in range(60)]
+    frame = lambda part: spark.createDataFrame(part, "a string, b string")
+    roots = near_duplicates.components(frame(links[:25]))
+    for part in (links[25:26], links[:5], links[26:]):
+        roots = near_duplicates.merged(roots, frame(part))
+    want = {r["node"]: r["root"] for r in near_duplicates.components(frame(links)).collect()}
+    got = [(r["node"], r["root"]) for r in roots.collect()]
+    assert len(got) == len(want) and dict(got) == want
 
 
 def test_components_of_long_chains_and_stars(spark):

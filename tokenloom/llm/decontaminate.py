@@ -5,7 +5,10 @@ least one piece is unharmed in any such passage, at its own place give or take `
 the pieces are searched exactly, all at once, in every text; each hit says where the item
 would have to be, and bit-parallel edit distance decides over that stretch of text.
 
-Both sides are compared as lower-case runs of letters and digits with single spaces.
+Both sides are compared as lower-case runs of letters and digits with single spaces, and with
+one space around the whole. So an item is not found inside a word: where a passage begins or
+ends within a word, that is an edit. Items below a least length are left out, because a
+word or number alone is no leak.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import column, fresh
+from tokenloom.llm.common import column
 
 # Edits allowed, as a share of an item's length.
 ERROR_RATE = 0.1
+# Letters, digits and spaces that an item has at least.
+LEAST_SIZE = 20
 # Item text that one pass over the documents searches; more items take more passes.
 ITEM_BYTES = 8 * 1024 * 1024
 
@@ -28,6 +33,12 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]++", " "))
 
 
+def padded(text: Column) -> Column:
+    """``plain`` between two spaces; empty stays empty."""
+    body = plain(text)
+    return F.when(body != "", F.concat(F.lit(" "), body, F.lit(" "))).otherwise(F.lit(""))
+
+
 def cut(size: int, budget: int) -> list[list[tuple[int, int, int]]]:
     """The pieces of an item: for each the path ``(start, end, errors)`` from the piece up to the whole.
 
@@ -98,11 +109,12 @@ class ItemMasks:
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, around: int = 0):
+        """``around`` is how many letters of an item are padding and allow no errors."""
         import ahocorasick
 
         self.items = items
-        self.budgets = [int(len(text) * rate) for _, text in items]
+        self.budgets = [int((len(text) - around) * rate) for _, text in items]
         self.masks: dict[tuple[int, int, int], ItemMasks] = {}
         owners: dict[str, list[tuple[int, list[tuple[int, int, int]], tuple]]] = {}
         for number, ((_, text), budget) in enumerate(zip(items, self.budgets)):
@@ -162,33 +174,38 @@ def find_items(
     item_key: str = "item_id",
     item_text: str = "text",
     rate: float = ERROR_RATE,
+    least: int = LEAST_SIZE,
 ) -> DataFrame:
-    """``(doc, item, distance, budget, end)``: every item that a document holds within its budget.
+    """``(doc, item, distance, budget, end, short_items)``: every item that a document holds within its budget.
 
-    ``distance`` is the least edit distance of the item to any stretch of the document,
-    ``end`` the code points of the plain text before the end of the first such stretch.
-    Items are a stated query set: they are read in blocks of 8 MB at most, each searched in
+    ``distance`` is the least edit distance of the item to any stretch of the document, both
+    between spaces; ``budget`` is ``rate`` of the item's plain length. ``end`` is the code points
+    of the plain text before the end of the first such stretch. Items shorter than ``least`` in
+    plain form are not searched; ``short_items`` says how many these are.
+    Items are a stated query set: they are broadcast in blocks of 8 MB at most, each searched in
     one pass over all documents, so what a task holds is bounded whatever their number.
     Documents do not move, and a passage that many documents share costs no more than its
     length. Null or blank documents hold nothing, and null or blank items are in nothing;
     rows that repeat a document repeat its findings, rows that repeat an item are one.
     """
-    wanted = items.select(column(items, item_key).alias("item"), plain(column(items, item_text)).alias("body"))
-    wanted = wanted.where("body <> '' and item is not null").distinct()
-    body = docs.select(column(docs, key).alias("doc"), plain(column(docs, text)).alias("body"))
+    wanted = _wanted(items, item_key, item_text)
+    short = wanted.where(F.length("body") < least + 2).count()
+    body = docs.select(column(docs, key).alias("doc"), padded(column(docs, text)).alias("body"))
     kind, item_kind = dict(body.dtypes)["doc"], dict(wanted.dtypes)["item"]
     found = None
-    for block in _blocks(wanted):
-        part = body.where("body <> ''").withColumn("found", _search(block, rate, item_kind)(F.col("body")))
-        part = part.where(F.size("found") > 0).select("doc", F.explode("found").alias("f")).select("doc", "f.*")
+    for block in _blocks(wanted.where(F.length("body") >= least + 2)):
+        part = body.where("body <> ''").withColumn("found", _search(docs.sparkSession, block, rate, item_kind)(F.col("body")))
+        part = part.where(F.size("found") > 0).select("doc", F.length("body").alias("size"), F.explode("found").alias("f"))
+        end = F.least(F.col("f.end") - 1, F.col("size") - 2).alias("end")
+        part = part.select("doc", "f.item", "f.distance", "f.budget", end, F.lit(short).cast("long").alias("short_items"))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], f"doc {kind}, item {item_kind}, distance int, budget int, end int")
+        found = docs.sparkSession.createDataFrame([], f"doc {kind}, item {item_kind}, distance int, budget int, end int, short_items long")
     return found
 
 
 def _blocks(wanted: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of bounded size; the driver holds one of them at a time."""
+    """The items in blocks of bounded size."""
     block, size = [], 0
     for row in wanted.orderBy("item", "body").toLocalIterator():
         if block and size + len(row["body"]) > ITEM_BYTES:
@@ -200,21 +217,30 @@ def _blocks(wanted: DataFrame) -> Iterator[list[tuple[object, str]]]:
         yield block
 
 
-def _search(block: list[tuple[object, str]], rate: float, item_kind: str):
-    """A column function: the findings of one block in a plain text."""
+def _wanted(items: DataFrame, key: str, text: str) -> DataFrame:
+    wanted = items.select(column(items, key).alias("item"), padded(column(items, text)).alias("body"))
+    return wanted.where("body <> '' and item is not null").distinct()
+
+
+def _search(spark: SparkSession, block: list[tuple[object, str]], rate: float, item_kind: str):
+    """A column function: the findings of one block in a padded text.
+
+    The block is broadcast, which leaves it on disk and out of the plan and the driver's memory.
+    """
+    infer = pa.infer_type([item for item, _ in block])
+    shared = spark.sparkContext.broadcast(block)
     fields = f"struct<item:{item_kind},distance:int,budget:int,end:int>"
 
     def searched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(block, rate)
-        kind = pa.infer_type([item for item, _ in block])
-        each = pa.list_(pa.struct([("item", kind), ("distance", pa.int32()), ("budget", pa.int32()), ("end", pa.int32())]))
+        matcher = Matcher(shared.value, rate, around=2)
+        each = pa.list_(pa.struct([("item", infer), ("distance", pa.int32()), ("budget", pa.int32()), ("end", pa.int32())]))
         for texts in batches:
             rows = []
             for one in texts:
                 got = matcher.find(one.as_py())
                 rows.append(
                     [
-                        {"item": block[n][0], "distance": d, "budget": matcher.budgets[n], "end": e}
+                        {"item": matcher.items[n][0], "distance": d, "budget": matcher.budgets[n], "end": e}
                         for n, (d, e) in sorted(got.items())
                     ]
                 )
@@ -224,12 +250,17 @@ def _search(block: list[tuple[object, str]], rate: float, item_kind: str):
     return F.arrow_udf(searched, f"array<{fields}>", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
-def without_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their own columns. Rows are judged in place."""
-    (held, body) = fresh(docs.columns, "held", "body")
-    wanted = items.select(F.col("item_id").alias("item"), plain(F.col("text")).alias("body")).where("body <> '' and item is not null").distinct()
+def without_items(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", rate: float = ERROR_RATE, least: int = LEAST_SIZE
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item of at least ``least`` letters, with their own columns.
+
+    Rows are judged in place. Shorter items are left out, since a common word or number would
+    empty the corpus; ``find_items`` counts them.
+    """
+    wanted = _wanted(items, "item_id", "text").where(F.length("body") >= least + 2)
     kind = dict(wanted.dtypes)["item"]
     out = docs
     for block in _blocks(wanted):
-        out = out.where(F.size(_search(block, rate, kind)(plain(column(out, text)))) == 0)
+        out = out.where(F.size(_search(docs.sparkSession, block, rate, kind)(padded(column(out, text)))) == 0)
     return out
