@@ -24,33 +24,39 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is decided by text, declared language and source stay."""
+    """Documents whose language is decided by text, declared language and source stay.
+
+    Null and blank texts have none and go. Where no row has a usable label there is nothing to
+    decide by, and all rows stay.
+    """
     ready(spark)
     model = learn_text_model(docs, "doc_id", "text", "lang")
+    if not model.languages:
+        return docs
     found = identify(docs, model, "doc_id", F.col("text"), F.col("lang"), F.col("source"))
     return with_known_language(docs, found, "doc_id", F.col("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays; null and blank texts are in no group."""
     ready(spark)
     return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
+    """Documents that hold no benchmark item stay; items below the least length are not looked for."""
     ready(spark)
     return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out until their sources reach their targets."""
+    """Documents are repeated or left out until their sources reach their targets; a null source is one."""
     ready(spark)
     return mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are shuffled into shards of exact sizes."""
+    """Documents, null and empty ones too, are shuffled into shards of exact sizes."""
     ready(spark)
     return shuffle_into_shards(docs, SHARDS)
 
