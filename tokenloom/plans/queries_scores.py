@@ -276,7 +276,13 @@ def running_mean_stream(spark, sf_dir):
     """Exact cumulative means over a stream whose files come out of order, drained."""
     out = scratch_path(spark, "running")
     metrics = _metrics_files(spark, sf_dir, order=(1, 0, 3, 2), closing=True)
-    running = jobs.running_mean_stream(metrics, out, scratch_path(spark, "state"), late="16 days", block=512, digits=DIGITS)
+    # Files are late by two quarters of the steps at most.
+    rows = S.metrics(spark, sf_dir)
+    half = F.floor(F.col("step") * 2 / rows.agg(F.max("step") + 1).scalar())
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = rows.groupBy(half).agg((F.max(micros) - F.min(micros)).alias("span"))
+    late = spans.agg(F.coalesce(F.max("span"), F.lit(0))).first()[0] // 1_000_000 + 1
+    running = jobs.running_mean_stream(metrics, out, scratch_path(spark, "state"), late=f"{late} seconds", block=512, digits=DIGITS)
     running.awaitTermination()
     return jobs.running_means(spark.read.parquet(out), digits=DIGITS)
 
