@@ -48,15 +48,25 @@ def coded_sides(
     this is not where the response begins. ``offset``: the tokens that begin before the end of
     the prompt; a token across the border begins in the prompt and is masked.
     """
-    if border not in ("count", "offset"):
-        raise ValueError(f"unknown prompt border {border!r}")
-    alone = {"_alone": prompt} if border == "count" else {}
+    coded = both_borders(texts, key, wanted, prompt, ends, block_size, coder, (border,))
+    return coded.select(key, *wanted, *[F.col(f"{name}_{border}").alias(f"{name}_prompt") for name in wanted])
+
+
+def both_borders(
+    texts: DataFrame, key: str, wanted: dict[str, Column], prompt: Column, ends: list[str], block_size: int, coder: Coder,
+    borders: tuple[str, ...] = ("count", "offset"),
+) -> DataFrame:
+    """``(key, <name>, <name>_count, <name>_offset ..)``: the masked tokens by each border; a text is coded once for all."""
+    for border in borders:
+        if border not in ("count", "offset"):
+            raise ValueError(f"unknown prompt border {border!r}")
+    alone = {"_alone": prompt} if "count" in borders else {}
     coded = coder.code(texts, key, {**wanted, **alone}, ends, block_size, {"_chars": coder.chars(prompt, ends)})
 
-    def masked(name: str) -> Column:
+    def masked(name: str, border: str) -> Column:
         return F.size("_alone") if border == "count" else F.size(F.filter(f"{name}_starts", lambda s: s < F.col("_chars")))
 
-    return coded.select(key, *wanted, *[masked(name).alias(f"{name}_prompt") for name in wanted])
+    return coded.select(key, *wanted, *[masked(name, b).alias(f"{name}_{b}") for name in wanted for b in borders])
 
 
 def label_rows(tokens: DataFrame, key: str, side: str | Column, block_size: int, masked: bool, labelled: bool = True) -> DataFrame:
