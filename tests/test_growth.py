@@ -1,11 +1,13 @@
 """What a task holds and what is moved stays bounded while tables grow."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.functions import warping
+from tokenloom.functions import trie, warping
 from tokenloom.functions.warping import TokenCosts
 from tokenloom.operators import align, lookup, tokenize
 from tokenloom.plans import prepare
@@ -113,3 +115,40 @@ def test_a_stream_is_prepared_with_a_large_vocabulary(spark, tmp_path, monkeypat
     found = spark.read.parquet(f"{tmp_path}/out")
     assert found.select("batch").distinct().count() > 1
     assert sorted(map(str, found.drop("batch").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_words_are_compared_with_few_tokens(monkeypatch):
+    """Of a vocabulary of syllables, letter by letter only near ones; words of foreign letters count as one."""
+    rng = random.Random(6)
+    syllables = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 4))) for _ in range(60)]
+    word = lambda low, high: "".join(rng.choice(syllables) for _ in range(rng.randint(low, high)))
+    tokens = sorted({word(1, 5) for _ in range(20_000)})
+    near = sorted({word(2, 5) for _ in range(2_000)} - set(tokens))
+    far = [f"{i:016d}" for i in range(2_000)] + [word(9, 9) for _ in range(20)] + ["x" * 70 + word(2, 3)]
+    met = {"pairs": 0}
+    compare, whole = trie._Words._compare, trie._Words._compare_whole
+
+    def counted(self, words, found, radius):
+        met["pairs"] += len(found)
+        compare(self, words, found, radius)
+
+    def counted_whole(self, words, found):
+        met["pairs"] += sum(map(len, found)) * (0 < self.size <= 64)
+        whole(self, words, found)
+
+    monkeypatch.setattr(trie._Words, "_compare", counted)
+    monkeypatch.setattr(trie._Words, "_compare_whole", counted_whole)
+    distances, ids = trie.Bands(tokens, range(len(tokens))).nearest(near + far)
+    assert met["pairs"] < len(near + far) * len(tokens) / 50
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for i in [0, 1, 2, len(near), len(near) + 2_000, len(near + far) - 1]:
+        want = min((distance((near + far)[i], t), k) for k, t in enumerate(tokens))
+        assert (distances[i], ids[i]) == want

@@ -1,9 +1,10 @@
 """The nearest token of another vocabulary by edit distance, exactly, without comparing all pairs.
 
-Target tokens form tries, one for each length and direction (``functions.trie``). A task walks
-them with the words it holds, for growing radii; a branch ends as soon as no token below it
-can lie within the radius. A vocabulary of measured, bounded size is broadcast, and words
-stay where they are. A larger one is dealt into blocks of that size; words meet every block.
+A task keeps the target tokens sorted from both ends, with a mark of the letters of each
+(``functions.trie``). For growing radii, a word is compared with the tokens that begin or end
+nearly like it and whose marks allow the radius; a word far from all tokens meets them in the
+order of the bounds that the marks give. A vocabulary of measured, bounded size is broadcast, and
+words stay where they are. A larger one is dealt into blocks of that size; words meet every block.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from tokenloom.functions.trie import Bands
 from tokenloom.session import materialize
 
-# Bytes of tokens (and 12 an entry) whose tries a task keeps; the tries take some tens of times as much.
-TRIE_BYTES = 16 * 1024 * 1024
-WORDS_AT_ONCE = 50_000
+# Bytes of tokens (and 12 an entry) that a task keeps sorted; while it sorts them they take some tens of times as much.
+TRIE_BYTES = 32 * 1024 * 1024
+# Words with equal halves are walked once, so many words at a time cost less each.
+WORDS_AT_ONCE = 400_000
 _FOUND = "src_id int, dst_id int, distance int"
 
 
