@@ -126,3 +126,10 @@ def test_documents_aligned_in_two_tokenizations(spark):
         cost = np.array([[distance(t, s.replace("Ġ", "")) / (len(t) + len(s)) for s in stu] for t in tea])
         total, path = plain_path(cost)
         assert rows[i].total_cost == pytest.approx(total) and [tuple(c) for c in rows[i].path] == path
+
+
+def test_documents_are_read_to_their_end(spark):
+    pieces = spark.createDataFrame([("a", 1), ("b", 2), ("cd", 3)], "token string, id int")
+    text = "ab " * 2100 + "cd"
+    (row,) = document_samples(spark.createDataFrame([(1, text)], "sample_id long, text string"), pieces).collect()
+    assert row.tea_tokens == text.split() and row.stu_tokens == ["a", "b"] * 2100 + ["cd"]
