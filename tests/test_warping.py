@@ -133,3 +133,60 @@ def test_documents_are_read_to_their_end(spark):
     text = "ab " * 2100 + "cd"
     (row,) = document_samples(spark.createDataFrame([(1, text)], "sample_id long, text string"), pieces).collect()
     assert row.tea_tokens == text.split() and row.stu_tokens == ["a", "b"] * 2100 + ["cd"]
+
+
+def test_a_long_sample_is_gone_through_about_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sample = warping.Sample(rng.integers(0, 4, (30, 20)) / 4, rng.integers(0, 30, 700), rng.integers(0, 20, 900))
+    (want,) = warping.warp_all([sample])
+    cells, costs = [], warping._Warp.costs
+
+    def counted(self, *args):
+        cells.append(costs(self, *args))
+        return cells[-1]
+
+    monkeypatch.setattr(warping, "MOVE_BYTES", 1 << 16)
+    monkeypatch.setattr(warping._Warp, "costs", counted)
+    ((total, path),) = warping.warp_all([sample])
+    assert total == want[0] and path.tolist() == want[1].tolist()
+    assert sum(c.size for c in cells) < 1.5 * 700 * 900
+
+
+@pytest.mark.parametrize("listed", [1 << 20, 5])
+def test_distances_of_many_samples_are_found_together(monkeypatch, listed):
+    monkeypatch.setattr(warping, "_VALUES", listed)
+    rng, calls, found = random.Random(2), [], warping.edit_distances
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(80)] + ["</s>", "<end>"]
+    samples = [tuple([rng.choice(words) for _ in range(rng.randint(1, 40))] for _ in range(2)) for _ in range(30)]
+    costs = lambda: warping.TokenCosts(True, "_", "G", "marker", {"</s>": "<end>"})
+    want = [costs().table(*s) for s in samples]
+    monkeypatch.setattr(warping, "edit_distances", lambda *a: calls.append(len(a[2][0])) or found(*a))
+    for (codes, rows, cols, values), alone in zip(costs().tables(samples), want):
+        table = codes if values is None else values.take(codes)
+        assert (values is None) == (listed == 5) and table[rows][:, cols].tolist() == alone[0][alone[1]][:, alone[2]].tolist()
+    assert len(calls) == 1
+
+
+def test_samples_are_made_once_to_be_aligned(spark):
+    rows = [(1, ["a", "b"], ["a"]), (2, [], ["a"]), (3, ["a"], []), (4, None, ["a"]), (5, ["a"], None), (6, [], [])]
+    samples = spark.createDataFrame(rows, "sample_id long, tea_tokens array<string>, stu_tokens array<string>")
+    aligned = A.align(samples, cost="norm")
+    assert "Union" not in aligned._jdf.queryExecution().executedPlan().toString()
+    found = {r.sample_id: r for r in aligned.collect()}
+    assert {i: r.status for i, r in found.items()} == {
+        1: "ok", 2: "empty_teacher", 3: "empty_student", 4: "empty_teacher", 5: "empty_student", 6: "empty_student"
+    }
+    assert [tuple(p) for p in found[1].path] == [(0, 0), (1, 0)] and found[1].tea_pos == [0, 1]
+    assert all(found[i][c] is None for i in range(2, 7) for c in ("total_cost", "path", "tea_spans", "stu_spans"))
+    assert found[2].tea_pos == [] and found[2].stu_pos == [0] and found[4].tea_pos is None
+
+
+def test_texts_are_dealt_out_by_the_cells_of_their_samples(spark):
+    pieces = spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int")
+    docs = spark.createDataFrame([(i, "ab " * (100 if i % 7 == 0 else 2)) for i in range(70)] + [(99, None)], "sample_id long, text string")
+    dealt = A.deal(docs, 5, A.sample_cells(document_samples(docs, pieces)))
+    assert dealt.columns == docs.columns and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, docs.collect()))
+    long = dealt.filter("sample_id % 7 = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in long] == [2] * 5
+    plan = document_samples(dealt, pieces)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Repartition")  # tokens are made of texts that have moved
